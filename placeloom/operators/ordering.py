@@ -28,9 +28,14 @@ def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFra
     )
 
 
+def shuffle_key(key: str, seed: int = 42):
+    """A sort key in random order that depends only on ``key`` and ``seed``."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Rows in a random order that depends only on ``key`` and ``seed``."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """Rows in random order."""
+    return df.orderBy(shuffle_key(key, seed), key)
 
 
 def by_number_suffix(df: DataFrame, column: str) -> DataFrame:

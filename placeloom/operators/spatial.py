@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from placeloom.functions import geo
 from placeloom.operators.skew import salted_join
+from placeloom.session import write_once
 
 LEAF_ROWS = 4
 START_CELLS = 64
@@ -333,3 +334,66 @@ def drop_near_duplicates(
     """Keep the points with no other point of their category nearer than ``radius_m``."""
     near = near_duplicate_ids(points, radius_m, key, category, rows_per_task)
     return points.join(near, key, "left_anti")
+
+
+def _near_pairs(points: DataFrame, radius_m: float, key: str, category: str, rows_per_task: int) -> DataFrame:
+    """``(category, a, b)``, a < b: points of one category nearer than ``radius_m``."""
+    level = geo.level_for(radius_m)
+    placed = points.select(key, category, "lat", "lon").na.drop()
+    reach = _cover(placed, radius_m, level).select(
+        category, "_y", "_x", F.col(key).alias("b"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
+    met = salted_join(_cells(placed, level), reach, [category, "_y", "_x"], [key], rows_per_task)
+    met = met.filter(F.col(key) < F.col("b"))
+    met = geo.with_geodesic(met, "lat", "lon", "_plat", "_plon", "_d").filter(F.col("_d") < radius_m)
+    return met.select(category, F.col(key).alias("a"), "b")
+
+
+def drop_near_duplicates_greedy(
+    points: DataFrame, radius_m: float = 8.0, key: str = "point_id", category: str = "category",
+    rows_per_task: int = 200_000,
+) -> DataFrame:
+    """Near-duplicate removal that goes through the points in key order.
+
+    A point is removed when some other point that is still a candidate lies near it; the first such
+    candidate then no longer serves as one. The decision of a point waits only for the earlier points
+    near it, so points are decided in rounds: a point whose earlier neighbours are all decided is decided
+    next. Distant clumps advance together.
+    """
+    pairs = write_once(_near_pairs(points, radius_m, key, category, rows_per_task), "near")
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = write_once(both, "near")
+    # state per point: removed = left the result, spent = no longer serves as a partner
+    state = write_once(both.select(F.col("a").alias(key)).distinct().select(
+        key, F.lit(False).alias("decided"), F.lit(False).alias("removed"), F.lit(False).alias("spent")), "state")
+    while not state.filter(~F.col("decided")).isEmpty():
+        state = write_once(_decide_round(state, both, key), "state")
+    return points.join(state.filter("removed").select(key), key, "left_anti")
+
+
+def _decide_round(state: DataFrame, both: DataFrame, key: str) -> DataFrame:
+    """Decide the open points that come first among all open points within two steps.
+
+    Two points interact only when they can pick the same partner, that is within two steps.
+    """
+    open_ = state.filter(~F.col("decided")).select(key)
+    first_near = both.join(open_.withColumnRenamed(key, "b"), "b").groupBy("a").agg(F.min("b").alias("m"))
+    near = state.select(key).join(first_near.withColumnRenamed("a", key), key, "left").join(
+        open_.withColumn("_self", F.col(key)), key, "left")
+    one = near.select(key, F.least("m", "_self").alias("m"))
+    two = both.join(one.withColumnRenamed(key, "b"), "b").groupBy("a").agg(F.min("m").alias("m2"))
+    turn = one.join(two.withColumnRenamed("a", key), key).filter(
+        F.least("m", "m2") == F.col(key)).select(key)
+    usable = state.filter(~F.col("spent")).select(F.col(key).alias("b"))
+    pick = (
+        both.join(turn.withColumnRenamed(key, "a"), "a").join(usable, "b")
+        .groupBy("a").agg(F.min("b").alias("b"))
+    )
+    turn_flag = turn.withColumn("_turn", F.lit(True))
+    gone = pick.select(F.col("a").alias(key)).withColumn("_gone", F.lit(True))
+    used = pick.select(F.col("b").alias(key)).distinct().withColumn("_used", F.lit(True))
+    merged = state.join(turn_flag, key, "left").join(gone, key, "left").join(used, key, "left")
+    yes = F.lit(False)
+    return merged.select(
+        key, (F.col("decided") | F.coalesce("_turn", yes)).alias("decided"),
+        (F.col("removed") | F.coalesce("_gone", yes)).alias("removed"),
+        (F.col("spent") | F.coalesce("_used", yes)).alias("spent"))

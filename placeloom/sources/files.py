@@ -113,6 +113,11 @@ def verify(spark: SparkSession, folder: str, manifest: DataFrame, pattern: str =
     """``(file, status)`` per file of either side: ``ok``, ``differs``, ``missing`` or ``unlisted``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     found = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.md5("content").alias("actual"))
+    return compare_digests(found, manifest)
+
+
+def compare_digests(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Match ``(file, actual)`` with ``(file, md5)``; only true mismatches are ``differs``."""
     status = (
         F.when(F.col("actual").isNull(), "missing").when(F.col("md5").isNull(), "unlisted")
         .when(F.col("actual") == F.col("md5"), "ok").otherwise("differs"))

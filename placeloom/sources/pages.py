@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placeloom.functions.markup import decode_entities
 
+PAGE_OPTIONS = {"rowTag": "page", "ignoreSurroundingSpaces": "false"}
 PAGE_SCHEMA = "title string, revision struct<timestamp: string, text: struct<_VALUE: string, _bytes: long>>"
 
 
@@ -15,7 +16,7 @@ def read_pages(spark: SparkSession, path: str, pattern: str | None = None) -> Da
 
     One row element is one page; parts are read in parallel and bzip2 parts are split.
     """
-    reader = spark.read.format("xml").option("rowTag", "page").schema(PAGE_SCHEMA)
+    reader = spark.read.format("xml").options(**PAGE_OPTIONS).schema(PAGE_SCHEMA)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return _fields(reader.load(path)).withColumn("part", F.element_at(F.split(F.input_file_name(), "/"), -1))

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from placeloom.functions import geo
 from placeloom.operators import articles
-from placeloom.sources.pages import PAGE_SCHEMA, _fields
+from placeloom.sources.pages import PAGE_OPTIONS, PAGE_SCHEMA, _fields
 
 
 def ingest_new_parts(
@@ -20,7 +20,7 @@ def ingest_new_parts(
     failed one resumes, each part landing exactly once.
     """
     pages = (
-        spark.readStream.format("xml").option("rowTag", "page").option("pathGlobFilter", pattern)
+        spark.readStream.format("xml").options(**PAGE_OPTIONS).option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", parts_per_step).schema(PAGE_SCHEMA).load(folder)
     )
     found = articles.extract(_fields(pages).select("title", "text"), box)
