@@ -235,14 +235,23 @@ VOCAB = (f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total, "
          f"GROUP BY term HAVING count(*) >= 0.02 * (SELECT count(*) FROM documents)")
 
 
-def _text_sql(select: str, weight: str = "1 - d / 6500", radius: int = 6500) -> str:
+def _text_sql(weight_of: str, by: str, weight: str = "1 - d / 6500", radius: int = 6500) -> str:
+    """Weights per house and term, summed up per ``by`` to keep the result small."""
+    other = "term" if by == "house_id" else "house_id"
     return f"""
 WITH terms AS ({TERMS}), vocab AS ({VOCAB}),
 p AS (SELECT house_id, article_id, {weight} AS w FROM ({_ARTICLE_PAIRS}) WHERE d < {radius}),
 c AS (SELECT house_id, count(*) AS n FROM p GROUP BY 1 HAVING count(*) >= 3),
 f AS (SELECT p.house_id, t.term, sum(p.w * t.tf) AS s, any_value(c.n) AS n, any_value(v.idf) AS idf
       FROM p JOIN c USING (house_id) JOIN terms t USING (article_id) JOIN vocab v USING (term) GROUP BY 1, 2)
-SELECT house_id, term, {select} FROM f"""
+SELECT {by}, count({other}) AS rows, round(sum({weight_of}), 3) AS total, round(max({weight_of}), 4) AS largest
+FROM f GROUP BY 1"""
+
+
+def _summary(weights, by: str):
+    return weights.groupBy(by).agg(
+        F.count("*").alias("rows"), F.round(F.sum("weight"), 3).alias("total"),
+        F.round(F.max("weight"), 4).alias("largest"))
 
 
 def _kept_terms(spark, sf_dir):
@@ -252,32 +261,30 @@ def _kept_terms(spark, sf_dir):
     return located, terms.keep_vocabulary(counts, words), words
 
 
-@query("weighted_terms", _text_sql("round(s, 4) AS weight"))
+@query("weighted_terms", _text_sql("s", "house_id"))
 def weighted_terms(spark, sf_dir):
     located, kept, _ = _kept_terms(spark, sf_dir)
-    found = terms.weighted_terms(inputs.houses(spark, sf_dir), located, kept, 6500.0)
-    return found.select("house_id", "term", F.round("weight", 4).alias("weight"))
+    return _summary(terms.weighted_terms(inputs.houses(spark, sf_dir), located, kept, 6500.0), "house_id")
 
 
-@query("weighted_terms_mean", _text_sql("round(s / n, 5) AS weight"))
+@query("weighted_terms_mean", _text_sql("s / n", "term"))
 def weighted_terms_mean(spark, sf_dir):
     located, kept, _ = _kept_terms(spark, sf_dir)
-    found = terms.weighted_terms(inputs.houses(spark, sf_dir), located, kept, 6500.0, mean=True)
-    return found.select("house_id", "term", F.round("weight", 5).alias("weight"))
+    return _summary(terms.weighted_terms(inputs.houses(spark, sf_dir), located, kept, 6500.0, mean=True), "term")
 
 
-@query("unweighted_terms", _text_sql("CAST(s AS BIGINT) AS weight", "1", 2500))
+@query("unweighted_terms", _text_sql("s::DOUBLE", "house_id", "1", 2500))
 def unweighted_terms(spark, sf_dir):
     located, kept, _ = _kept_terms(spark, sf_dir)
     found = terms.weighted_terms(inputs.houses(spark, sf_dir), located, kept, 2500.0, weighted=False)
-    return found.select("house_id", "term", F.col("weight").cast("long").alias("weight"))
+    return _summary(found, "house_id")
 
 
-@query("weighted_tf_idf", _text_sql("round(s * idf, 4) AS weight", "1 - d / 5500", 5500))
+@query("weighted_tf_idf", _text_sql("s * idf", "term", "1 - d / 5500", 5500))
 def weighted_tf_idf(spark, sf_dir):
     located, kept, words = _kept_terms(spark, sf_dir)
     found = terms.weighted_terms(inputs.houses(spark, sf_dir), located, kept, 5500.0)
-    return terms.tf_idf(found, words).select("house_id", "term", F.round("weight", 4).alias("weight"))
+    return _summary(terms.tf_idf(found, words), "term")
 
 
 _COUNTS = (f"SELECT house_id, count(article_id) AS article_count FROM ({HOUSES}) h LEFT JOIN "
