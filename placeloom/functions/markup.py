@@ -62,24 +62,30 @@ def parse_coord(body: Column) -> Column:
     """``struct(lat, lon)`` of a cleaned tag body, NULL when it holds no coordinate.
 
     Forms: degrees, degrees-minutes, degrees-minutes-seconds (each with a direction letter), and a plain
-    pair of decimals. S and W negate. The two patterns are matched once each; captures come back joined.
+    pair of decimals. S and W negate. Each pattern is matched once: its captures come back joined, are
+    split, and are bound as lambda variables, so that no use of them repeats the match.
     """
-    directed = F.regexp_replace(body, _DIRECTED, "!$1!$2!$3!$4!$5!$6!$7!$8!$9!$10!$11!$12")
-    plain = F.regexp_replace(body, _PLAIN, "!$1!$2")
-
-    def degrees(parts: Column, at: int, negative: str) -> Column:
-        def number(i: int) -> Column:
-            return F.coalesce(parts[at + i].try_cast("double"), F.lit(0.0))
-
-        letter = F.upper(F.concat(parts[at + 1], parts[at + 3], parts[at + 5]))
-        value = parts[at].try_cast("double") + number(2) / 60 + number(4) / 3600
-        return F.when(letter == negative, -value).otherwise(value)
-
-    d, p = F.split(directed, "!", -1), F.split(plain, "!", -1)
-    lat = F.when(F.size(d) == 13, degrees(d, 1, "S")).when(F.size(p) == 3, p[1].try_cast("double"))
-    lon = F.when(F.size(d) == 13, degrees(d, 7, "W")).when(F.size(p) == 3, p[2].try_cast("double"))
-    pair = F.struct(lat.alias("lat"), lon.alias("lon"))
-    return F.when(lat.isNotNull() & lon.isNotNull(), pair)
+    captures = F.transform(F.array(body), lambda b: F.struct(
+        F.split(F.regexp_replace(b, _DIRECTED, "!$1!$2!$3!$4!$5!$6!$7!$8!$9!$10!$11!$12"), "!", -1).alias("d"),
+        F.split(F.regexp_replace(b, _PLAIN, "!$1!$2"), "!", -1).alias("p")))
+    return F.transform(captures, _coord_of)[0]
+
+
+def _coord_of(found: Column) -> Column:
+    d, p = found["d"], found["p"]
+
+    def number(i: int) -> Column:
+        return F.coalesce(d[i].try_cast("double"), F.lit(0.0))
+
+    def degrees(at: int, negative: str) -> Column:
+        letter = F.upper(F.concat(d[at + 1], d[at + 3], d[at + 5]))
+        value = d[at].try_cast("double") + number(at + 2) / 60 + number(at + 4) / 3600
+        return value * F.when(letter == negative, -1).otherwise(1)
+
+    directed = F.struct(degrees(1, "S").alias("lat"), degrees(7, "W").alias("lon"))
+    plain = F.struct(p[1].try_cast("double").alias("lat"), p[2].try_cast("double").alias("lon"))
+    pair = F.when(F.size(d) == 13, directed).when(F.size(p) == 3, plain)
+    return F.when(pair["lat"].isNotNull() & pair["lon"].isNotNull(), pair)
 
 
 _COORD_TAG = rf"\{{\{{[cC]oord\|({_INNER})\}}"

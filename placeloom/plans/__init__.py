@@ -4,7 +4,7 @@ from importlib import import_module
 
 from placeloom.plans.registry import ORACLES, QUERIES
 
-FAMILIES = ["spatial", "cleaning", "articles"]
+FAMILIES = ["spatial", "cleaning", "articles", "sources", "evaluation"]
 
 
 def load():
