@@ -48,10 +48,10 @@ def without_stop_words(words: Column, stop: list[str] | None = None) -> Column:
 
 
 def with_bigrams(words: Column) -> Column:
-    """The words, then each pair of neighbours."""
-    nexts = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    """The words, then each pair of neighbours. ``words`` is used several times: pass a computed column."""
     firsts = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.concat(words, F.zip_with(firsts, nexts, lambda a, b: F.concat_ws(" ", a, b)))
+    pairs = F.transform(firsts, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
+    return F.concat(words, pairs)
 
 
 def smooth_idf(n_docs: Column, df: Column) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from placeloom.functions import geo, text
 from placeloom.operators import spatial
+from placeloom.operators.blocks import weighted_sums
 from placeloom.operators.ordering import numbered
-from placeloom.operators.skew import salted_join
 from placeloom.session import write_once
 
 MIN_DF = 0.02
@@ -23,10 +23,15 @@ def term_counts(
     articles: DataFrame, key: str = "article_id", column: str = "text", stop: list[str] | None = None,
     bigrams: bool = True,
 ) -> DataFrame:
-    """``(key, term, tf)``: words and, on what stop words leave, pairs of neighbours."""
+    """``(key, term, tf)``: words and, on what stop words leave, pairs of neighbours.
+
+    The words of an article travel once, before they are unfolded: that is less than its counted terms
+    would be, and the count then needs no further shuffle. ``key`` is unique, so the parts are even.
+    """
     words = text.without_stop_words(text.tokens(text.split_category_prefix(F.col(column))), stop)
-    terms = text.with_bigrams(words) if bigrams else words
-    return articles.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    held = geo.pin(articles.select(key, column), [key], _words=words).repartition(key)
+    terms = text.with_bigrams(F.col("_words")) if bigrams else F.col("_words")
+    return held.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
@@ -48,10 +53,22 @@ def keep_vocabulary(terms: DataFrame, words: DataFrame) -> DataFrame:
     return terms.join(words.select("term"), "term", "left_semi")
 
 
-def place_terms(articles: DataFrame, terms: DataFrame, key: str = "article_id") -> DataFrame:
-    """Term counts summed over the articles of one place: ``(lat, lon, term, tf)``."""
+def place_vectors(
+    articles: DataFrame, terms: DataFrame, positions: DataFrame, key: str = "article_id",
+) -> DataFrame:
+    """``(lat, lon, n_articles, pos, val)``: term counts summed over the articles of one place.
+
+    Articles that share a place become one row. A place's vector holds at most the vocabulary.
+    """
     where = articles.select(key, "lat", "lon").na.drop()
-    return terms.join(where, key).groupBy("lat", "lon", "term").agg(F.sum("tf").alias("tf"))
+    counts = where.groupBy("lat", "lon").agg(F.count("*").alias("n_articles"))
+    placed = terms.join(positions, "term").join(where, key).groupBy("lat", "lon", "position").agg(
+        F.sum("tf").cast("double").alias("v"))
+    cells = placed.groupBy("lat", "lon").agg(
+        F.collect_list(F.struct(F.col("position").cast("int").alias("p"), "v")).alias("c"))
+    none = F.array().cast("array<struct<p:int,v:double>>")
+    full = counts.join(cells, ["lat", "lon"], "left").withColumn("c", F.coalesce("c", none))
+    return full.select("lat", "lon", "n_articles", F.col("c.p").alias("pos"), F.col("c.v").alias("val"))
 
 
 def house_places(
@@ -77,29 +94,41 @@ def article_counts(houses: DataFrame, pairs: DataFrame, key: str = "house_id") -
         key, F.coalesce("article_count", F.lit(0).cast("long")).alias("article_count"))
 
 
-def weighted_terms(
-    houses: DataFrame, articles: DataFrame, terms: DataFrame, radius_m: float = TEXT_RADIUS_M,
-    weighted: bool = True, mean: bool = False, key: str = "house_id", article_key: str = "article_id",
-    min_articles: int = MIN_ARTICLES, rows_per_task: int = 200_000, pairs: DataFrame | None = None,
+def text_features(
+    houses: DataFrame, articles: DataFrame, terms: DataFrame, positions: DataFrame, size: int,
+    radius_m: float = TEXT_RADIUS_M, weighted: bool = True, mean: bool = False, key: str = "house_id",
+    article_key: str = "article_id", min_articles: int = MIN_ARTICLES, **block_sizes: int,
 ) -> DataFrame:
-    """``(key, term, weight)``: term counts of the articles in range, each times its distance weight.
+    """``(key, article_count, vec)``: term counts of the articles in range, each times its distance weight.
 
-    Houses with fewer than ``min_articles`` articles in range have no rows. ``mean`` divides by the number
-    of articles (not by the sum of weights). Terms stay rows: a column per term would not scale and could
-    collide with the table's own columns.
+    ``vec`` has one entry per term, in the order of ``positions``. Houses with fewer than ``min_articles``
+    articles in range have no row. ``mean`` divides by the number of articles (not by the sum of weights).
+    A column per term would not scale and could collide with the table's own columns.
     """
-    if pairs is None:
-        pairs = house_places(houses, articles, radius_m, weighted, key, rows_per_task)
-    enough = pairs.groupBy(key).agg(F.sum("n_articles").alias("article_count")).filter(
-        F.col("article_count") >= min_articles)
-    used = pairs.select(key, "lat", "lon", "w").join(enough, key)
-    at_place = place_terms(articles, terms, article_key)
-    met = salted_join(used, at_place, ["lat", "lon"], [key], rows_per_task)
-    summed = met.groupBy(key, "term").agg(
-        F.sum(F.col("w") * F.col("tf")).alias("weight"), F.first("article_count").alias("article_count"))
+    places = write_once(place_vectors(articles, terms, positions, article_key), "places")
+    found = weighted_sums(houses, places, size, radius_m, weighted, key, **block_sizes)
+    found = found.filter(F.col("article_count") >= min_articles)
     if mean:
-        summed = summed.withColumn("weight", F.col("weight") / F.col("article_count"))
-    return summed.select(key, "term", "weight")
+        found = found.withColumn("vec", F.transform("vec", lambda x: x / F.col("article_count")))
+    return found
+
+
+def long_weights(features: DataFrame, positions: DataFrame, key: str = "house_id") -> DataFrame:
+    """``(key, term, weight)`` of the terms with a weight."""
+    entries = features.select(key, F.posexplode("vec").alias("position", "weight")).filter(F.col("weight") != 0)
+    return entries.join(positions, "position").select(key, "term", "weight")
+
+
+def scaled(features: DataFrame, words: DataFrame, positions: DataFrame) -> DataFrame:
+    """Each entry of ``vec`` times the idf of its term (the vectors' form of :func:`tf_idf`).
+
+    The idf vector is one row as long as the vocabulary, which the document-frequency cut bounds.
+    """
+    cells = F.array_sort(F.collect_list(F.struct("position", "idf")))
+    idf = words.select("term", "idf").join(positions, "term").agg(
+        F.transform(cells, lambda c: c["idf"]).alias("_idf"))
+    product = F.zip_with("vec", "_idf", lambda a, b: a * b)
+    return features.join(F.broadcast(idf)).withColumn("vec", product).drop("_idf")
 
 
 def tf_idf(weights: DataFrame, words: DataFrame) -> DataFrame:
@@ -115,13 +144,9 @@ def ordered_vocabulary(words: DataFrame) -> DataFrame:
     return numbered(words.select("term"), ["term"], "position")
 
 
-def text_vectors(weights: DataFrame, positions: DataFrame, size: int, key: str = "house_id") -> DataFrame:
-    """``(key, text_vec)``: one feature vector per house; a group is the distinct terms of one house."""
-    cells = F.map_from_entries(F.collect_list(F.struct(F.col("position").cast("int"), "weight")))
-    per_house = weights.join(positions, "term").groupBy(key).agg(cells.alias("cells"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0)))
-    return per_house.select(key, array_to_vector(dense).alias("text_vec"))
+def as_ml_vectors(features: DataFrame, key: str = "house_id") -> DataFrame:
+    """``(key, text_vec)`` for Spark ML."""
+    return features.select(key, array_to_vector("vec").alias("text_vec"))
 
 
 def article_importance(terms: DataFrame, importance: DataFrame, key: str = "article_id") -> DataFrame:

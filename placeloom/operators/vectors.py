@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.functions import geo
 from placeloom.operators import spatial
+from placeloom.operators.blocks import weighted_sums
 from placeloom.operators.skew import salted_join
 from placeloom.session import write_once
 
@@ -17,32 +17,26 @@ def sum_vectors(rows: DataFrame, key: str, vec: str, weight: Column) -> DataFram
         F.sum(F.col("_w") * F.col("_v").cast("double")).alias("value"))
 
 
-def packed(long: DataFrame, key: str) -> DataFrame:
-    """``(key, vec)`` from ``(key, pos, value)``; a group is one vector."""
-    cells = F.array_sort(F.collect_list(F.struct("pos", "value")))
-    return long.groupBy(key).agg(F.transform(cells, lambda c: c["value"]).alias("vec"))
-
-
 def weighted_vectors(
-    houses: DataFrame, articles: DataFrame, radius_m: float, key: str = "house_id",
-    article_key: str = "article_id", vec: str = "vec", min_articles: int = 3, rows_per_task: int = 200_000,
+    houses: DataFrame, articles: DataFrame, size: int, radius_m: float, key: str = "house_id", vec: str = "vec",
+    min_articles: int = 3, **block_sizes: int,
 ) -> tuple[DataFrame, DataFrame]:
-    """Distance-weighted vector sum per house (long), and the article count of every house.
+    """Distance-weighted vector sum ``(key, article_count, vec)``, and the article count of every house.
 
-    Houses with fewer than ``min_articles`` articles in range have no vector rows. Pairs stay thin (ids
-    and a weight) and are written once; vectors join them by article id.
+    Houses with fewer than ``min_articles`` articles in range have no vector row. Vectors of articles that
+    share a place are added first.
     """
-    thin = spatial.pairs_in_radius(
-        houses, articles.select(article_key, "lat", "lon"), radius_m, key, [article_key],
-        rows_per_task=rows_per_task)
-    pairs = write_once(
-        thin.select(key, article_key, geo.decay_weight(F.col("dist_m"), radius_m).alias("w")), "pairs")
-    counts = pairs.groupBy(key).agg(F.count("*").alias("article_count"))
-    used = pairs.join(counts.filter(F.col("article_count") >= min_articles).select(key), key, "left_semi")
-    rows = salted_join(used, articles.select(article_key, vec), [article_key], [key], rows_per_task)
-    all_counts = houses.select(key).join(counts, key, "left").select(
+    at = articles.select("lat", "lon", vec).na.drop(subset=["lat", "lon"])
+    counts = at.groupBy("lat", "lon").agg(F.count("*").alias("n_articles"))
+    sums = at.select("lat", "lon", F.posexplode(vec).alias("p", "v")).groupBy("lat", "lon", "p").agg(
+        F.sum(F.col("v").cast("double")).alias("v"))
+    cells = sums.groupBy("lat", "lon").agg(F.collect_list(F.struct("p", "v")).alias("c"))
+    places = write_once(counts.join(cells, ["lat", "lon"]).select(
+        "lat", "lon", "n_articles", F.col("c.p").alias("pos"), F.col("c.v").alias("val")), "places")
+    found = weighted_sums(houses, places, size, radius_m, True, key, **block_sizes)
+    all_counts = houses.select(key).join(found.select(key, "article_count"), key, "left").select(
         key, F.coalesce("article_count", F.lit(0).cast("long")).alias("article_count"))
-    return sum_vectors(rows, key, vec, F.col("w")), all_counts
+    return found.filter(F.col("article_count") >= min_articles), all_counts
 
 
 def nearest_vectors(

@@ -245,8 +245,8 @@ def stop_words(spark, sf_dir):
 SELECT doc_id, len(g) AS grams, md5(array_to_string(g, ',')) AS digest FROM
  (SELECT doc_id, list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS g FROM ({_FILTERED}))""")
 def bigrams(spark, sf_dir):
-    grams = text.with_bigrams(text.without_stop_words(text.tokens(F.col("text"))))
-    words = geo.pin(table(spark, sf_dir, "documents"), ["doc_id"], g=grams)
+    kept = geo.pin(table(spark, sf_dir, "documents"), ["doc_id"], w=text.without_stop_words(text.tokens(F.col("text"))))
+    words = geo.pin(kept, ["doc_id"], g=text.with_bigrams(F.col("w")))
     return words.select("doc_id", F.size("g").cast("long").alias("grams"), F.md5(F.array_join("g", ",")).alias("digest"))
 
 

@@ -182,7 +182,8 @@ WITH p AS (SELECT house_id, article_id, 1 - d / 5500 AS w FROM ({_VECTOR_PAIRS})
 SELECT p.house_id, v.pos, round(sum(p.w * v.x), 5) + 0e0 AS value FROM p JOIN c USING (house_id) JOIN v ON v.vec_id = p.article_id
 GROUP BY 1, 2""")
 def weighted_vector_sum(spark, sf_dir):
-    long, _ = vectors.weighted_vectors(inputs.houses(spark, sf_dir), inputs.doc_vectors(spark, sf_dir), 5500.0)
+    found, _ = vectors.weighted_vectors(inputs.houses(spark, sf_dir), inputs.doc_vectors(spark, sf_dir), 64, 5500.0)
+    long = found.select("house_id", F.posexplode("vec").alias("pos", "value"))
     return long.select("house_id", "pos", (F.round("value", 5) + 0.0).alias("value"))
 
 
@@ -190,7 +191,7 @@ def weighted_vector_sum(spark, sf_dir):
 SELECT house_id, count(article_id) AS article_count FROM ({HOUSES}) h
 LEFT JOIN (SELECT house_id, article_id FROM ({_VECTOR_PAIRS}) WHERE d < 5500) p USING (house_id) GROUP BY 1""")
 def vector_article_counts(spark, sf_dir):
-    return vectors.weighted_vectors(inputs.houses(spark, sf_dir), inputs.doc_vectors(spark, sf_dir), 5500.0)[1]
+    return vectors.weighted_vectors(inputs.houses(spark, sf_dir), inputs.doc_vectors(spark, sf_dir), 64, 5500.0)[1]
 
 
 @query("nearest_vector_sum", f"""
@@ -248,43 +249,60 @@ SELECT {by}, count({other}) AS rows, round(sum({weight_of}), 3) AS total, round(
 FROM f GROUP BY 1"""
 
 
-def _summary(weights, by: str):
-    return weights.groupBy(by).agg(
-        F.count("*").alias("rows"), F.round(F.sum("weight"), 3).alias("total"),
-        F.round(F.max("weight"), 4).alias("largest"))
+def _by_house(features):
+    some = F.filter("vec", lambda x: x != 0)
+    total = F.aggregate("vec", F.lit(0.0), lambda t, x: t + x)
+    return features.select(
+        "house_id", F.size(some).cast("long").alias("rows"), F.round(total, 3).alias("total"),
+        F.round(F.array_max("vec"), 4).alias("largest"))
 
 
-def _kept_terms(spark, sf_dir):
+def _by_term(features, positions):
+    return features.select(F.posexplode("vec").alias("position", "weight")).filter("weight <> 0").groupBy("position").agg(
+        F.count("*").alias("rows"), F.round(F.sum("weight"), 3).alias("total"), F.round(F.max("weight"), 4).alias("largest")
+    ).join(positions, "position").select("term", "rows", "total", "largest")
+
+
+def _text_features(spark, sf_dir, radius: float, **settings):
+    """Text features of all houses, with the vocabulary and the position of each term."""
     located = inputs.articles(spark, sf_dir)
     counts = terms.write_once(terms.term_counts(located), "terms")
     words = terms.vocabulary(counts, table(spark, sf_dir, "documents").count())
-    return located, terms.keep_vocabulary(counts, words), words
+    positions = terms.write_once(terms.ordered_vocabulary(words), "vocabulary")
+    features = terms.text_features(
+        inputs.houses(spark, sf_dir), located, counts, positions, positions.count(), radius, **settings)
+    return features, words, positions
 
 
 @query("weighted_terms", _text_sql("s", "house_id"))
 def weighted_terms(spark, sf_dir):
-    located, kept, _ = _kept_terms(spark, sf_dir)
-    return _summary(terms.weighted_terms(inputs.houses(spark, sf_dir), located, kept, 6500.0), "house_id")
+    return _by_house(_text_features(spark, sf_dir, 6500.0)[0])
 
 
 @query("weighted_terms_mean", _text_sql("s / n", "term"))
 def weighted_terms_mean(spark, sf_dir):
-    located, kept, _ = _kept_terms(spark, sf_dir)
-    return _summary(terms.weighted_terms(inputs.houses(spark, sf_dir), located, kept, 6500.0, mean=True), "term")
+    features, _, positions = _text_features(spark, sf_dir, 6500.0, mean=True)
+    return _by_term(features, positions)
 
 
 @query("unweighted_terms", _text_sql("s::DOUBLE", "house_id", "1", 2500))
 def unweighted_terms(spark, sf_dir):
-    located, kept, _ = _kept_terms(spark, sf_dir)
-    found = terms.weighted_terms(inputs.houses(spark, sf_dir), located, kept, 2500.0, weighted=False)
-    return _summary(found, "house_id")
+    return _by_house(_text_features(spark, sf_dir, 2500.0, weighted=False)[0])
 
 
 @query("weighted_tf_idf", _text_sql("s * idf", "term", "1 - d / 5500", 5500))
 def weighted_tf_idf(spark, sf_dir):
-    located, kept, words = _kept_terms(spark, sf_dir)
-    found = terms.weighted_terms(inputs.houses(spark, sf_dir), located, kept, 5500.0)
-    return _summary(terms.tf_idf(found, words), "term")
+    features, words, positions = _text_features(spark, sf_dir, 5500.0)
+    return _by_term(terms.scaled(features, words, positions), positions)
+
+
+@query("house_term_weights", _text_sql("s", "house_id", "1 - d / 2500", 2500).replace(
+    "SELECT house_id, count(term) AS rows, round(sum(s), 3) AS total, round(max(s), 4) AS largest\nFROM f GROUP BY 1",
+    "SELECT house_id, term, round(s * idf, 4) AS weight FROM f"))
+def house_term_weights(spark, sf_dir):
+    features, words, positions = _text_features(spark, sf_dir, 2500.0)
+    weights = terms.tf_idf(terms.long_weights(features, positions), words)
+    return weights.select("house_id", "term", F.round("weight", 4).alias("weight"))
 
 
 _COUNTS = (f"SELECT house_id, count(article_id) AS article_count FROM ({HOUSES}) h LEFT JOIN "
