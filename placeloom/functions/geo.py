@@ -136,21 +136,22 @@ def cell_low(cell: Column, level: int, axis_min: float) -> Column:
     return cell * step_degrees(level) + axis_min
 
 
-def cover_lat_cells(lat: Column, radius_m: float, level: int) -> Column:
-    """Latitude cells that a circle of ``radius_m`` around ``lat`` can touch."""
+def cover_lat_cells(lat: Column, radius_m: float, level: int, size: float = 0.0) -> Column:
+    """Latitude cells within ``radius_m`` of a box with south edge ``lat`` (size 0: a point)."""
     reach = radius_m / LAT_DEGREE_MIN
-    return F.sequence(lat_cell(lat - reach, level), lat_cell(lat + reach, level))
+    return F.sequence(lat_cell(lat - reach, level), lat_cell(lat + size + reach, level))
 
 
-def cover_lon_cells(lat: Column, lon: Column, radius_m: float, level: int) -> Column:
-    """Longitude cells that the circle can touch; wraps at 180 degrees, all cells around a pole."""
+def cover_lon_cells(lat: Column, lon: Column, radius_m: float, level: int, size: float = 0.0) -> Column:
+    """Longitude cells within ``radius_m`` of the box; wraps at 180 degrees, all cells around a pole."""
     delta = radius_m / SPHERE_LOW / MEAN_RADIUS
-    ratio = F.lit(math.sin(min(delta, math.pi / 2))) / F.cos(F.radians(lat))
-    over_pole = F.abs(F.radians(lat)) + delta >= math.pi / 2
+    top = F.least(F.greatest(F.abs(lat), F.abs(lat + size)), F.lit(90.0))
+    ratio = F.lit(math.sin(min(delta, math.pi / 2))) / F.cos(F.radians(top))
+    over_pole = F.radians(top) + delta >= math.pi / 2
     reach = F.when(over_pole | (ratio >= 1.0), 180.0).otherwise(F.degrees(F.asin(ratio)))
     n = 2 ** (level + 1)
     first = F.floor((lon - reach + 180.0) / step_degrees(level)).cast("long")
-    final = F.floor((lon + reach + 180.0) / step_degrees(level)).cast("long")
+    final = F.floor((lon + size + reach + 180.0) / step_degrees(level)).cast("long")
     final = F.least(final, first + (n - 1))
     return F.transform(F.sequence(first, final), lambda c: F.pmod(c, F.lit(n).cast("long")))
 

@@ -23,47 +23,69 @@ def _cells(df: DataFrame, level: int, y: str = "_y", x: str = "_x") -> DataFrame
     return df.withColumns({y: geo.lat_cell(F.col("lat"), level), x: geo.lon_cell(F.col("lon"), level)})
 
 
-def _cover(points: DataFrame, radius_m: float, level: int) -> DataFrame:
-    """Repeat each point for every cell it can reach, with bounds ``_low``/``_high`` of its distance to the cell."""
+def _corner(level: int, y: str, x: str):
+    """South-west corner of a cell."""
+    return geo.cell_low(F.col(y), level, -90.0), geo.cell_low(F.col(x), level, -180.0)
+
+
+def _cover(boxes: DataFrame, radius_m: float, level: int, size: float = 0.0) -> DataFrame:
+    """Repeat each point for every cell it can reach, with bounds ``_low``/``_high`` of its distance to the cell.
+
+    With ``size`` the rows are boxes of that many degrees and ``lat``/``lon`` their south-west corner.
+    """
     lat, lon = F.col("lat"), F.col("lon")
-    rows = points.withColumn("_y", F.explode(geo.cover_lat_cells(lat, radius_m, level)))
-    rows = rows.withColumn("_x", F.explode(geo.cover_lon_cells(lat, lon, radius_m, level)))
-    low, high = geo.box_bounds_m(
-        lat, lon, 0.0,
-        geo.cell_low(F.col("_y"), level, -90.0), geo.cell_low(F.col("_x"), level, -180.0),
-        geo.step_degrees(level),
-    )
+    rows = boxes.withColumn("_y", F.explode(geo.cover_lat_cells(lat, radius_m, level, size)))
+    rows = rows.withColumn("_x", F.explode(geo.cover_lon_cells(lat, lon, radius_m, level, size)))
+    low, high = geo.box_bounds_m(lat, lon, size, *_corner(level, "_y", "_x"), geo.step_degrees(level))
     rows = geo.pin(rows, rows.columns, _low=low, _high=high)
     return rows.filter(F.col("_low") < radius_m)
 
 
+def _inside_and_edge(reach: DataFrame, radius_m: float, category: str, edge_columns: dict[str, str]) -> DataFrame:
+    """Per cell: one summed row for what lies wholly in range, and single rows for what may not.
+
+    ``edge_columns`` renames the columns an edge row keeps; they are NULL in a summed row.
+    """
+    inside = reach.filter(F.col("_high") < radius_m).groupBy("_y", "_x", category).agg(F.sum("_n").alias("_n"))
+    types = dict(reach.dtypes)
+    blank = [F.lit(None).cast(types[old]).alias(new) for old, new in edge_columns.items()]
+    edge = reach.filter(F.col("_high") >= radius_m)
+    kept = [F.col(old).alias(new) for old, new in edge_columns.items()]
+    fixed = ["_y", "_x", category, "_n"]
+    return inside.select(*fixed, *blank).unionByName(edge.select(*fixed, *kept))
+
+
 def count_in_radius(
     houses: DataFrame, points: DataFrame, radius_m: float, key: str = "house_id",
-    category: str = "category", fan: int = 4, rows_per_task: int = 200_000,
+    category: str = "category", fan: int = 4, rows_per_task: int = 200_000, crowded: int = 1000,
 ) -> DataFrame:
     """``(key, category, n_in_radius)``: points of each category nearer than ``radius_m`` (strict).
 
     ``houses`` has ``key, lat, lon``; ``points`` has ``category, lat, lon``. Pairs with no point in range
     give no row (see :func:`distance_features`). Copies of a point are merged first. A cell of about
     ``radius / fan`` that lies wholly in range contributes its count without looking at single points.
+    If some cell holds more than ``crowded`` places, points are first counted in much smaller cells, so
+    that a house meets single points only in the small cells its circle cuts.
     """
     level = geo.level_for(radius_m / fan)
     places = points.select(category, "lat", "lon").na.drop().groupBy(category, "lat", "lon").agg(
         F.count("*").alias("_n"))
-    reach = _cover(places, radius_m, level)
-    inside = (
-        reach.filter(F.col("_high") < radius_m)
-        .groupBy("_y", "_x", category).agg(F.sum("_n").alias("_n"))
-        .select("_y", "_x", category, "_n", F.lit(None).cast("double").alias("_plat"),
-                F.lit(None).cast("double").alias("_plon"))
-    )
-    edge = reach.filter(F.col("_high") >= radius_m).select(
-        "_y", "_x", category, "_n", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
     located = _cells(houses.select(key, "lat", "lon").na.drop(), level)
-    met = salted_join(located, inside.unionByName(edge), ["_y", "_x"], [key], rows_per_task)
+    fullest = _cells(places, level).groupBy(category, "_y", "_x").count().agg(F.max("count")).first()[0] or 0
+    if fullest > crowded:
+        return _count_crowded(located, places, radius_m, key, category, level, rows_per_task)
+    cells = _inside_and_edge(
+        _cover(places, radius_m, level), radius_m, category, {"lat": "_plat", "lon": "_plon"})
+    met = salted_join(located, cells, ["_y", "_x"], [key], rows_per_task)
+    return _count_met(met, radius_m, key, category)
+
 
-    # The sphere settles all but a thin ring around the radius. Settled pairs lose their point, so they
-    # fold into one row per house and category, and only ring pairs reach the exact formula.
+def _count_met(met: DataFrame, radius_m: float, key: str, category: str) -> DataFrame:
+    """Sum ``_n`` per house and category over rows without a point and over points in range.
+
+    The sphere settles all but a thin ring around the radius. Settled pairs lose their point, so they fold
+    into one row per house and category, and only ring pairs reach the exact formula.
+    """
     whole_cell = F.col("_plat").isNull()
     sphere = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon"))
     met = geo.pin(met, [key, category, "_n", "lat", "lon", "_plat", "_plon"], _hav=sphere)
@@ -79,6 +101,33 @@ def count_in_radius(
     )
 
 
+def _count_crowded(
+    located: DataFrame, places: DataFrame, radius_m: float, key: str, category: str, level: int, rows_per_task: int,
+) -> DataFrame:
+    fine = min(level + 4, geo.FINEST_LEVEL)
+    small = _cells(places, fine, "_py", "_px")
+    lat, lon = _corner(fine, "_py", "_px")
+    boxes = small.groupBy(category, "_py", "_px").agg(F.sum("_n").alias("_n")).withColumns({"lat": lat, "lon": lon})
+    reach = _cover(boxes, radius_m, level, geo.step_degrees(fine))
+    cells = _inside_and_edge(reach, radius_m, category, {"_py": "_py", "_px": "_px"})
+    met = salted_join(located, cells, ["_y", "_x"], [key], rows_per_task)
+    low, high = geo.box_bounds_m(
+        F.col("lat"), F.col("lon"), 0.0, *_corner(fine, "_py", "_px"), geo.step_degrees(fine))
+    met = geo.pin(met, [key, category, "_n", "lat", "lon", "_py", "_px"], _low=low, _high=high)
+    summed = F.col("_py").isNull()
+    met = met.filter(summed | (F.col("_low") < radius_m))
+    cut = ~summed & (F.col("_high") >= radius_m)
+    folded = write_once(met.groupBy(
+        key, category, *[F.when(cut, F.col(c)).alias(c) for c in ("lat", "lon", "_py", "_px")]
+    ).agg(F.sum("_n").alias("_n")), "cells")
+    no_point = [F.lit(None).cast("double").alias(c) for c in ("_plat", "_plon")]
+    whole = folded.filter(F.col("_py").isNull()).select(key, category, "_n", "lat", "lon", *no_point)
+    pieces = folded.filter(F.col("_py").isNotNull()).drop("_n")
+    singles = small.withColumnsRenamed({"lat": "_plat", "lon": "_plon"})
+    points = salted_join(pieces, singles, [category, "_py", "_px"], [key], rows_per_task)
+    return _count_met(whole.unionByName(points.select(whole.columns)), radius_m, key, category)
+
+
 def pairs_in_radius(
     houses: DataFrame, points: DataFrame, radius_m: float, key: str = "house_id",
     carry: list[str] | None = None, fan: int = 2, rows_per_task: int = 200_000,

@@ -59,15 +59,26 @@ def test_missing_coordinate_gives_no_distance(spark):
     assert geo.with_geodesic(df, "a", "b", "c", "d").first()["dist_m"] is None
 
 
-@pytest.mark.parametrize("rows_per_task", [20, 200_000])
+@pytest.mark.parametrize("rows_per_task,crowded", [(20, 1000), (200_000, 1000), (20, 1)])
 @pytest.mark.parametrize("radius", [800.0, 6500.0])
-def test_count_in_radius(data, radius, rows_per_task):
+def test_count_in_radius(data, radius, rows_per_task, crowded):
     _, _, dist, h, p = data
     want = Counter((i, category(j)) for (i, j), d in dist.items() if d < radius)
-    got = spatial.count_in_radius(h, p, radius, rows_per_task=rows_per_task).collect()
+    got = spatial.count_in_radius(h, p, radius, rows_per_task=rows_per_task, crowded=crowded).collect()
     assert {(r["house_id"], r["category"]): r["n_in_radius"] for r in got} == dict(want)
 
 
+def test_count_across_a_pole_when_crowded(spark):
+    rng = random.Random(9)
+    houses = [(89.99 + rng.random() * 0.01, rng.uniform(-180, 180)) for _ in range(20)] + [(5.0, 179.999)]
+    points = [(89.98 + rng.random() * 0.02, rng.uniform(-180, 180)) for _ in range(60)] + [(5.0, -179.999)] * 3
+    h, p = frames(spark, houses, points)
+    want = Counter((i, category(j)) for i, a in enumerate(houses) for j, b in enumerate(points) if geodesic(*a, *b) < 900)
+    for crowded in (1, 1000):
+        got = spatial.count_in_radius(h, p, 900.0, crowded=crowded, fan=1).collect()
+        assert {(r["house_id"], r["category"]): r["n_in_radius"] for r in got} == dict(want)
+
+
 @pytest.mark.parametrize("rows_per_task", [20, 200_000])
 def test_pairs_in_radius(data, rows_per_task):
     _, _, dist, h, p = data
