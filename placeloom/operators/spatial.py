@@ -16,6 +16,8 @@ from placeloom.operators.skew import salted_join
 from placeloom.session import write_once
 
 LEAF_ROWS = 4
+# Levels from one comparison of cells to the next finer one.
+STEP = 2
 START_CELLS = 64
 
 
@@ -57,7 +59,7 @@ def _inside_and_edge(reach: DataFrame, radius_m: float, category: str, edge_colu
 
 def count_in_radius(
     houses: DataFrame, points: DataFrame, radius_m: float, key: str = "house_id",
-    category: str = "category", fan: int = 4, rows_per_task: int = 200_000, crowded: int = 1000,
+    category: str = "category", fan: int = 4, rows_per_task: int = 200_000, crowded: int = 10_000,
 ) -> DataFrame:
     """``(key, category, n_in_radius)``: points of each category nearer than ``radius_m`` (strict).
 
@@ -173,14 +175,21 @@ def _frame(houses: DataFrame, points: DataFrame) -> tuple[int, tuple[int, int, i
 
 
 def _leaf_level(points: DataFrame, group: list[str], start: int, leaf_rows: int) -> int:
-    """First level below ``start`` where no cell of one category holds more than ``leaf_rows`` places."""
-    level = start
-    while level < geo.FINEST_LEVEL:
-        level = min(level + 2, geo.FINEST_LEVEL)
-        most = _cells(points, level).groupBy(*group, "_y", "_x").count().agg(F.max("count")).first()[0]
-        if most is None or most <= leaf_rows:
-            break
-    return level
+    """First level below ``start`` where no cell of one category holds more than ``leaf_rows`` places.
+
+    All levels are counted in one pass from the cells of the finest one.
+    """
+    finest = geo.FINEST_LEVEL
+    levels = list(range(start + STEP, finest, STEP))
+    shifts = F.explode(F.array(*[F.lit(finest - n) for n in levels], F.lit(0))).alias("_s")
+    cells = _cells(points, finest).select(*group, "_y", "_x", shifts)
+    full = (
+        cells.groupBy(*group, "_s", F.expr("shiftright(_y, _s)").alias("_y"), F.expr("shiftright(_x, _s)").alias("_x"))
+        .count().filter(F.col("count") > leaf_rows).agg(F.min("_s")).first()[0]
+    )
+    if full is None:
+        return levels[0] if levels else finest
+    return min(finest - full + STEP, finest)
 
 
 def _up(cell: str, levels: int):
@@ -233,7 +242,7 @@ def nearest(
     )
     pairs = _prune(pairs, group, level, k)
     while level < leaf:
-        finer = min(level + 2, leaf)
+        finer = min(level + STEP, leaf)
         drop = finer - level
         h_next = (
             h_cells.select(_up("_hy", leaf - finer).alias("_hy2"), _up("_hx", leaf - finer).alias("_hx2"))
@@ -403,6 +412,9 @@ def drop_near_duplicates_greedy(
 ) -> DataFrame:
     """Near-duplicate removal that goes through the points in key order.
 
+    Give it one row per place (:func:`drop_same_place`): its pair list grows with the square of the copies.
+    :func:`drop_near_duplicates` has no such list and is the default for large tables.
+
     A point is removed when some other point that is still a candidate lies near it; the first such
     candidate then no longer serves as one. The decision of a point waits only for the earlier points
     near it, so points are decided in rounds: a point whose earlier neighbours are all decided is decided

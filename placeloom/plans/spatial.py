@@ -110,7 +110,8 @@ def near_duplicates(spark, sf_dir):
 
 @query("near_duplicates_greedy")
 def near_duplicates_greedy(spark, sf_dir):
-    return spatial.drop_near_duplicates_greedy(inputs.near_points(spark, sf_dir)).select("point_id", "category")
+    one_per_place = spatial.drop_same_place(inputs.near_points(spark, sf_dir))
+    return spatial.drop_near_duplicates_greedy(one_per_place).select("point_id", "category")
 
 
 @query("same_place_first", f"""
