@@ -52,6 +52,15 @@ _PLAIN = (
 )
 
 
+def is_number(text: Column) -> Column:
+    """Digits, points and minus signs only; not a lone sign or point, nor two in a row."""
+    return text.rlike(r"^(?![.\-]$)(?!.*(?:\.\.|--))[0-9.\-]+$")
+
+
+def to_number(text: Column) -> Column:
+    return F.when(is_number(text), text.try_cast("double"))
+
+
 def coord_body(tag_text: Column) -> Column:
     """Body of a coordinate tag without blanks, with runs of pipes collapsed."""
     body = F.translate(tag_text, "\n \t", "")
@@ -172,7 +181,10 @@ def infobox(article: Column) -> Column:
     named = F.transform(
         F.filter(fields, lambda f: F.size(f) == 2), lambda f: F.struct(_strip(f[0]).alias("k"), _strip(f[1]).alias("v")))
     full = F.filter(named, lambda f: f["v"] != "")
-    return F.when(has_template(article, "infobox"), F.map_from_entries(full))
+    empty = F.create_map().cast("map<string,string>")
+    last_wins = F.aggregate(full, empty, lambda seen, f: F.map_concat(
+        F.map_filter(seen, lambda k, v: k != f["k"]), F.create_map(f["k"], f["v"])))
+    return F.when(has_template(article, "infobox"), last_wins)
 
 
 def _strip(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.operators import metrics
+from placeloom.operators.folds import k_folds
 from placeloom.operators.profiling import absent_levels
 from placeloom.session import write_once
 
@@ -63,14 +64,14 @@ def assembled(df: DataFrame, columns: list[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=columns, outputCol=out).transform(df)
 
 
-def _scalar_scale(train: DataFrame, columns: list[str]) -> tuple[float, float]:
-    """Mean and population deviation over all values of all columns together."""
-    sums = train.agg(
-        F.sum(sum(F.col(f"`{c}`").cast("double") for c in columns)).alias("s"), F.count("*").alias("n")).first()
-    mean = sums["s"] / (sums["n"] * len(columns))
-    squares = sum((F.col(f"`{c}`") - mean) * (F.col(f"`{c}`") - mean) for c in columns)
-    var = train.agg(F.sum(squares)).first()[0] / (sums["n"] * len(columns))
-    return mean, var ** 0.5
+def whole_scale(train: DataFrame, columns: list[str]) -> tuple[float, float]:
+    """Mean and population deviation over all values of all columns together, from per-column sums."""
+    def total(of) -> float:
+        return sum(train.agg(*[F.sum(of(F.col(f"`{c}`").cast("double"))).alias(c) for c in columns]).first())
+
+    n = train.count() * len(columns)
+    mean = total(lambda v: v) / n
+    return mean, (total(lambda v: (v - mean) * (v - mean)) / n) ** 0.5
 
 
 def column_scale(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -85,29 +86,36 @@ def flag_columns(columns: list[str]) -> list[str]:
     return [c for c in columns if "_" in c]
 
 
-def fit_fold(df: DataFrame, fold, make: Maker, columns: list[str], keep: list[str], standardize: bool = False):
+def fit_fold(
+    df: DataFrame, fold, make: Maker, columns: list[str], keep: list[str], standardize: bool = False,
+    vector_names: dict[str, list[str]] | None = None,
+):
     """Train on every other fold, predict this one: ``(predictions, importance rows)``.
 
-    Levels that the training rows never show are left out of the features.
+    Levels that the training rows never show are left out of the features. ``vector_names`` names the
+    entries of columns that hold vectors.
     """
+    vector_names = vector_names or {}
     in_train = F.col("fold") != F.lit(fold)
-    flags = flag_columns(columns)
+    flags = flag_columns([c for c in columns if c not in vector_names])
     absent = {r["column"] for r in absent_levels(df, in_train, flags).collect()} if flags else set()
     used = [c for c in columns if c not in absent]
     scaled = df
     if standardize:
-        mean, std = _scalar_scale(df.filter(in_train), used)
+        mean, std = whole_scale(df.filter(in_train), used)
         scaled = df.withColumns({c: (F.col(f"`{c}`") - mean) / std for c in used})
     rows = assembled(scaled.select(*keep, "fold", "y", *used), used).select(*keep, "fold", "y", "features")
     train = rows.filter(in_train)
     model = make(train).fit(train)
     scores = model.coefficients if hasattr(model, "coefficients") else model.featureImportances
-    importance = [(str(fold), c, float(v)) for c, v in zip(used, scores.toArray())]
+    names = [n for c in used for n in vector_names.get(c, [c])]
+    importance = [(str(fold), c, float(v)) for c, v in zip(names, scores.toArray(), strict=True)]
     return model.transform(rows.filter(~in_train)).drop("features"), importance
 
 
 def leave_one_out(
     df: DataFrame, folds: list, make: Maker, columns: list[str], keep: list[str], standardize: bool = False,
+    vector_names: dict[str, list[str]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Predict every fold from all the others.
 
@@ -117,7 +125,7 @@ def leave_one_out(
     """
     table = write_once(df.select(*dict.fromkeys([*keep, "fold", "y", *columns])), "folds")
     with ThreadPool(FOLDS_AT_ONCE) as pool:
-        fitted = pool.map(lambda f: fit_fold(table, f, make, columns, keep, standardize), folds)
+        fitted = pool.map(lambda f: fit_fold(table, f, make, columns, keep, standardize, vector_names), folds)
     predictions = fitted[0][0]
     for part, _ in fitted[1:]:
         predictions = predictions.unionByName(part)
@@ -128,8 +136,6 @@ def leave_one_out(
 
 def cross_validation(df: DataFrame, make: Maker, columns: list[str], k: int = 5, key: str = "_id", seed: int = 42):
     """Measures per random fold: ``(per_fold, summary)``."""
-    from placeloom.operators.folds import k_folds
-
     pred, _ = leave_one_out(k_folds(df, key, k, seed), [str(i) for i in range(k)], make, columns, [key])
     per_fold = metrics.measures(pred, ["fold"])
     return per_fold, metrics.mean_and_spread(per_fold)

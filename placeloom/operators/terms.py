@@ -49,10 +49,6 @@ def vocabulary(terms: DataFrame, n_docs: int, min_df: float = MIN_DF) -> DataFra
     return kept.withColumn("idf", text.smooth_idf(F.lit(n_docs), F.col("df")))
 
 
-def keep_vocabulary(terms: DataFrame, words: DataFrame) -> DataFrame:
-    return terms.join(words.select("term"), "term", "left_semi")
-
-
 def place_vectors(
     articles: DataFrame, terms: DataFrame, positions: DataFrame, key: str = "article_id",
 ) -> DataFrame:

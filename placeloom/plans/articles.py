@@ -53,6 +53,19 @@ def coordinate_forms(spark, sf_dir):
     return at.select("o_orderkey", F.round("at.lat", 6).alias("lat"), F.round("at.lon", 6).alias("lon"))
 
 
+@query("number_strings", """
+SELECT o_orderkey, o_orderkey % 6 < 3 AS is_number, CASE o_orderkey % 6 WHEN 0 THEN o_orderkey WHEN 1 THEN -(o_orderkey + 0.5)
+  WHEN 2 THEN 5 END::DOUBLE AS number FROM orders""")
+def number_strings(spark, sf_dir):
+    k = F.col("o_orderkey")
+    i = k.cast("string")
+    raw = (
+        F.when(k % 6 == 0, i).when(k % 6 == 1, F.concat(F.lit("-"), i, F.lit(".5"))).when(k % 6 == 2, "5.")
+        .when(k % 6 == 3, F.concat(i, F.lit("..1"))).when(k % 6 == 4, "-").otherwise(F.concat(i, F.lit("N"))))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", markup.is_number(raw).alias("is_number"), markup.to_number(raw).alias("number"))
+
+
 @query("located_articles", f"SELECT doc_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM ({PAGE_FACTS}) WHERE {IN_COUNTY}")
 def located_articles(spark, sf_dir):
     found = art.located(inputs.pages(spark, sf_dir))

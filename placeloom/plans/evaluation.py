@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from placeloom.operators import cleaning, evaluation, folds, metrics, ordering, profiling
+from placeloom.operators import cleaning, evaluation, folds, metrics, ordering, terms
 from placeloom.plans import inputs
 from placeloom.plans.inputs import HOUSES
 from placeloom.plans.registry import query, table
+from placeloom.plans.spatial import text_features
 
 
 def _part(key: str, n: int, seed: int = 42) -> str:
@@ -67,8 +68,8 @@ SELECT round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std FROM
  (SELECT l_quantity AS v FROM lineitem UNION ALL SELECT l_extendedprice FROM lineitem)""")
 def whole_matrix_scale(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
-    mean, std = evaluation._scalar_scale(items, ["l_quantity", "l_extendedprice"])
-    return items.limit(1).select(F.lit(round(mean, 5)).alias("mean"), F.lit(round(std, 5)).alias("std"))
+    mean, std = evaluation.whole_scale(items, ["l_quantity", "l_extendedprice"])
+    return spark.createDataFrame([(round(mean, 5), round(std, 5))], "mean double, std double")
 
 
 # ---- models -----------------------------------------------------------------------------------------
@@ -111,9 +112,8 @@ SELECT round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 3) AS in
 def linear_regression(spark, sf_dir):
     rows = evaluation.assembled(_lines(spark, sf_dir).select("y", "l_quantity"), ["l_quantity"])
     model = evaluation.linear()(rows).fit(rows)
-    one = table(spark, sf_dir, "lineitem").limit(1)
-    return one.select(F.lit(round(float(model.coefficients[0]), 4)).alias("slope"),
-                      F.lit(round(model.intercept, 3)).alias("intercept"))
+    row = (round(float(model.coefficients[0]), 4), round(model.intercept, 3))
+    return spark.createDataFrame([row], "slope double, intercept double")
 
 
 @query("ridge_regression", f"""
@@ -122,9 +122,8 @@ SELECT round(slope, 4) AS slope, round(my - slope * mx, 3) AS intercept FROM
 def ridge_regression(spark, sf_dir):
     rows = evaluation.assembled(_lines(spark, sf_dir).select("y", "l_quantity"), ["l_quantity"])
     model = evaluation.ridge(5000.0)(rows).fit(rows)
-    one = table(spark, sf_dir, "lineitem").limit(1)
-    return one.select(F.lit(round(float(model.coefficients[0]), 4)).alias("slope"),
-                      F.lit(round(model.intercept, 3)).alias("intercept"))
+    row = (round(float(model.coefficients[0]), 4), round(model.intercept, 3))
+    return spark.createDataFrame([row], "slope double, intercept double")
 
 
 @query("lasso_regression", f"""
@@ -133,9 +132,8 @@ SELECT round(slope, 1) AS slope, round(my - slope * mx, 0) AS intercept FROM
 def lasso_regression(spark, sf_dir):
     rows = evaluation.assembled(_lines(spark, sf_dir).select("y", "l_quantity"), ["l_quantity"])
     model = evaluation.lasso(900.0)(rows).fit(rows)
-    one = table(spark, sf_dir, "lineitem").limit(1)
-    return one.select(F.lit(round(float(model.coefficients[0]), 1)).alias("slope"),
-                      F.lit(float(round(model.intercept))).alias("intercept"))
+    row = (round(float(model.coefficients[0]), 1), float(round(model.intercept)))
+    return spark.createDataFrame([row], "slope double, intercept double")
 
 
 @query("cross_validation", f"""
@@ -226,6 +224,34 @@ def feature_elimination(spark, sf_dir):
     return spark.createDataFrame(rows, "features int, rmse double, best boolean")
 
 
+def _text_table(spark, sf_dir):
+    """Houses with a text vector, and the terms in vector order."""
+    features, _, positions = text_features(spark, sf_dir, 6500.0)
+    names = [r["term"] for r in positions.orderBy("position").collect()]  # the vocabulary, cut by document frequency
+    table_ = inputs.houses(spark, sf_dir).join(terms.as_ml_vectors(features), "house_id").withColumn("y", F.col("price"))
+    return folds.quadrant_folds(table_), names
+
+
+@query("text_model")
+def text_model(spark, sf_dir):
+    """Structured and text features together, leave one quadrant out."""
+    rows, names = _text_table(spark, sf_dir)
+    pred, _ = evaluation.leave_one_out(
+        rows, ["1", "2", "3", "4"], evaluation.ridge(1000.0), ["lat", "text_vec"], ["house_id"],
+        vector_names={"text_vec": names})
+    return metrics.measures(pred, ["fold"])
+
+
+@query("text_model_importance")
+def text_model_importance(spark, sf_dir):
+    rows, names = _text_table(spark, sf_dir)
+    pred, importance = evaluation.leave_one_out(
+        rows, ["1", "2", "3", "4"], evaluation.ridge(1000.0), ["lat", "text_vec"], ["house_id"],
+        vector_names={"text_vec": names})
+    weighted = evaluation.weighted_importance(importance, metrics.measures(pred, ["fold"]))
+    return ordering.top(weighted.filter("feature <> 'lat'"), "importance", 15, "feature")
+
+
 # ---- importance tables ------------------------------------------------------------------------------
 
 _IMPORTANCE = "SELECT p_name || '_' || p_brand AS feature, p_brand AS grp, sum(p_size - 25) AS importance FROM part GROUP BY 1, 2"

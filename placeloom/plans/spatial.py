@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placeloom.functions import geo
-from placeloom.operators import articles as art
 from placeloom.operators import profiling, spatial, terms, vectors
 from placeloom.plans import inputs
 from placeloom.plans.inputs import ARTICLES, DOC_VECTORS, HOUSES, NEAR_POINTS, POINTS, sql_distance, sql_house_pairs
@@ -264,7 +263,7 @@ def _by_term(features, positions):
     ).join(positions, "position").select("term", "rows", "total", "largest")
 
 
-def _text_features(spark, sf_dir, radius: float, **settings):
+def text_features(spark, sf_dir, radius: float, **settings):
     """Text features of all houses, with the vocabulary and the position of each term."""
     located = inputs.articles(spark, sf_dir)
     counts = terms.write_once(terms.term_counts(located), "terms")
@@ -277,23 +276,23 @@ def _text_features(spark, sf_dir, radius: float, **settings):
 
 @query("weighted_terms", _text_sql("s", "house_id"))
 def weighted_terms(spark, sf_dir):
-    return _by_house(_text_features(spark, sf_dir, 6500.0)[0])
+    return _by_house(text_features(spark, sf_dir, 6500.0)[0])
 
 
 @query("weighted_terms_mean", _text_sql("s / n", "term"))
 def weighted_terms_mean(spark, sf_dir):
-    features, _, positions = _text_features(spark, sf_dir, 6500.0, mean=True)
+    features, _, positions = text_features(spark, sf_dir, 6500.0, mean=True)
     return _by_term(features, positions)
 
 
 @query("unweighted_terms", _text_sql("s::DOUBLE", "house_id", "1", 2500))
 def unweighted_terms(spark, sf_dir):
-    return _by_house(_text_features(spark, sf_dir, 2500.0, weighted=False)[0])
+    return _by_house(text_features(spark, sf_dir, 2500.0, weighted=False)[0])
 
 
 @query("weighted_tf_idf", _text_sql("s * idf", "term", "1 - d / 5500", 5500))
 def weighted_tf_idf(spark, sf_dir):
-    features, words, positions = _text_features(spark, sf_dir, 5500.0)
+    features, words, positions = text_features(spark, sf_dir, 5500.0)
     return _by_term(terms.scaled(features, words, positions), positions)
 
 
@@ -301,7 +300,7 @@ def weighted_tf_idf(spark, sf_dir):
     "SELECT house_id, count(term) AS rows, round(sum(s), 3) AS total, round(max(s), 4) AS largest\nFROM f GROUP BY 1",
     "SELECT house_id, term, round(s * idf, 4) AS weight FROM f"))
 def house_term_weights(spark, sf_dir):
-    features, words, positions = _text_features(spark, sf_dir, 2500.0)
+    features, words, positions = text_features(spark, sf_dir, 2500.0)
     weights = terms.tf_idf(terms.long_weights(features, positions), words)
     return weights.select("house_id", "term", F.round("weight", 4).alias("weight"))
 

@@ -12,7 +12,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 
@@ -46,7 +45,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def write_once(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+    """Write ``df`` to the shared folder and read it back; the files live as long as that folder.
 
     Used where several later steps need the same costly rows: they are computed once, the lineage is
     cut, and a lost executor re-reads files instead of re-running the join.

@@ -200,3 +200,13 @@ def test_weights_lie_between_zero_and_one(data):
     pairs = spatial.pairs_in_radius(data[3], data[4], 2500.0)
     w = pairs.select(geo.decay_weight(F.col("dist_m"), 2500.0).alias("w"))
     assert w.filter("w <= 0 OR w > 1").count() == 0
+
+
+def test_no_join_compares_all_pairs(data):
+    h, p = data[3], data[4]
+    for df in (
+        spatial.count_in_radius(h, p, 3500.0), spatial.pairs_in_radius(h, p, 3500.0),
+        spatial.nearest(h, p, group=["category"]), spatial.near_duplicate_ids(p),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
