@@ -25,11 +25,11 @@ def term_counts(
 ) -> DataFrame:
     """``(key, term, tf)``: words and, on what stop words leave, pairs of neighbours.
 
-    The words of an article travel once, before they are unfolded: that is less than its counted terms
-    would be, and the count then needs no further shuffle. ``key`` is unique, so the parts are even.
+    The text travels once, before it is unfolded: that is less than its words or counted terms would be, and
+    the count then needs no further shuffle. ``key`` is unique, so the parts are even.
     """
     words = text.without_stop_words(text.tokens(text.split_category_prefix(F.col(column))), stop)
-    held = geo.pin(articles.select(key, column), [key], _words=words).repartition(key)
+    held = geo.pin(articles.select(key, column).repartition(key), [key], _words=words)
     terms = text.with_bigrams(F.col("_words")) if bigrams else F.col("_words")
     return held.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
@@ -67,25 +67,13 @@ def place_vectors(
     return full.select("lat", "lon", "n_articles", F.col("c.p").alias("pos"), F.col("c.v").alias("val"))
 
 
-def house_places(
-    houses: DataFrame, articles: DataFrame, radius_m: float, weighted: bool = True, key: str = "house_id",
-    rows_per_task: int = 200_000,
+def article_counts(
+    houses: DataFrame, articles: DataFrame, radius_m: float = TEXT_RADIUS_M, key: str = "house_id", **settings: int,
 ) -> DataFrame:
-    """``(key, lat, lon, n_articles, w)``: the article places in range of each house and their weight.
-
-    Articles that share a place are one row, so copies of a place do not multiply the pairs. The pairs
-    feed several steps and are written once.
-    """
-    places = articles.select("lat", "lon").na.drop().groupBy("lat", "lon").agg(F.count("*").alias("n_articles"))
-    pairs = spatial.pairs_in_radius(
-        houses, places, radius_m, key, ["n_articles", "lat", "lon"], rows_per_task=rows_per_task)
-    w = geo.decay_weight(F.col("dist_m"), radius_m) if weighted else F.lit(1.0)
-    return write_once(pairs.select(key, "lat", "lon", "n_articles", w.alias("w")), "pairs")
-
-
-def article_counts(houses: DataFrame, pairs: DataFrame, key: str = "house_id") -> DataFrame:
-    """``(key, article_count)`` for every house, 0 where none is in range."""
-    counted = pairs.groupBy(key).agg(F.sum("n_articles").alias("article_count"))
+    """``(key, article_count)`` for every house, 0 where none is in range; counted by cells, without pairs."""
+    all_one = articles.select(F.lit("article").alias("category"), "lat", "lon")
+    counted = spatial.count_in_radius(houses, all_one, radius_m, key, **settings).select(
+        key, F.col("n_in_radius").alias("article_count"))
     return houses.select(key).join(counted, key, "left").select(
         key, F.coalesce("article_count", F.lit(0).cast("long")).alias("article_count"))
 

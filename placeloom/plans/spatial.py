@@ -107,7 +107,29 @@ def near_duplicates(spark, sf_dir):
     return spatial.drop_near_duplicates(inputs.near_points(spark, sf_dir)).select("point_id", "category")
 
 
-@query("near_duplicates_greedy")
+_ONE_PER_PLACE = (f"SELECT point_id, category, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY lat, lon ORDER BY point_id) "
+                  f"AS r FROM ({NEAR_POINTS})) WHERE r = 1")
+_PLACE_PAIRS = sql_distance(
+    "SELECT a.point_id, b.point_id AS other, a.lat, a.lon, b.lat lat2, b.lon lon2 FROM pts a JOIN pts b "
+    "ON a.category = b.category AND a.point_id <> b.point_id AND abs(a.lat - b.lat) < 0.001 "
+    "AND abs(a.lon - b.lon) < 0.001", "point_id, other")
+
+
+@query("near_duplicates_greedy", f"""
+WITH RECURSIVE pts AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY point_id) AS rn FROM ({_ONE_PER_PLACE})),
+near AS (SELECT point_id, list(other ORDER BY other) AS others FROM ({_PLACE_PAIRS}) WHERE d < 8 GROUP BY 1),
+steps AS (SELECT p.category, p.rn, p.point_id, coalesce(n.others, []) AS others FROM pts p LEFT JOIN near n USING (point_id)),
+walk AS (
+  SELECT DISTINCT category, 0::BIGINT AS rn, []::BIGINT[] AS spent, []::BIGINT[] AS removed FROM pts
+  UNION ALL
+  SELECT category, rn, CASE WHEN pick IS NULL THEN spent ELSE list_append(spent, pick) END,
+    CASE WHEN pick IS NULL THEN removed ELSE list_append(removed, point_id) END
+  FROM (SELECT w.category, s.rn, w.spent, w.removed, s.point_id,
+          list_filter(s.others, lambda x: NOT list_contains(w.spent, x))[1] AS pick
+        FROM walk w JOIN steps s ON s.category = w.category AND s.rn = w.rn + 1)),
+gone AS (SELECT unnest(removed) AS point_id FROM walk w
+         WHERE rn = (SELECT max(rn) FROM pts p WHERE p.category = w.category))
+SELECT point_id, category FROM pts WHERE point_id NOT IN (SELECT point_id FROM gone)""")
 def near_duplicates_greedy(spark, sf_dir):
     one_per_place = spatial.drop_same_place(inputs.near_points(spark, sf_dir))
     return spatial.drop_near_duplicates_greedy(one_per_place).select("point_id", "category")
@@ -310,9 +332,7 @@ _COUNTS = (f"SELECT house_id, count(article_id) AS article_count FROM ({HOUSES})
 
 
 def _counts(spark, sf_dir):
-    houses = inputs.houses(spark, sf_dir)
-    pairs = terms.house_places(houses, inputs.articles(spark, sf_dir), 2500.0)
-    return terms.article_counts(houses, pairs)
+    return terms.article_counts(inputs.houses(spark, sf_dir), inputs.articles(spark, sf_dir), 2500.0)
 
 
 @query("article_counts", _COUNTS)
