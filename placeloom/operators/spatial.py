@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeloom.functions import geo
-from placeloom.operators.skew import salted_join
+from placeloom.operators.skew import once_per_place, salted_join
 from placeloom.session import write_once
 
 LEAF_ROWS = 4
@@ -72,14 +72,18 @@ def count_in_radius(
     level = geo.level_for(radius_m / fan)
     places = points.select(category, "lat", "lon").na.drop().groupBy(category, "lat", "lon").agg(
         F.count("*").alias("_n"))
-    located = _cells(houses.select(key, "lat", "lon").na.drop(), level)
     fullest = _cells(places, level).groupBy(category, "_y", "_x").count().agg(F.max("count")).first()[0] or 0
-    if fullest > crowded:
-        return _count_crowded(located, places, radius_m, key, category, level, rows_per_task)
-    cells = _inside_and_edge(
-        _cover(places, radius_m, level), radius_m, category, {"lat": "_plat", "lon": "_plon"})
-    met = salted_join(located, cells, ["_y", "_x"], [key], rows_per_task)
-    return _count_met(met, radius_m, key, category)
+
+    def count(homes: DataFrame) -> DataFrame:
+        located = _cells(homes, level)
+        if fullest > crowded:
+            return _count_crowded(located, places, radius_m, key, category, level, rows_per_task)
+        cells = _inside_and_edge(
+            _cover(places, radius_m, level), radius_m, category, {"lat": "_plat", "lon": "_plon"})
+        met = salted_join(located, cells, ["_y", "_x"], [key], rows_per_task)
+        return _count_met(met, radius_m, key, category)
+
+    return once_per_place(houses.select(key, "lat", "lon").na.drop(), key, count, rows_per_task)
 
 
 def _count_met(met: DataFrame, radius_m: float, key: str, category: str) -> DataFrame:
@@ -213,11 +217,19 @@ def nearest(
     ids = [point_key] if point_key else []
     if not ids and k != 1:
         raise ValueError("k > 1 needs point_key")
-    homes = houses.select(key, "lat", "lon").na.drop()
+    return once_per_place(
+        houses.select(key, "lat", "lon").na.drop(), key,
+        lambda homes: _nearest(homes, points, k, key, group, ids, leaf_rows, rows_per_task), rows_per_task)
+
+
+def _nearest(
+    homes: DataFrame, points: DataFrame, k: int, key: str, group: list[str], ids: list[str], leaf_rows: int,
+    rows_per_task: int,
+) -> DataFrame:
     places = points.select(*group, *ids, "lat", "lon").na.drop()
     # no more than k copies of one place can be among the k nearest
     if ids:
-        same = Window.partitionBy(*group, "lat", "lon").orderBy(point_key)
+        same = Window.partitionBy(*group, "lat", "lon").orderBy(*ids)
         places = places.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= k).drop("_copy")
     else:
         places = places.distinct()
@@ -267,7 +279,7 @@ def nearest(
     met = geo.with_geodesic(met, "lat", "lon", "_plat", "_plon", "dist_m")
     if not ids:
         return met.groupBy(key, *group).agg(F.min("dist_m").alias("dist_m"))
-    order = Window.partitionBy(key, *group).orderBy("dist_m", point_key)
+    order = Window.partitionBy(key, *group).orderBy("dist_m", *ids)
     ranked = met.select(key, *group, *ids, "dist_m", F.row_number().over(order).alias("rank"))
     return ranked.filter(F.col("rank") <= k)
 

@@ -210,3 +210,21 @@ def test_no_join_compares_all_pairs(data):
     ):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_third_of_the_houses_at_one_place(spark):
+    houses, points = spread(60, 5) + [(40.44, -79.99)] * 30, spread(50, 6)
+    h, p = frames(spark, houses, points)
+    dist = {(i, j): geodesic(*a, *b) for i, a in enumerate(houses) for j, b in enumerate(points)}
+    got = spatial.count_in_radius(h, p, 2000.0, rows_per_task=10).collect()
+    want = Counter((i, category(j)) for (i, j), d in dist.items() if d < 2000)
+    assert {(r["house_id"], r["category"]): r["n_in_radius"] for r in got} == dict(want) and len(got) == len(want)
+    near = spatial.nearest(h, p, 3, point_key="point_id", rows_per_task=10).collect()
+    for i in range(len(houses)):
+        first = [j for _, j in sorted((round(dist[i, j], 6), j) for j in range(len(points)))[:3]]
+        assert [r["point_id"] for r in sorted(near, key=lambda r: r["rank"]) if r["house_id"] == i] == first
+    places = spark.createDataFrame(
+        [(*q, 1, [0], [1.0]) for q in set(points)], "lat double, lon double, n_articles long, pos array<int>, val array<double>")
+    sums = blocks.weighted_sums(h, places, 1, 2000.0, False, houses_per_block=10).collect()
+    in_range = {i: sum(geodesic(*a, *q) < 2000 for q in set(points)) for i, a in enumerate(houses)}
+    assert {r["house_id"]: r["vec"][0] for r in sums} == {i: n for i, n in in_range.items() if n}
