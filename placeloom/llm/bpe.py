@@ -57,7 +57,15 @@ class Merges:
             self.rank.setdefault((vocabulary[a], vocabulary[b]), (at, vocabulary[a + b]))
         self.added = added
         self.added_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(added, key=len, reverse=True))) if added else None
-        self.byte_ids = [vocabulary.get(bytes([b]), -1) for b in range(256)]
+        self.pairs = {at: pair for pair, (at, _) in self.rank.items()}
+        self.end = len(pairs) + 1
+        # the rule that makes a token where its bytes stand alone: that of its last merge
+        self.made_at: dict[int, int] = {}
+        for (a, b), (at, made) in self.rank.items():
+            if self.merge(self.bytes_of[made], made) == [a, b]:
+                self.made_at[made] = at
+        self.longest = max(map(len, vocabulary))
+        self.whole = {b: i for b, i in vocabulary.items() if self.merge(b) == [i]}  # tokens that merges reach
 
     @staticmethod
     def from_file(path: str) -> Merges:
@@ -91,23 +99,24 @@ class Merges:
             widest = max(widest, view)
         return widest
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Tokens of a piece held whole: the earliest rule, leftmost place first, until none applies."""
-        parts = [self.byte_ids[b] for b in piece]
-        rank = self.rank
+    def merge(self, piece: bytes, before: int = -1) -> list[int]:
+        """Tokens of a piece held whole: the earliest rule, leftmost place first, until none applies.
+
+        With ``before``: the parts from which that token, being the whole piece, is put together.
+        """
+        parts, get = [self.ids[piece[i:i + 1]] for i in range(len(piece))], self.rank.get
         while len(parts) > 1:
-            best = None
-            for pair in zip(parts, parts[1:]):
-                found = rank.get(pair)
-                if found is not None and (best is None or found < best):
-                    best, rule = found, pair
-            if best is None:
+            found = [r for r in map(get, zip(parts, parts[1:])) if r is not None]
+            if not found:
                 break
-            a, b = rule
+            at, made = min(found)
+            if made == before and len(parts) == 2:
+                break
+            a, b = self.pairs[at]
             out, i, last = [], 0, len(parts) - 1
             while i <= last:
                 if i < last and parts[i] == a and parts[i + 1] == b:
-                    out.append(best[1])
+                    out.append(made)
                     i += 2
                 else:
                     out.append(parts[i])
@@ -115,6 +124,54 @@ class Merges:
             parts = out
         return parts
 
+    def follows(self, a: int, b: int) -> bool:
+        """Whether the merges keep the tokens *a*, *b* apart when their bytes stand side by side.
+
+        Seen backwards: the later of the two formations is undone step by step. At each step a rule across the
+        border would have come first if it stands earlier in the list than the formation just undone, or is
+        the same rule and that formation lies right of the border.
+        """
+        left, right = a, b
+        bound, made = self.end, self.made_at
+        while True:
+            across = self.rank.get((left, right))
+            if across is not None and across[0] < bound:
+                return False
+            at_left, at_right = made.get(left, -1), made.get(right, -1)
+            if at_left < 0 and at_right < 0:
+                return True
+            if at_left > at_right:
+                bound, left = at_left, self.pairs[at_left][1]
+            else:
+                bound, right = at_right + 1, self.pairs[at_right][0]
+
+    def tokens(self, piece: bytes) -> list[int]:
+        """The same tokens as ``merge``: a sequence is the encoding exactly if each token may follow the one
+        before it, and there is only one such sequence; it is searched with the longest tokens first."""
+        if piece in self.whole:
+            return [self.whole[piece]]
+        size, out, ends, dead = len(piece), [], [0], set()
+        ids, longest = self.whole, self.longest
+        stop = min(size, longest)
+        while ends[-1] < size:
+            start, before = ends[-1], out[-1] if out else None
+            while stop > start:
+                token = ids.get(piece[start:stop])
+                if token is not None and (stop, token) not in dead:
+                    if before is None or self.follows(before, token):
+                        break
+                stop -= 1
+            if stop > start:
+                out.append(token)
+                ends.append(stop)
+                stop = min(size, stop + longest)
+            elif out:
+                dead.add((ends.pop(), out.pop()))
+                stop = start - 1
+            else:  # no such sequence: the list has rules that do not stand in order of need
+                return self.merge(piece)
+        return out
+
 
 class Transducer:
     """Text in, token ids out; state: the bytes that are not yet settled."""
@@ -122,9 +179,10 @@ class Transducer:
     def __init__(self, merges: Merges, splitter=None, block: int | None = None):
         self.merges, self.splitter = merges, splitter
         self.ahead = merges.lookahead()
-        self.block = block or max(4096, 2 * self.ahead)
+        self.block = block or max(512, 2 * self.ahead)
         self.pattern, self.settled = regex.compile(PATTERN), regex.compile(SETTLED)
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def long_piece(self, piece: bytes) -> Iterator[int]:
         """Tokens of a piece of any length, in blocks: emitted once ``ahead`` bytes behind them are known."""
@@ -133,7 +191,7 @@ class Transducer:
             held = piece[start:start + self.ahead + self.block]
             final = start + len(held) == size
             end = 0
-            for token in self.merges.merge(held):
+            for token in self.merges.tokens(held):
                 end += len(self.merges.bytes_of[token])
                 if not final and end > len(held) - self.ahead:
                     end -= len(self.merges.bytes_of[token])
@@ -142,18 +200,20 @@ class Transducer:
             start += end
 
     def piece(self, piece: str) -> list[int]:
-        raw = piece.encode()
-        if len(raw) > SHORT_BYTES:
-            return list(self.long_piece(raw))
-        tokens = self.merges.merge(raw)
+        tokens = self.older.get(piece)
+        if tokens is None:
+            raw = piece.encode()
+            if len(raw) > SHORT_BYTES:
+                return list(self.long_piece(raw))
+            tokens = self.merges.tokens(raw)
         if len(self.known) >= CACHE_PIECES:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         self.known[piece] = tokens
         return tokens
 
     def plain(self, text: str, out: list[int]) -> None:
         """Append the tokens of a text without added tokens."""
-        known, start, size = self.known, 0, len(text)
+        start, size = 0, len(text)
         while start < size:
             stop = size
             if size - start > CHUNK_CHARS:
@@ -165,7 +225,7 @@ class Transducer:
             else:
                 pieces = [chunk[i:j] for _, (i, j) in self.splitter.pre_tokenize_str(chunk)]
             for piece in pieces:
-                tokens = known.get(piece)
+                tokens = self.known.get(piece)
                 out.extend(self.piece(piece) if tokens is None else tokens)
             start = stop
 
