@@ -65,10 +65,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     same = (
         recipes.groupBy("_recipe", "_sha").agg(F.min("_doc").alias("_keep"), F.count("*").alias("_n"))
         .filter("_n > 1"))
-    keys = [recipes["_recipe"] == same["_recipe"], recipes["_sha"] == same["_sha"]]
-    return recipes.join(same, keys, "left").select(
+    return recipes.join(same, ["_recipe", "_sha"], "left").select(
         F.col("_doc").alias(id_col),
         F.coalesce("_keep", "_doc").alias("keep_id"),
         F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("_doc") == F.col("_keep"), F.col("_keep").isNull()).alias("kept"),
-        recipes["_sha"].alias("text_sha256"))
+        F.col("_sha").alias("text_sha256"))
