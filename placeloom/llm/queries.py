@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, quality, recipes
+from placeloom.llm import bpe, line_chunks, quality, recipes
 from placeloom.llm.registry import ORACLES, QUERIES, query, table
 
 
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_chunks.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "lines_removed", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 @query("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
