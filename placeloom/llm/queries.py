@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, line_chunks, quality, recipes
+from placeloom.llm import bpe, line_chunks, lm_bloom, quality, recipes
 from placeloom.llm.registry import ORACLES, QUERIES, query, table
 
 
@@ -17,6 +17,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+@query("op4_lm_scores")
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_bloom.scores(table(spark, sf_dir, "documents"))
+
+
 @query("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
