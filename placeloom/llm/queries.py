@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, line_chunks, lm_bloom, quality, recipes
+from placeloom.llm import bpe, line_chunks, lm_bloom, quality, recipes, spaced_seeds
 from placeloom.llm.registry import ORACLES, QUERIES, query, table
 
 
+@query("op1_decontamination")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op2_line_dedup")
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_chunks.without_repeats(table(spark, sf_dir, "documents"))
