@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, line_chunks, lm_bloom, quality, recipes, spaced_seeds
+from placeloom.llm import bpe, count_tree, line_chunks, lm_bloom, quality, recipes, spaced_seeds
 from placeloom.llm.registry import ORACLES, QUERIES, query, table
 
 
@@ -48,6 +48,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tree.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def load():
     """All queries of the subpackage and their SQL."""
     return QUERIES, ORACLES
