@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, count_tree, line_chunks, lm_bloom, quality, recipes, spaced_seeds
+from placeloom.llm import bpe, count_tree, line_chunks, lm_bloom, quality, recipes, spaced_seeds, suffix_repeats
 from placeloom.llm.registry import ORACLES, QUERIES, query, table
 
 
@@ -22,6 +22,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op4_lm_scores")
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_bloom.scores(table(spark, sf_dir, "documents"))
