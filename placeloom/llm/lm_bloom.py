@@ -34,13 +34,13 @@ from pyspark.sql import types as T
 from placeloom.llm.quality import remainder
 from placeloom.session import write_once
 
-MAX_FILTER_BYTES = 96 << 20
+MAX_FILTER_BYTES = 64 << 20
 FREQUENT = 200_000  # most rows of the broadcast table of frequent words
 BASE = 1.5  # of the log scale of counts
 PROBES = 4  # bits per key
 LEVELS = 64
 BLOCK_TOKENS = 1_000_000  # training tokens per filter block
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 300_000
 END = 0x9D39247E33776D41
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -141,7 +141,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             for text in tokens:
                 counts.update(text)
             counts[b""] += part.num_rows
-            if len(counts) > 400_000:
+            if len(counts) > 200_000:
                 yield out()
                 counts.clear()
         yield out()
