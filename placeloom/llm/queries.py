@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, count_tree, line_chunks, lm_bloom, quality, recipes, spaced_seeds, suffix_repeats
+from placeloom.llm import bpe, count_tree, line_chunks, lm_bloom, quality, recipes, spaced_seeds, suffix_repeats, warc_fixity
 from placeloom.llm.registry import ORACLES, QUERIES, query, table
+from placeloom.session import write_once
 
 
 @query("op1_decontamination")
@@ -61,6 +62,31 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tree.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op10_warc_fixity", r"""
+    WITH r AS (
+        SELECT page_id, count(*) AS copies, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+            || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
+            || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+            || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+            || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+        FROM pages GROUP BY page_id, url, html),
+    n AS (SELECT greatest(1, ceil(count(*) / 500.0)::BIGINT) AS files FROM r),
+    p AS (SELECT *, md5(record) AS k, ('0x' || substr(md5(record), 1, 8))::BIGINT % files AS file_no, strlen(record) AS n_bytes FROM r, n),
+    o AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY file_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM p)
+    SELECT file_no, "offset", page_id, n_bytes, CASE WHEN page_id % 211 = 13 THEN 'missing' ELSE 'corrupt' END AS status,
+        sha256(record) AS sha256_one, CASE WHEN page_id % 211 = 13 THEN NULL ELSE sha256(record || '~') END AS sha256_two
+    FROM o WHERE page_id % 211 = 13 OR page_id % 101 = 7
+""")
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of the archive of all pages against a replica in which some records were altered or lost."""
+    first = write_once(warc_fixity.archive(table(spark, sf_dir, "pages")), "archive")
+    damaged = F.when(F.col("page_id") % 101 == 7, F.concat("record", F.lit("~"))).otherwise(F.col("record"))
+    second = first.filter("page_id is null or page_id % 211 <> 13").withColumn("record", damaged)
+    named = first.select("file_no", "offset", "page_id", "n_bytes")
+    return warc_fixity.audit(first, second).join(named, ["file_no", "offset"]).select(
+        "file_no", "offset", "page_id", "n_bytes", "status", "sha256_one", "sha256_two")
+
+
 def load():
     """All queries of the subpackage and their SQL."""
     return QUERIES, ORACLES
