@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, count_tree, line_chunks, lm_bloom, quality, recipes, spaced_seeds, suffix_repeats, warc_fixity
+from placeloom.llm import bpe, count_tree, line_chunks, lm_bloom, quality, recipes, spaced_seeds, suffix_repeats, tool_calls, warc_fixity
 from placeloom.llm.registry import ORACLES, QUERIES, query, table
 from placeloom.session import write_once
 
@@ -36,6 +36,52 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_bloom.scores(table(spark, sf_dir, "documents"))
 
 
+# The tools that the derived calls name, with the fields of their arguments.
+TOOLS = {
+    "search": {"query": ("string", True), "turn": ("integer", True), "exact": ("boolean", False)},
+    "count": {"query": ("string", True), "turn": ("integer", True)},
+}
+
+
+@query("op5_tool_calls", r"""
+    WITH c AS (
+        SELECT conv_id, turn, conv_id || ':' || turn AS call_id,
+            CASE WHEN turn % 4 = 0 THEN 'search' WHEN turn % 4 = 2 THEN 'count' ELSE 'other' END AS name, text, role
+        FROM conversations),
+    calls AS (SELECT * FROM c WHERE role = 'user'),
+    answers AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text AS content FROM c WHERE role = 'assistant'),
+    chain AS (
+        SELECT a.*, EXISTS (SELECT 1 FROM calls b WHERE b.call_id = a.conv_id || ':' || (a.turn - 2)) AS follows FROM calls a),
+    depth AS (
+        SELECT *, turn // 2 - max(CASE WHEN NOT follows THEN turn // 2 END) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS level
+        FROM chain),
+    j AS (
+        SELECT coalesce(d.conv_id, a.conv_id) AS conv_id, coalesce(d.turn, a.turn) AS turn, coalesce(d.call_id, a.call_id) AS call_id,
+            d.level::BIGINT AS level, d.name, d.text, a.content, d.call_id IS NULL AS orphan, a.call_id IS NOT NULL AS has
+        FROM depth d FULL JOIN answers a ON d.call_id = a.call_id)
+    SELECT conv_id, turn, call_id, level,
+        CASE WHEN orphan THEN 'orphan' WHEN name = 'other' OR (conv_id % 7 = 3 AND name = 'count') THEN 'invalid' WHEN NOT has THEN 'no_result' ELSE 'linked' END AS status,
+        CASE WHEN orphan THEN '' WHEN name = 'other' THEN 'tool: unknown' WHEN conv_id % 7 = 3 AND name = 'count' THEN 'exact: unknown' ELSE '' END AS errors,
+        '{"arguments":' || CASE WHEN orphan THEN 'null' ELSE '{' || CASE WHEN conv_id % 7 = 3 THEN '"exact":true,' ELSE '' END
+            || '"query":' || to_json(text)::VARCHAR || ',"turn":' || turn || '}' END || ',"call_id":' || to_json(call_id)::VARCHAR
+            || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS line
+    FROM j
+""")
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns stand for calls that follow the user turn before, assistant turns for results of the turn before."""
+    turns = table(spark, sf_dir, "conversations")
+    call_id = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+    name = F.when(F.col("turn") % 4 == 0, "search").when(F.col("turn") % 4 == 2, "count").otherwise("other")
+    users = turns.filter("role = 'user'")
+    before = users.select(call_id(0).alias("_before")).distinct()
+    arguments = F.to_json(F.struct(
+        F.col("turn"), F.col("text").alias("query"), F.when(F.col("conv_id") % 7 == 3, F.lit(True)).alias("exact")))
+    calls = users.withColumn("_back", call_id(2)).join(before, F.col("_back") == F.col("_before"), "left").select(
+        "conv_id", "turn", call_id(0).alias("call_id"), name.alias("name"), arguments.alias("arguments"), F.col("_before").alias("after"))
+    results = turns.filter("role = 'assistant'").select("conv_id", "turn", call_id(1).alias("call_id"), F.col("text").alias("content"))
+    return tool_calls.linked(calls, results, TOOLS).withColumn("errors", F.array_join("errors", ", "))
+
+
 @query("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
