@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,11 +32,17 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # Characters whose letter, number and space classes are the same in all recent Unicode versions. A text with
 # others is cut by the tokenizer library's own splitter, whose Unicode version may differ.
 SETTLED = r"[\x00-՗‐-‧‰-⁞₠-₵ぁ-ゖァ-ヺ一-龥가-힣！-～]*+"
+# The same pattern for texts of ASCII and Latin letters only, spelt out for the faster standard module.
+PLAIN = re.compile(r"[\x00-~À-ÖØ-öø-ſ–-„]*")
+_L = "A-Za-zÀ-ÖØ-öø-ſ"
+PLAIN_PATTERN = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\t-\r {_L}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 CUT = regex.compile(r"(?<=\S) (?=\p{L})")
 
 CHUNK_CHARS = 1 << 16  # texts are cut at a safe blank after so many characters
 SHORT_BYTES = 128  # pieces up to this size are merged whole and remembered
-CACHE_PIECES = 150_000
+CACHE_PIECES = 250_000
+CACHE_PAIRS = 300_000
 YIELD_TOKENS = 1 << 20
 
 
@@ -61,11 +69,16 @@ class Merges:
         self.end = len(pairs) + 1
         # the rule that makes a token where its bytes stand alone: that of its last merge
         self.made_at: dict[int, int] = {}
+        rules = Counter(made for _, made in self.rank.values())
         for (a, b), (at, made) in self.rank.items():
-            if self.merge(self.bytes_of[made], made) == [a, b]:
+            if rules[made] == 1 or self.merge(self.bytes_of[made], made) == [a, b]:
                 self.made_at[made] = at
-        self.longest = max(map(len, vocabulary))
         self.whole = {b: i for b, i in vocabulary.items() if self.merge(b) == [i]}  # tokens that merges reach
+        found: dict[bytes, set[int]] = {}
+        for b in self.whole:
+            found.setdefault(b[:2], {1}).add(len(b))
+        self.lengths = {start: sorted(sizes, reverse=True) for start, sizes in found.items()}
+        self.side_by_side: dict[tuple[int, int], bool] = {}
 
     @staticmethod
     def from_file(path: str) -> Merges:
@@ -150,27 +163,33 @@ class Merges:
         before it, and there is only one such sequence; it is searched with the longest tokens first."""
         if piece in self.whole:
             return [self.whole[piece]]
-        size, out, ends, dead = len(piece), [], [0], set()
-        ids, longest = self.whole, self.longest
-        stop = min(size, longest)
+        size, ids, lengths, pairs = len(piece), self.whole, self.lengths, self.side_by_side
+        out, ends, tries = [-1], [0], [iter(lengths.get(piece[:2], (1,)))]
+        dead: set[tuple[int, int]] = set()
         while ends[-1] < size:
-            start, before = ends[-1], out[-1] if out else None
-            while stop > start:
-                token = ids.get(piece[start:stop])
-                if token is not None and (stop, token) not in dead:
-                    if before is None or self.follows(before, token):
-                        break
-                stop -= 1
-            if stop > start:
-                out.append(token)
-                ends.append(stop)
-                stop = min(size, stop + longest)
-            elif out:
+            start, before = ends[-1], out[-1]
+            for length in tries[-1]:
+                token = ids.get(piece[start:start + length])
+                if token is None or start + length > size or dead and (start + length, token) in dead:
+                    continue
+                ok = before < 0 or pairs.get((before, token))
+                if ok is None:
+                    ok = self.follows(before, token)
+                    if len(pairs) >= CACHE_PAIRS:
+                        pairs.clear()
+                    pairs[before, token] = ok
+                if ok:
+                    start += length
+                    out.append(token)
+                    ends.append(start)
+                    tries.append(iter(lengths.get(piece[start:start + 2], (1,))))
+                    break
+            else:
                 dead.add((ends.pop(), out.pop()))
-                stop = start - 1
-            else:  # no such sequence: the list has rules that do not stand in order of need
-                return self.merge(piece)
-        return out
+                tries.pop()
+                if not tries:  # no such sequence: the list has rules that do not stand in order of need
+                    return self.merge(piece)
+        return out[1:]
 
 
 class Transducer:
@@ -220,7 +239,9 @@ class Transducer:
                 blank = CUT.search(text, start + CHUNK_CHARS)
                 stop = blank.start() if blank else size
             chunk = text[start:stop]
-            if self.splitter is None or self.settled.fullmatch(chunk):
+            if PLAIN.fullmatch(chunk):
+                pieces = PLAIN_PATTERN.findall(chunk)
+            elif self.splitter is None or self.settled.fullmatch(chunk):
                 pieces = self.pattern.findall(chunk)
             else:
                 pieces = [chunk[i:j] for _, (i, j) in self.splitter.pre_tokenize_str(chunk)]
@@ -305,8 +326,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", to: str = "
             ids = batch.column(batch.schema.get_field_index(ids_col))
             out = []
             for at in range(batch.num_rows):
-                values = ids[at].values
-                out.append(machine.text(values.to_pylist()) if values is not None and len(values) else "")
+                out.append(machine.text(ids[at].as_py() or []))
             yield _with(batch, to, pa.array(out, pa.string()))
 
     schema = T.StructType([*tokens.schema.fields, T.StructField(to, T.StringType())])
