@@ -1,17 +1,66 @@
-"""Corpus pipeline: the stages that turn raw documents into kept, tokenised text."""
+"""Corpus pipeline: raw documents to kept, tokenised text.
+
+Stages, each over all rows that the one before kept: quality classifier (rejected documents go), repeated line chunks
+(cut out; a document with nothing left goes), near duplicates on 5-word shingles at 0.8 (one document of each group
+stays), benchmark leaks (documents that overlap with an item go), byte-pair tokens. All but the last return the columns
+of ``documents``; ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from placeloom.llm import bpe, count_tree, line_chunks, quality, spaced_seeds
 from placeloom.session import write_once
 
-STAGES: list = []
-ORACLE_SQL = None  # classifier training, link closure and byte-pair encoding are no SQL
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(COLUMNS)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = line_chunks.without_repeats(docs)
+    left = cut.filter(~((F.col("lines_removed") > 0) & (F.trim("text") == "")))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return count_tree.keep_one(docs).select(COLUMNS)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return spaced_seeds.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens = bpe.decode(bpe.encode(docs, path), path)
+    return tokens.select(
+        "doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("lines", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("benchmark", benchmark_stage),
+    ("tokens", token_stage),
+]
+
+ORACLE_SQL = None  # a trained classifier, link components and byte-pair merges are no SQL; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; between two stages the documents are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = write_once(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,6 +23,7 @@ never name a component. Empty tables give empty results. Other columns are not r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,16 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placeloom.llm import bitmaps
 from placeloom.llm.lm_bloom import mixed, words
 from placeloom.session import write_once
 
 GROUPS = 64  # coordinates of a point
-FINE = 64  # finer groups per block, for keys
+FINE = 1 << 40  # finer groups, whose counts within a block make its key
 FACTOR = 1.5
 FAN = 16  # children of a tree node
 BLOCK = 512  # members of a key that are searched together
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-FILTER_BITS = 1 << 25  # of the broadcast bitmap of classes whose sets are needed (4 MiB)
+ODD = 0x9E3779B97F4A7C15
+_ODD = np.uint64(ODD)
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -87,18 +89,35 @@ def block_keys(shingles: np.ndarray, threshold: float) -> np.ndarray:
             tops.append((number - 1, below))
     out = []
     for own, most in tops:
-        blocks = int(most * (1 - threshold) / threshold + 1e-9) + 1
-        spread = mixed(shingles + np.uint64(own + 1) * _ODD)
+        differ = int(most * (1 - threshold) / threshold + 1e-9)  # most shingles in which two linked sets can differ
+        spare = blanks(most, differ + 1)
+        blocks = differ + 1 + spare
+        spread = mixed(shingles + np.uint64((own + 1) * ODD % (1 << 64)))
         block = ((spread >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-        fine = mixed((spread & np.uint64(FINE - 1)) + np.uint64(77))
+        fine = mixed((mixed(spread) & np.uint64(FINE - 1)) + np.uint64(77))
         order = np.argsort(block, kind="stable")
         places, starts = np.unique(block[order], return_index=True)
-        sums = np.zeros(blocks, np.uint64)  # additive hash of the counts of each block; 0 where it is empty
-        sums[places.astype(np.int64)] = np.add.reduceat(fine[order], starts)
-        out.append(mixed(sums ^ mixed(np.arange(blocks, dtype=np.uint64) * _ODD + np.uint64(own))))
+        sums = np.add.reduceat(fine[order], starts)  # additive hash of the counts of each block
+        if blocks - len(places) > spare:  # too many blank blocks to leave them out
+            all_sums = np.zeros(blocks, np.uint64)
+            all_sums[places.astype(np.int64)] = sums
+            places, sums = np.arange(blocks, dtype=np.uint64), all_sums
+        out.append(mixed(sums ^ mixed(places * _ODD + np.uint64(own))))
     return np.concatenate(out).view(np.int64)
 
 
+@lru_cache(maxsize=None)
+def blanks(shingles: int, blocks: int) -> int:
+    """Blank blocks that a set may have without using them as keys.
+
+    Of ``differ + 1 + spare`` blocks at most ``differ`` are touched by a difference. A set with at most ``spare`` blank
+    ones has ``differ + 1`` or more others, so one of these is untouched, and its partner has it too. A set with more
+    blank blocks uses them as keys as well. The number is the expected one and four deviations for 2/3 of the size.
+    """
+    mean = blocks * (1 - 1 / blocks) ** (shingles / FACTOR)
+    return int(mean + 4 * mean ** 0.5)
+
+
 def enough(sizes_a: np.ndarray, sizes_b: np.ndarray, threshold: float) -> np.ndarray:
     """Least overlap of linked sets of these sizes."""
     return np.ceil((sizes_a + sizes_b) * threshold / (1 + threshold) - 1e-9)
@@ -179,15 +198,8 @@ def _sets(rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
 
     The scan drops most other sets by a bitmap of fixed size; what it lets through too much only costs its way.
     """
-    spark = rows.sparkSession
-    slot = lambda c: F.pmod(F.col(c), F.lit(FILTER_BITS)) + 1  # noqa: E731  a class is a hash itself
-    wanted = pairs.select(F.explode(F.array(slot("_a"), slot("_b"))).alias("_s"))
-    maps = wanted.groupBy(F.bitmap_bucket_number("_s").alias("_k")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits"))
-    bits = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
-    for row in maps.toLocalIterator():  # at most FILTER_BITS in all
-        bits[(row._k - 1) * 4096:row._k * 4096] = np.frombuffer(row._bits, np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
+    wanted = pairs.select(F.explode(F.array("_a", "_b")).alias("_class"))
+    shared = rows.sparkSession.sparkContext.broadcast(bitmaps.of(wanted, "_class"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +207,7 @@ def _sets(rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py(), n)
                 own = class_of(shingles)
-                if own is not None and shared.value[own % FILTER_BITS >> 3] >> (own & 7) & 1:
+                if own is not None and bitmaps.maybe(shared.value, np.array([own]))[0]:
                     classes.append(own)
                     sets.append(shingles.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], names=["_class", "_set"])
@@ -258,6 +270,22 @@ def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
     return sides.groupBy("_key", "_i", "_j").applyInPandas(search, "_a long, _b long").distinct()
 
 
+def _keys_in(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """``_class`` and ``_key`` of the keys that may be in ``shared``; the bitmap spares most others the shuffle."""
+    bits = found.sparkSession.sparkContext.broadcast(bitmaps.of(shared, "_key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            key = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = np.diff(lists.offsets.to_numpy())
+            keep = bitmaps.maybe(bits.value, key)
+            owner = np.repeat(np.arange(batch.num_rows), sizes)[keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(key[keep])], names=["_class", "_key"])
+
+    return found.filter("_class is not null").select("_class", "_keys").mapInArrow(run, "_class long, _key long")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.9,
 ) -> DataFrame:
@@ -265,8 +293,9 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     found = write_once(_points(texts, n, threshold), "points")
     keys = found.filter("_class is not null").select("_class", F.explode("_keys").alias("_key"))
-    shared = keys.groupBy("_key").agg(F.min("_class").alias("_low"), F.max("_class").alias("_high")).filter("_low <> _high")
-    members = write_once(keys.join(shared.select("_key"), "_key").distinct(), "members")
+    shared = write_once(
+        keys.groupBy("_key").agg(F.min("_class").alias("_low"), F.max("_class").alias("_high")).filter("_low <> _high").select("_key"), "keys")
+    members = write_once(_keys_in(found, shared).join(shared, "_key").distinct(), "members")
     points = found.join(members.select("_class").distinct(), "_class").groupBy("_class").agg(
         F.first("_n").alias("_n"), F.first("_point").alias("_point"))
     points = write_once(points, "classes")
@@ -292,3 +321,17 @@ def near_duplicates(
     least = rows.filter("_root is not null").groupBy("_root").agg(F.min("_doc").alias("_least"))
     return rows.join(least, "_root", "left").select(
         F.col("_doc").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_least", "_doc").alias("component_id"))
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8,
+) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest id stays.
+
+    Rows that repeat the kept id stay as well, and so do rows without id."""
+    found = near_duplicates(docs, id_col, text_col, n, threshold)
+    gone = write_once(found.filter(F.col(id_col) != F.col("component_id")).select(F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_gone")).distinct(), "gone")
+    marked = bitmaps.marked(docs, F.xxhash64(id_col), gone, "_h")
+    clear = marked.filter("not _maybe").select(docs.columns)
+    rest = marked.filter("_maybe").select(docs.columns).join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return clear.unionByName(rest)
