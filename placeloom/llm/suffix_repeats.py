@@ -225,9 +225,10 @@ def _sorted_groups(parts: DataFrame, length: int) -> DataFrame:
         size = 0
 
         def done(groups: dict[tuple, dict[int, bytes]]) -> pa.RecordBatch:
-            flat = [(key[0], whole, text) for key, own in groups.items() if len(own) > 1 for whole, text in own.items()]
-            spans = repeated_starts([t for _, _, t in flat], length) if flat else []
-            rows = [(a, w, *s) for (a, w, _), s in zip(flat, spans) if s]
+            # a stretch that belongs to several block pairs stands in the array once
+            flat = {(key[0], whole): text for key, own in groups.items() if len(own) > 1 for whole, text in own.items()}
+            spans = repeated_starts(list(flat.values()), length) if flat else []
+            rows = [(*key, *s) for key, s in zip(flat, spans) if s]
             columns = list(zip(*rows)) if rows else [(), (), (), ()]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["_anchor", "_whole", "_from", "_to"])
