@@ -35,9 +35,10 @@ from pyspark.sql import types as T
 
 from placeloom.llm import bitmaps
 from placeloom.llm.lm_bloom import mixed, words
+from placeloom.llm.registry import numbered
 from placeloom.session import write_once
 
-GROUPS = 64  # coordinates of a point
+GROUPS = 256  # coordinates of a point
 FINE = 1 << 40  # finer groups, whose counts within a block make its key
 FACTOR = 1.5
 FAN = 16  # children of a tree node
@@ -309,8 +310,11 @@ def near_duplicates(
 
     own = F.coalesce("_root", "_class").alias("_root")
     placed = members.join(labels, "_class", "left").select("_key", "_class", own)
-    mixed_keys = placed.groupBy("_key").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).filter("_low <> _high")
-    open_keys = placed.join(mixed_keys.select("_key"), "_key").join(points, "_class")
+    # Keys with the same members (most pairs share many keys) are searched once.
+    alike = [F.sum(F.xxhash64("_class", F.lit(i)).cast("decimal(38,0)")).alias(f"_s{i}") for i in (1, 2)]
+    mixed_keys = placed.groupBy("_key").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"), *alike).filter("_low <> _high")
+    once = mixed_keys.groupBy("_s1", "_s2").agg(F.min("_key").alias("_key")).select("_key")
+    open_keys = placed.join(once, "_key").join(points, "_class")
     rest = write_once(_cross_pairs(open_keys, threshold), "rest")
     if not rest.isEmpty():
         more = write_once(_verified(rest, _sets(texts, rest, n), threshold), "links")
@@ -329,9 +333,10 @@ def keep_one(
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest id stays.
 
     Rows that repeat the kept id stay as well, and so do rows without id."""
+    docs, (id_col, text_col), old = numbered(docs, id_col, text_col)
     found = near_duplicates(docs, id_col, text_col, n, threshold)
     gone = write_once(found.filter(F.col(id_col) != F.col("component_id")).select(F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_gone")).distinct(), "gone")
     marked = bitmaps.marked(docs, F.xxhash64(id_col), gone, "_h")
     clear = marked.filter("not _maybe").select(docs.columns)
     rest = marked.filter("_maybe").select(docs.columns).join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    return clear.unionByName(rest)
+    return clear.unionByName(rest).toDF(*old)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placeloom.llm.registry import numbered
 from placeloom.session import write_once
 
 ONE_IN = 2  # a boundary behind one in so many lines
@@ -99,11 +100,11 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = ONE_IN) -> DataFrame:
     """``docs`` with the repeated chunks cut out of the text, and ``lines_removed`` (long)."""
-    docs = docs.drop("lines_removed")
+    docs, (id_col, text_col), old = numbered(docs.drop("lines_removed"), id_col, text_col)
     gone = repeated_chunks(docs, id_col, text_col, one_in).groupBy("_doc", "_th").agg(F.collect_set("_at").alias("_gone"))
     keyed = docs.withColumn("_own", F.xxhash64(text_col))
     on = [keyed[id_col].eqNullSafe(gone["_doc"]), F.col("_own") == F.col("_th")]
-    rows = keyed.join(gone, on, "left").select(*[keyed[c] for c in docs.columns], "_gone")
+    rows = keyed.join(gone, on, "left").select(*docs.columns, "_gone")
     names = docs.columns
     place = names.index(text_col)
 
@@ -122,4 +123,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "lines_removed"])
 
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lines_removed", T.LongType())]))
+    out = rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lines_removed", T.LongType())]))
+    return out.toDF(*old, "lines_removed")

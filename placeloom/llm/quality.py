@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placeloom.llm.registry import numbered
 from placeloom.session import write_once
 
 ACCEPT = 0.7
@@ -145,8 +146,10 @@ def keep_good(
     folds: int = 4, held: int = 2, max_labelled: int = MAX_LABELLED,
 ) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns; texts are not shuffled."""
+    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
+    docs, (id_col, text_col), old = numbered(docs, id_col, text_col)
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    known = texts.join(labels.select(F.col(id_col).alias("_doc")), "_doc", "left_semi")
+    known = texts.join(marks.select(F.col("doc_id").alias("_doc")), "_doc", "left_semi")
     rows = write_once(with_features(known, "_text").drop("_text"), "features")
-    model = _learn(rows, labels, id_col, label_col, folds, held, max_labelled)
-    return with_features(docs, text_col).filter(score(model) >= ACCEPT).select(docs.columns)
+    model = _learn(rows, marks, "doc_id", "label", folds, held, max_labelled)
+    return with_features(docs, text_col).filter(score(model) >= ACCEPT).select(docs.columns).toDF(*old)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeloom.llm.registry import numbered
 from placeloom.session import write_once
 
 # 1: the word counts, 0: it is ignored. Put together from pairs and fours in ``seeds``.
@@ -101,5 +102,6 @@ def leaks(
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that overlap with no item, with all their columns."""
+    docs, (id_col, text_col), old = numbered(docs, id_col, text_col)
     gone = leaks(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_doc")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_doc"]), "left_anti")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_doc")), "left_anti").toDF(*old)
