@@ -29,9 +29,10 @@ def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column``, ``v`` for each value; NaN counts as missing, like NULL."""
     return df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns
-    ])).alias("r")).select("r.*").filter(F.col("v").isNotNull())
+    ])).alias("r")).select("r.*").filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, dict[float, float]]:
@@ -113,7 +114,7 @@ def _bin(v: Column, low: Column, high: Column, bins: int) -> Column:
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """``(bin, low, high, count)`` with empty bins kept. The range is one row, so it is broadcast."""
-    data = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    data = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     ends = data.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     filled = data.join(F.broadcast(ends)).groupBy(_bin(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin")) \
         .agg(F.count("*").alias("count"))
@@ -159,10 +160,10 @@ def share_of_total(df: DataFrame, by: str) -> DataFrame:
     return counts.join(F.broadcast(total)).select(by, "count", (F.col("count") / F.col("_total")).alias("share"))
 
 
-def median_point(df: DataFrame, lat: str = "lat", lon: str = "lon") -> tuple[float, float]:
-    """Exact median latitude and longitude."""
+def median_point(df: DataFrame, lat: str = "lat", lon: str = "lon") -> tuple[float | None, float | None]:
+    """Exact median latitude and longitude; None where a column has no value."""
     found = exact_quantiles(df, [lat, lon], [0.5])
-    return found[lat][0.5], found[lon][0.5]
+    return tuple(found[c][0.5] if c in found else None for c in (lat, lon))
 
 
 def absent_levels(df: DataFrame, train: Column, columns: list[str]) -> DataFrame:

@@ -381,6 +381,9 @@ def near_duplicate_ids(
     placed = points.select(key, category, "lat", "lon").na.drop()
     # half a diagonal of a cell of this height is safely below the radius
     level = geo.level_for(radius_m / 1.5) + 1
+    if 1.5 * 111_700 * 180 / 2 ** level > radius_m:  # the finest cells are too wide: test the points themselves
+        pairs = _near_pairs(points, radius_m, key, category, rows_per_task)
+        return pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
     celled = _cells(placed, level)
     cells = celled.groupBy(category, "_y", "_x").agg(
         F.count("*").alias("_n"), F.min(key).alias(key), F.min("lat").alias("lat"), F.min("lon").alias("lon"))

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from placeloom.operators import spatial
 from placeloom.operators.blocks import weighted_sums
 from placeloom.operators.skew import salted_join
 from placeloom.session import write_once
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def sum_vectors(rows: DataFrame, key: str, vec: str, weight: Column) -> DataFrame:
     """``(key, pos, value)``: weighted sum per dimension, combined before the shuffle."""
@@ -56,13 +66,41 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
-def most_similar(vectors: DataFrame, wanted: DataFrame, k: int, key: str, vec: str) -> DataFrame:
-    """``(key, similarity)`` of the ``k`` vectors closest by cosine to the one row of ``wanted``.
+def most_similar(vectors: DataFrame, wanted: DataFrame, k: int, key: str, vec: str, block: int = 4096) -> DataFrame:
+    """``(wanted_key, key, similarity)``: for each wanted vector the ``k`` others closest by cosine.
 
-    One scan; the query vector is a single row (enforced by the limit), so it is broadcast. Each task
-    keeps its own best ``k`` before they are merged.
+    The wanted rows go out in blocks of bounded size. Each block meets every vector once, as a matrix product per
+    Arrow batch, of which only the best ``k`` per wanted row leave the batch; these are merged by wanted row. Null
+    vectors and those of length 0 have no similarity and are left out.
     """
-    query = wanted.select(F.col(key).alias("_key"), F.col(vec).alias("_vec")).limit(1)
-    score = _dot(F.col(vec), F.col("_vec")) / F.sqrt(_dot(F.col(vec), F.col(vec)) * _dot(F.col("_vec"), F.col("_vec")))
-    scored = vectors.join(F.broadcast(query), F.col(key) != F.col("_key")).select(key, score.alias("similarity"))
-    return scored.orderBy(F.desc("similarity"), key).limit(k)
+    spark, kind = vectors.sparkSession, vectors.schema[key].dataType
+    usable = F.col(vec).isNotNull() & (_dot(F.col(vec), F.col(vec)) > 0)
+    rows = vectors.filter(usable).select(key, F.col(vec).cast("array<double>").alias("_vec"))
+    queries = wanted.filter(usable).select(F.col(key).alias("_key"), F.col(vec).cast("array<double>").alias("_vec")).distinct()
+    blocks = max(1, -(-queries.count() // block))
+    schema = T.StructType([T.StructField("wanted_key", kind), T.StructField(key, kind), T.StructField("similarity", T.DoubleType())])
+    found = spark.createDataFrame([], schema)
+    for part in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == part).collect()  # about ``block`` rows
+        if own:
+            shared = spark.sparkContext.broadcast(([r["_key"] for r in own], _unit(np.array([r["_vec"] for r in own]))))
+            found = found.union(rows.mapInPandas(partial(_best, shared, k, key), schema))
+    order = Window.partitionBy("wanted_key").orderBy(F.desc("similarity"), key)
+    return found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).drop("_rank")
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
+
+
+def _best(shared, k: int, key: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names, wanted = shared.value
+    for batch in batches:
+        if len(batch):
+            keys = batch[key].to_numpy()
+            closeness = wanted @ _unit(np.stack(batch["_vec"].to_numpy())).T
+            closeness[np.array(names, dtype=object)[:, None] == keys.astype(object)[None, :]] = -np.inf
+            for name, row in zip(names, closeness):
+                order = np.lexsort((keys, -row))[:k]
+                order = order[row[order] > -np.inf]
+                yield pd.DataFrame({"wanted_key": [name] * len(order), key: keys[order], "similarity": row[order]})

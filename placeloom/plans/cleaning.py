@@ -320,11 +320,10 @@ def dictionary_lookup(spark, sf_dir):
 
 
 @query("point_lookup", f"""
-SELECT o_orderkey, round(lat, 6) AS lat, round(lon, 6) AS lon FROM orders JOIN ({inputs.HOUSES}) ON house_id = o_custkey
-WHERE o_orderstatus = 'F'""")
+SELECT o_orderkey, round(lat, 6) AS lat, round(lon, 6) AS lon FROM orders JOIN ({inputs.HOUSES}) ON house_id = o_custkey""")
 def point_lookup(spark, sf_dir):
     where = inputs.houses(spark, sf_dir).select(F.col("house_id").alias("o_custkey"), "lat", "lon")
-    wanted = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+    wanted = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return wanted.join(where, "o_custkey").select(
         "o_orderkey", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
@@ -386,14 +385,17 @@ def distinct_values(spark, sf_dir):
 
 
 @query("column_difference", """
-SELECT column_name AS feature FROM (VALUES ('l_quantity'), ('l_tax')) v(column_name)""")
+WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS l_quantity, corr(l_discount, l_extendedprice) AS l_discount,
+  corr(l_tax, l_extendedprice) AS l_tax, corr(l_suppkey, l_extendedprice) AS l_suppkey FROM lineitem)
+SELECT feature, round(r, 6) AS r FROM (UNPIVOT c ON l_quantity, l_discount, l_tax INTO NAME feature VALUE r) WHERE abs(r) < 0.1""")
 def column_difference(spark, sf_dir):
     from placeloom.operators.evaluation import dropped_features
 
-    items = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey")
-    dropped = dropped_features(items.columns, ["l_extendedprice", "l_discount"], protect="key")
-    one = items.select(F.explode(F.array(*map(F.lit, dropped))).alias("feature"))
-    return one.distinct()
+    names = ["l_quantity", "l_discount", "l_tax", "l_suppkey"]
+    items = table(spark, sf_dir, "lineitem")
+    r = items.agg(*[F.corr(c, "l_extendedprice").alias(c) for c in names]).first()
+    dropped = dropped_features(names, [c for c in names if abs(r[c]) >= 0.1], protect="key")
+    return spark.createDataFrame([(c, r[c]) for c in dropped], "feature string, r double").select("feature", F.round("r", 6).alias("r"))
 
 
 # ---- profiles ---------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,13 +29,16 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors reach: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only a session that names neither (a local test) gets a folder of its own.
+    Only a session on one machine (a local test) that names neither gets a folder of its own; on a cluster that
+    folder would be seen by one machine alone, so there the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="placeloom-"))
     return context.getCheckpointDir()
 

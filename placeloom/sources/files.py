@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,13 +15,41 @@ ARTICLE_SCHEMA = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """CSV with a header; the schema is given, so no extra pass infers it."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", False).csv(path)
+NULL = "\\N"
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, own: bool = False) -> DataFrame:
+    """CSV with a header; the schema is given, so no extra pass infers it. NaN is read as NULL.
+
+    A foreign file may hold line breaks inside quotes, so it is read by one task each. ``own`` files, written by
+    ``write_csv``, have none and are split like any text.
+    """
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", not own).option("escape", '"').option(
+        "nullValue", NULL if own else "").csv(path)
+    clean = {}
+    for name, kind in rows.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("double", "float"):
+            clean[name] = F.when(~F.isnan(column), column)
+        elif kind == "string" and own:
+            # \\ and \n in one pass: pieces between doubled backslashes hold only escaped line breaks
+            pieces = F.split(column, r"\\\\")
+            clean[name] = F.array_join(F.transform(pieces, lambda p: F.replace(
+                F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))), "\\")
+    return rows.withColumns(clean) if clean else rows
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header. Line breaks are written as \\n and \\r, a backslash as two, so that a record
+    is a line; NULL is \\N, which no text can be, and so differs from an empty text."""
+    def escaped(column: Column) -> Column:
+        for plain, code in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+            column = F.replace(column, F.lit(plain), F.lit(code))
+        return column
+
+    texts = {name: escaped(F.col(f"`{name}`")) for name, kind in df.dtypes if kind == "string"}
+    # no escape character of its own: quotes are doubled, backslashes are ours
+    (df.withColumns(texts) if texts else df).write.mode(mode).option("header", True).option("escape", '"').option("nullValue", NULL).csv(path)
 
 
 def write_variant(df: DataFrame, path: str, mode: str = "append", **settings) -> None:
