@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from odd_rows import prose
 from pyspark.sql import types as T
 
 # id, text and columns whose names clash with ones that operators use inside
@@ -9,16 +10,6 @@ SCHEMA = T.StructType([
     T.StructField("_th", T.StringType()), T.StructField("_key", T.StringType()), T.StructField("score", T.StringType())])
 
 
-def prose(rng: random.Random, n: int) -> str:
-    syllables = ["an", "the", "or", "ti", "shi", "ré", "wo", "ing", "ka", "mo"]
-    out = []
-    for i in range(n):
-        out.append("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))))
-        if rng.random() < 0.08:
-            out[-1] += ".\n"
-    return " ".join(out)
-
-
 @pytest.fixture(scope="session")
 def texts():
     """Null, empty and blank texts, repeats and near copies, a long text, one long run of a letter."""

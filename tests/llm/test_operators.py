@@ -171,16 +171,9 @@ def test_keep_one(docs, texts):
     assert collect(got.select("doc_id", "text")) == sorted(((i, t) for i, t in texts if i not in gone), key=repr)
 
 
-def test_spaced_seeds(spark, docs, texts):
+def brute_leaks(texts, items):
+    """(document id, item id) of all pairs with a window of 13 words (or the item) that agrees in 80 %."""
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    rng = random.Random(3)
-    long = words(texts[2][1])
-    changed = long[5:35]
-    for k in (4, 11, 19, 26):
-        changed[k] = "zzz"
-    items = [(1, " ".join(long[3:30])), (2, " ".join(changed).upper()), (3, "too short an item"), (4, None), (5, ""),
-             (6, " ".join(f"u{rng.random()}" for _ in range(30))), (1, " ".join(long[3:30]))]
-    bench = spark.createDataFrame(items, "item_id long, text string")
     found = set()
     for i, t in texts:
         w = words(t)
@@ -194,6 +187,20 @@ def test_spaced_seeds(spark, docs, texts):
                 inside = [s for k, s in enumerate(same) if 0 <= k + shift < len(w)]
                 if max((sum(inside[k:k + span]) for k in range(len(inside) - span + 1)), default=0) >= math.ceil(span * 0.8):
                     found.add((i, item))
+    return found
+
+
+def test_spaced_seeds(spark, docs, texts):
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    rng = random.Random(3)
+    long = words(texts[2][1])
+    changed = long[5:35]
+    for k in (4, 11, 19, 26):
+        changed[k] = "zzz"
+    items = [(1, " ".join(long[3:30])), (2, " ".join(changed).upper()), (3, "too short an item"), (4, None), (5, ""),
+             (6, " ".join(f"u{rng.random()}" for _ in range(30))), (1, " ".join(long[3:30]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = brute_leaks(texts, items)
     got = spaced_seeds.leaks(docs, bench)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == found and {1, 2} <= {b for _, b in found}
     left = spaced_seeds.without_leaks(docs, bench)
