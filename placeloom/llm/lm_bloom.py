@@ -42,6 +42,7 @@ LEVELS = 64
 BLOCK_TOKENS = 1_000_000  # training tokens per filter block
 BATCH_TOKENS = 300_000
 END = 0x9D39247E33776D41
+_LOW = np.uint64(0xFFFFFFFF)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -100,11 +101,17 @@ class Filter:
     def at_level(key: np.ndarray, level: int) -> np.ndarray:
         return mixed(key + np.uint64(level) * _M1)
 
+    def repeated_levels(self, key: np.ndarray) -> np.ndarray:
+        """As ``levels``, probing each key once however often it stands in the array."""
+        once, place = np.unique(key, return_inverse=True)
+        return self.levels(once)[place]
+
     def levels(self, key: np.ndarray) -> np.ndarray:
         """Level of each key, by probing until a miss."""
         out = np.zeros(len(key), np.int64)
         alive = np.arange(len(key))
         offset = self.block_of(key, self.blocks) * np.uint64(self.block_bits)
+        key = key & _LOW
         for at_level in range(1, LEVELS):
             own = self.at_level(key, at_level)
             for probe in range(PROBES):
@@ -166,13 +173,15 @@ def build_filter(texts: DataFrame, tokens: int, max_bytes: int = MAX_FILTER_BYTE
             key, n = np.unique(np.concatenate([word, pair]), return_counts=True)
             edges = np.searchsorted(Filter.block_of(key, blocks), np.arange(blocks + 1))
             rows = [i for i in range(blocks) if edges[i] < edges[i + 1]]
+            # within a block 32 bits tell keys apart about as well as the filter does
+            key = (key & _LOW).astype(np.uint32)
             cut = lambda a: pa.array([a[edges[i]:edges[i + 1]].tobytes() for i in rows], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.int32()), cut(key), cut(n.astype(np.uint32))], names=["_block", "_keys", "_counts"])
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         key, n = summed(
-            np.frombuffer(b"".join(part["_keys"]), np.uint64),
+            np.frombuffer(b"".join(part["_keys"]), np.uint32).astype(np.uint64),
             np.frombuffer(b"".join(part["_counts"]), np.uint32).astype(np.int64))
         top = level(n)
         marks = np.zeros(block_bits, bool)
@@ -215,7 +224,7 @@ def mix_weights(texts: DataFrame, shared) -> np.ndarray:
 
 def before(filter: Filter, word: np.ndarray, starts: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
     """Level of the token left of each token; left of a text's first token stands the end."""
-    own = filter.levels(word) if own is None else own
+    own = filter.repeated_levels(word) if own is None else own
     left = np.empty_like(own)
     left[1:] = own[:-1]
     left[starts] = own[-1] if len(own) else 0  # the last token of the batch is an end
@@ -229,7 +238,7 @@ def scores(
     """Per document: ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     context = docs.sparkSession.sparkContext
     rows = docs.select(
-        F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"),
+        F.col(id_col).alias("_doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"), F.col(text_col).alias("_text"),
         F.coalesce(remainder(F.col(id_col), folds) == held, F.lit(False)).alias("_held"))
     train = rows.filter("not _held")
     counts = write_once(word_counts(train), "words")
@@ -256,7 +265,7 @@ def scores(
         filter, known = Filter(*shared.value), table.value
         for part, batch in _grouped(batches, 2):
             word, pair, starts = keys(batch)
-            own = filter.levels(word)
+            own = filter.repeated_levels(word)
             left = before(filter, word, starts, own)
             single = (middle(own) + 1) / (n_all + v_all + 1)
             of_pair = np.minimum(1.0, middle(filter.levels(pair)) / np.maximum(middle(left), 1))
@@ -279,15 +288,13 @@ def scores(
         *rows.drop("_text").schema.fields,
         *T._parse_datatype_string("_tokens long, _known long, _log double, _score double, _rare array<binary>").fields])
     partly = write_once(rows.mapInArrow(run, schema), "scored")
-    rest = partly.select("_doc", "_th", F.explode("_rare").alias("_word")).groupBy("_doc", "_th", "_word").agg(F.count("*").alias("_n"))
-    rest = rest.join(counts, "_word").select(
-        "_doc", "_th", F.lit(None).cast("boolean").alias("_held"), F.lit(0).cast("long").alias("_tokens"), F.col("_n").alias("_known"),
-        (F.col("_n") * F.log10(F.col("_c") + 1)).alias("_log"), F.lit(0.0).alias("_score"), F.lit(0).cast("long").alias("_copies"))
-    both = partly.drop("_rare").withColumn("_copies", F.lit(1).cast("long")).unionByName(rest)
-    sums = both.groupBy("_doc", "_th").agg(F.max("_held").alias("_held"), *(F.sum(c).alias(c) for c in ("_tokens", "_known", "_log", "_score", "_copies")))
-    each = lambda c: F.col(c) / F.col("_copies")  # noqa: E731  a repeated row has summed its copies
+    # Rare words meet their counts; sums depend on the text alone, so its hash is key enough, and copies share them.
+    rare = partly.select("_th", F.explode("_rare").alias("_word")).join(counts, "_word")
+    rest = rare.groupBy("_th").agg(F.count("*").alias("_more"), F.sum(F.log10(F.col("_c") + 1)).alias("_logs"))
+    copies = partly.groupBy("_th").agg(F.count("*").alias("_copies"))
+    share = lambda c: F.coalesce(F.col(c) / F.col("_copies"), F.lit(0.0))
+    sums = partly.drop("_rare").join(rest.join(copies, "_th"), "_th", "left")
     return sums.select(
-        F.col("_doc").alias(id_col), F.col("_held").alias("held_out"), each("_tokens").cast("long").alias("n_tokens"),
-        each("_known").cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (each("_log") - each("_tokens") * floor).alias("base_score"), each("_score").alias("score"), "_copies",
-    ).withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).drop("_copies")
+        F.col("_doc").alias(id_col), F.col("_held").alias("held_out"), F.col("_tokens").alias("n_tokens"),
+        (F.col("_known") + F.round(share("_more")).cast("long")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        (F.col("_log") + share("_logs") - F.col("_tokens") * floor).alias("base_score"), F.col("_score").alias("score"))
