@@ -20,7 +20,7 @@ from placeloom.llm.registry import numbered
 from placeloom.session import write_once
 
 # 1: the word counts, 0: it is ignored. Put together from pairs and fours in ``seeds``.
-MASKS = ["11111111", "111100001111", "11011011011"]
+MASKS = ["11111111", "111100001111", "111101111", "11011011011"]
 WINDOW = 13
 SHARE = 0.8
 MAX_BROADCAST = 1_000_000  # rows of benchmark seeds that are broadcast (some 30 bytes each); more are shuffled
@@ -45,7 +45,8 @@ def _with_seeds(rows: DataFrame) -> DataFrame:
     twos = rows.withColumn("_2", _apart(F.col("_h"), F.col("_h"), 1))
     fours = twos.withColumn("_4", _apart(F.col("_2"), F.col("_2"), 2)).withColumn("_33", _apart(F.col("_2"), F.col("_2"), 3))
     all_masks = fours.select(*kept, F.array(
-        _apart(F.col("_4"), F.col("_4"), 4), _apart(F.col("_4"), F.col("_4"), 8), _apart(F.col("_33"), F.col("_33"), 6)).alias("_s"))
+        _apart(F.col("_4"), F.col("_4"), 4), _apart(F.col("_4"), F.col("_4"), 8),
+        _apart(F.col("_4"), F.col("_4"), 5), _apart(F.col("_33"), F.col("_33"), 6)).alias("_s"))
     each = all_masks.select(*kept, F.posexplode_outer("_s").alias("_mask", "_seeds"))
     return each.select(*kept, "_mask", F.posexplode_outer("_seeds").alias("_pos", "_seed"))
 

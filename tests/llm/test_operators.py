@@ -209,6 +209,14 @@ def test_spaced_seeds(spark, docs, texts):
     assert collect(left.select("doc_id")) == sorted(((i,) for i, _ in texts if i not in gone), key=repr)
 
 
+def test_every_fifth_word_replaced(spark):
+    words = [f"w{k}" for k in range(40)]
+    changed = [w if k % 5 else "zzz" for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, "before it " + " ".join(changed) + " after")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.offset) for r in spaced_seeds.leaks(docs, bench).collect()] == [(1, 9, 2)]
+
+
 def test_language_model(docs, texts):
     tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t in texts]
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts}
