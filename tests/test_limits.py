@@ -55,3 +55,17 @@ def test_one_hot_of_many_levels(spark):
     assert got.columns == ["id", "c_levels"]
     assert {(r.c_levels.size, int(r.c_levels.numNonzeros())) for r in got.filter("id < 9").collect()} == {(2100, 1)}
     assert got.filter("id = 5000").first().c_levels.numNonzeros() == 0
+
+
+def test_templates_nested_to_any_depth(spark):
+    from placeloom.functions import markup
+
+    nest = lambda n: "{{x|" * n + "q" + "}}" * n
+    rows = [(n, f"a {{{{coord|40.5|-80.25|{nest(n)}}}}} b {{{{Infobox place|name=N|note={nest(n)}|size=3}}}} c") for n in range(1, 21)]
+    df = spark.createDataFrame(rows + [(99, "{{" * 8 + " open")], "n long, t string")
+    got = df.select(
+        "n", markup.article_coord(F.col("t")).alias("c"), markup.plain_text(F.col("t")).alias("p"), markup.infobox(F.col("t")).alias("i")).collect()
+    for r in got:
+        if r.n < 99:
+            assert tuple(r.c) == (40.5, -80.25) and r.p.split() == ["a", "b", "c"], r.n
+            assert r.i == {"name": "N", "size": "3"}, (r.n, r.i)
