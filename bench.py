@@ -34,6 +34,8 @@ def main() -> None:
             "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = load()
+    # the first query of a session also pays for its start
+    queries["value_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in names:
         start = time.perf_counter()
