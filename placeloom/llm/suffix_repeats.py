@@ -178,7 +178,7 @@ def _places(rows: DataFrame, length: int, bits=None) -> DataFrame:
                 for col, part in zip(cols, (text, first, last, anchor, whole)):
                     col.append(part)
                 size += len(first)
-                if size > 500_000 or row == batch.num_rows - 1:
+                if size > 100_000 or row == batch.num_rows - 1:
                     text, first, last, anchor, whole = map(np.concatenate, cols)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(text), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(anchor), pa.array(whole)],
@@ -203,6 +203,12 @@ def _fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Bytes of the wanted stretches (``_th``, ``_list`` of place and key), cut where the texts lie."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            anchor, whole, part = zip(*rows) if rows else ((), (), ())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(anchor, pa.int64()), pa.array(whole, pa.int64()), pa.array(part, pa.binary())], names=["_anchor", "_whole", "_bytes"])
+
         for batch in batches:
             rows: list[tuple] = []
             for th, raw, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
@@ -210,9 +216,10 @@ def _fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     raw = _raw(raw)
                     rows += [(p["_anchor"], p["_whole"], raw[p["_first"]:p["_last"] + length]) for p in places.as_py()]
                 before = th
-            anchor, whole, part = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor, pa.int64()), pa.array(whole, pa.int64()), pa.array(part, pa.binary())], names=["_anchor", "_whole", "_bytes"])
+                if len(rows) > 20_000:
+                    yield out(rows)
+                    rows = []
+            yield out(rows)
 
     joined = texts.join(wanted, "_th").select("_th", "_text", "_list")
     return joined.mapInArrow(run, "_anchor long, _whole long, _bytes binary")
