@@ -40,9 +40,9 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``page_id``, ``file_no``, ``offset``, ``n_bytes``, ``copies``, ``record``; order within a file is by digest."""
     text = record(F.col(id_col), F.col(url_col), F.col(html_col))
     rows = pages.select(F.col(id_col).alias("page_id"), text.alias("record"))
-    once = write_once(
-        rows.groupBy("page_id", "record").agg(F.count("*").alias("copies")).withColumn("_key", F.md5("record")), "records")
-    files = max(1, -(-once.count() // PER_FILE))
+    once = rows.groupBy("page_id", "record").agg(F.count("*").alias("copies")).withColumn("_key", F.md5("record"))
+    distinct = rows.select("page_id", F.sha2("record", 256)).distinct().count()  # moves digests only
+    files = max(1, -(-distinct // PER_FILE))
     size = F.octet_length("record").cast("long")
     number = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") % files
     before = Window.partitionBy("file_no").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
