@@ -243,6 +243,51 @@ def test_filter_never_loses_a_count(spark, docs, texts):
     assert (low >= 0).all() and (low > 0).mean() < 0.05
 
 
+def test_filter_grows_with_the_tokens():
+    import numpy as np
+
+    for tokens in (10 ** 6, 10 ** 8, 5 * 10 ** 9, 10 ** 11):
+        blocks, block_bits = lm_bloom.geometry(tokens)
+        assert blocks * block_bits >= 8 * tokens and block_bits <= 8 * lm_bloom.BLOCK_TOKENS
+    # a block's rate of false hits at the load it has at any size: a distinct pair of count one per two tokens
+    rates = []
+    for tokens in (50_000_000, 5_000_000_000):
+        blocks, block_bits = lm_bloom.geometry(tokens)
+        rng = np.random.default_rng(1)
+        inside, outside = rng.integers(0, 1 << 32, (2, tokens // blocks // 2), np.uint64)
+        bits = lm_bloom.block_bitmap(inside, np.ones(len(inside), np.int64), block_bits)
+        rates.append((lm_bloom.Filter(bits, 1, block_bits).levels(outside) > 0).mean())
+    assert max(rates) < 0.01 and abs(rates[0] - rates[1]) < 0.001
+
+
+def test_language_model_against_exact_counts(spark):
+    import numpy as np
+
+    rng = random.Random(9)
+    texts = [(i, " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randint(1, 400)))) for i in range(60)] + [(None, "w1 w2"), (70, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t in texts]
+    pairs = lambda ws: list(zip([b"", *ws[:-1]], ws))
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts}
+    one = collections.Counter(w for i, ws in tokens if not held[i] for w in ws)
+    two = collections.Counter(p for i, ws in tokens if not held[i] for p in pairs(ws))
+    n, v = sum(one.values()), len(one)
+    at = lambda c: int(lm_bloom.level(np.array([c]))[0]) if c else 0
+    mid = lambda c: float(lm_bloom.middle(np.array([at(c)]))[0])
+    once, more = collections.Counter(), collections.Counter()
+    for i, ws in tokens:
+        for a, b in pairs(ws) if not held[i] else ():
+            (more if at(two[a, b]) >= 2 else once)[at(one[a])] += 1
+    weight = lambda c: (more[at(c)] + 1) / (more[at(c)] + once[at(c)] + 2) if c else 0
+    want = collections.defaultdict(list)
+    for i, ws in tokens:
+        want[i].append(sum(math.log10(weight(one[a]) * min(1, mid(two[a, b]) / max(mid(one[a]), 1)) + (1 - weight(one[a])) * (mid(one[b]) + 1) / (n + v + 1))
+                           for a, b in pairs(ws)))
+    got = lm_bloom.scores(docs).select("doc_id", "n_tokens", "score").collect()
+    off = [min(abs(r.score - x) for x in want[r.doc_id]) / r.n_tokens for r in got]
+    assert len(got) == len(texts) and max(off) < 0.1 and sorted(off)[len(off) // 2] < 0.02
+
+
 def test_quality(spark, texts):
     rng = random.Random(8)
     rows = [(i, texts[i % 20][1] if i % 3 else "##! " + " ".join("BUY!!" for _ in range(rng.randint(5, 90)))) for i in range(300)]
