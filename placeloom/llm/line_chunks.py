@@ -1,9 +1,13 @@
-"""Removal of repeated multi-line passages by content-defined line chunks.
+"""Removal of repeated multi-line passages.
 
-Each line is hashed; a rolling hash over the hashes of two lines ends a chunk behind a line where it says
-so, so boundaries follow the content and move with it. Chunks of two or more lines whose hash occurs
-anywhere else are compared byte by byte; of equal chunks the first (smallest document id, then place) stays and
-the others are removed from their documents.
+``without_repeated_passages`` removes every passage of two or more lines that stands earlier (smaller document id, then
+place), wherever it begins: each two adjacent lines are hashed together, and both lines go if these two stand anywhere
+before. A longer passage is covered by its pairs. The first place of a line never goes, so each line stays somewhere.
+
+``without_repeats`` works on content-defined line chunks: a rolling hash over the hashes of two lines ends a chunk behind
+a line where it says so. It moves less, but leaves what spans no whole chunk of two or more lines.
+
+In both, what has an equal hash is compared byte by byte; of equal ones the first stays.
 
 Rows: a null text stays null and an empty one empty; neither has chunks. Line breaks are ``\\n`` and belong to
 the line before them. A document whose lines are all removed keeps an empty text. Rows that repeat an id and a
@@ -22,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placeloom.llm import bitmaps
 from placeloom.llm.registry import numbered
 from placeloom.session import write_once
 
@@ -125,3 +130,91 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     out = rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lines_removed", T.LongType())]))
     return out.toDF(*old, "lines_removed")
+
+
+def lines_of(text: str) -> list[str]:
+    """Lines without their breaks; a break at the end starts no line."""
+    lines = text.split("\n")
+    return lines if lines[-1] else lines[:-1]
+
+
+def _pair_rows(rows: DataFrame, bits=None) -> DataFrame:
+    """``_doc``, ``_th``, ``_at`` and two hashes of each two adjacent lines; with ``bits``, the hashes and the lines of those
+    that may be in this bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            texts, counts, raw, pairs = batch.column(2), [], [], []
+            for row in range(batch.num_rows):
+                lines = lines_of(texts[row].as_py() or "")
+                both = [f"{a}\n{b}" for a, b in zip(lines, lines[1:])]
+                counts.append(len(both))
+                raw.extend(map(digest, both))
+                if bits is not None:
+                    pairs.extend(both)
+            hashes = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+            if bits is not None:
+                keep = np.flatnonzero(bitmaps.maybe(bits.value, hashes[:, 0]))
+                one, two = hashes[keep, 0], hashes[keep, 1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(one), pa.array(two), pa.array([pairs[i] for i in keep], pa.string())], names=["_one", "_two", "_pair"])
+            else:
+                counts = np.array(counts, np.int64)
+                of = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+                at = np.arange(len(raw)) - np.repeat(np.cumsum(counts) - counts, counts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(of), batch.column(1).take(of), pa.array(at.astype(np.int32)),
+                     pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())], names=["_doc", "_th", "_at", "_one", "_two"])
+
+    if bits is not None:
+        return rows.mapInArrow(run, "_one long, _two long, _pair string")
+    return rows.mapInArrow(run, T.StructType([rows.schema["_doc"], *T._parse_datatype_string("_th long, _at int, _one long, _two long").fields]))
+
+
+def repeated_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``_doc``, ``_th`` and ``_at``: the first lines of adjacent two that stand earlier."""
+    rows = docs.select(F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
+    places = write_once(_pair_rows(rows), "pairs")
+    order = F.struct(F.col("_doc").isNull().alias("n"), F.col("_doc").alias("d"), F.col("_at").alias("a"), F.col("_th").alias("t"))
+    twice = write_once(places.groupBy("_one", "_two").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "twice")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmaps.of(twice, "_one"))
+    # Byte comparison: hashes that stand for different lines are told apart by the lines themselves.
+    unlike = (
+        _pair_rows(rows, bits).groupBy("_one", "_two").agg(F.min("_pair").alias("_a"), F.max("_pair").alias("_b"))
+        .filter("_a <> _b").select("_one", "_two"))
+    firsts = twice.join(unlike, ["_one", "_two"], "left_anti")
+    near = bitmaps.marked(places, F.col("_one"), twice, "_one").filter("_maybe").drop("_maybe")
+    return near.join(firsts, ["_one", "_two"]).filter(~order.eqNullSafe(F.col("_first"))).select("_doc", "_th", "_at")
+
+
+def without_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the passages of two or more lines that stand earlier, and ``lines_removed`` (long)."""
+    docs, (id_col, text_col), old = numbered(docs.drop("lines_removed"), id_col, text_col)
+    gone = repeated_pairs(docs, id_col, text_col).groupBy("_doc", "_th").agg(F.collect_set("_at").alias("_gone"))
+    keyed = docs.withColumn("_own", F.xxhash64(text_col))
+    on = [keyed[id_col].eqNullSafe(gone["_doc"]), F.col("_own") == F.col("_th")]
+    rows = keyed.join(gone, on, "left").select(*docs.columns, "_gone")
+    names = docs.columns
+    place = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists = batch.column(place).to_pylist(), batch.column(batch.num_columns - 1)
+            counts = np.zeros(batch.num_rows, np.int64)
+            for row in range(batch.num_rows):
+                places = lists[row].as_py()
+                if places:
+                    out = {k for at in places for k in (at, at + 1)}
+                    texts[row] = "".join(line for k, line in enumerate(_with_breaks(texts[row])) if k not in out)
+                    counts[row] = len(out)
+            columns = [*batch.columns[:-1], pa.array(counts)]
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "lines_removed"])
+
+    out = rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lines_removed", T.LongType())]))
+    return out.toDF(*old, "lines_removed")
+
+
+def _with_breaks(text: str) -> list[str]:
+    lines = text.split("\n")
+    return [*(line + "\n" for line in lines[:-1]), lines[-1]]

@@ -17,7 +17,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_line_dedup")
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_chunks.without_repeats(table(spark, sf_dir, "documents"))
+    kept = line_chunks.without_repeated_passages(table(spark, sf_dir, "documents"))
     return kept.select(
         "doc_id", "lines_removed", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -68,6 +68,47 @@ def test_line_chunks(docs, texts):
     assert any(n for _, _, n in want)
 
 
+def brute_passages(rows):
+    """Lines in two adjacent ones that stand before, by the lines themselves."""
+    lines = lambda t: t.removesuffix("\n").split("\n") if t else []
+    first = {}
+    for none, i, t in sorted({(i is None, i or 0, t or "") for i, t in rows}):
+        for k, pair in enumerate(zip(lines(t), lines(t)[1:])):
+            first[pair] = min(first.get(pair, (True, math.inf, 0)), (none, i, k))
+    out = []
+    for i, t in rows:
+        own, gone = lines(t), set()
+        for k, pair in enumerate(zip(own, own[1:])):
+            if first[pair] != (i is None, i or 0, k):
+                gone |= {k, k + 1}
+        ends = [*["\n"] * (len(own) - 1), "\n" if (t or "").endswith("\n") else ""]
+        out.append((i, t if t is None else "".join(x + e for k, (x, e) in enumerate(zip(own, ends)) if k not in gone), len(gone)))
+    return sorted(out, key=repr)
+
+
+def test_repeated_passages(spark, docs, texts):
+    got = line_chunks.without_repeated_passages(docs)
+    assert got.columns == [*docs.columns, "lines_removed"]
+    assert collect(got.select("doc_id", "text", "lines_removed")) == brute_passages(texts)
+    # planted passages of 2 to 9 lines in other surroundings, at the start, inside and at the end
+    rng = random.Random(6)
+    line = lambda: f"line {rng.random()}"
+    rows, want = [], {}
+    for n in range(2, 10):
+        passage = [line() for _ in range(n)]
+        rows.append((n, "\n".join([line(), *passage, line()])))
+        for k, (a, b) in enumerate([(0, 0), (0, 2), (1, 0), (3, 4)]):
+            before, after = [line() for _ in range(a)], [line() for _ in range(b)]
+            rows.append((100 * n + k, "\n".join([*before, *passage, *after])))
+            want[100 * n + k] = ("\n".join([*before, *after]).rstrip("\n"), n)
+    rows += [(5000, "same\nsame\nsame\nend\n"), (5001, "\n\n"), (5002, "one\n")]
+    found = line_chunks.without_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert collect(found.select("doc_id", "text", "lines_removed")) == brute_passages(rows)
+    for r in found.collect():
+        if r.doc_id in want:
+            assert (r.text.rstrip("\n"), r.lines_removed) == want[r.doc_id]
+
+
 def test_line_boundaries_resist_shifts():
     rng = random.Random(1)
     lines = [f"line {rng.random()}" for _ in range(60)]
