@@ -4,8 +4,8 @@
 place), wherever it begins: each two adjacent lines are hashed together, and both lines go if these two stand anywhere
 before. A longer passage is covered by its pairs. The first place of a line never goes, so each line stays somewhere.
 
-``without_repeats`` works on content-defined line chunks: a rolling hash over the hashes of two lines ends a chunk behind
-a line where it says so. It moves less, but leaves what spans no whole chunk of two or more lines.
+``without_repeats`` works on content-defined line chunks: a rolling hash over the hashes of two lines ends a chunk of two
+or more lines behind a line where it says so. It moves less, but leaves what spans no whole chunk.
 
 In both, what has an equal hash is compared byte by byte; of equal ones the first stays.
 
@@ -40,13 +40,16 @@ MASK = (1 << 64) - 1
 
 def cut(text: str, one_in: int = ONE_IN) -> list[tuple[int, int, int]]:
     """Chunks of a text in order: (start, end, number of lines), in characters; together they are the text."""
-    out, start, end, count, before = [], 0, 0, 0, 0
+    out, start, end, count, before, number = [], 0, 0, 0, 0, 0
+    whole = text.count("\n") + (not text.endswith("\n"))
     for line in text.split("\n"):
         here = xxhash.xxh3_64_intdigest(line)
         rolled = (before * ODD ^ here) * ODD & MASK  # of this line and the one before it
         before = here
         end, count = end + len(line) + 1, count + 1
-        if (rolled >> 33) % one_in == 0 or count == MOST_LINES:
+        number += 1
+        # No chunk has one line, unless the text has: such chunks are never compared.
+        if ((rolled >> 33) % one_in == 0 or count >= MOST_LINES) and count >= LEAST_LINES and number + 1 != whole:
             out.append((start, min(end, len(text)), count))
             start, count = end, 0
     if start < len(text):

@@ -109,6 +109,14 @@ def test_repeated_passages(spark, docs, texts):
             assert (r.text.rstrip("\n"), r.lines_removed) == want[r.doc_id]
 
 
+def test_no_chunk_of_one_line():
+    rng = random.Random(7)
+    for n in range(2, 200):
+        text = "\n".join(f"line {rng.random()}" for _ in range(n)) + "\n" * (n % 2)
+        chunks = line_chunks.cut(text)
+        assert "".join(text[a:b] for a, b, _ in chunks) == text and all(text[a:b].rstrip("\n").count("\n") >= 1 for a, b, _ in chunks)
+
+
 def test_line_boundaries_resist_shifts():
     rng = random.Random(1)
     lines = [f"line {rng.random()}" for _ in range(60)]

@@ -52,6 +52,15 @@ def test_stages(spark, tables):
     assert left == {(i, t, None if t is None else len(t)) for i, t in want if i not in gone}
 
 
+def test_multi_line_copies_go(spark):
+    rng = random.Random(13)
+    base = [(i, "\n".join(prose(rng, 12).replace("\n", "") for _ in range(2 + i % 20))) for i in range(40)]
+    rows = base + [(100 + i, t) for i, t in base] + [(200 + i, t) for i, t in base]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.line_stage(spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == base  # no stump stays
+
+
 def test_run(spark, tables):
     tokenizers = pytest.importorskip("tokenizers")
     P = pytest.importorskip("public_tokenizers")
