@@ -51,12 +51,11 @@ def _with_seeds(rows: DataFrame) -> DataFrame:
     return each.select(*kept, "_mask", F.posexplode_outer("_seeds").alias("_pos", "_seed"))
 
 
-def leaks(
+def _leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text: str = "text", window: int = WINDOW, share: float = SHARE,
 ) -> DataFrame:
-    """One row per document and item that overlap: ids, best window's ``n_matched`` and ``n_window``, and the word at
-    which the item's first word would stand in the document (``offset``), for the best place."""
+    """``leaks`` with ``_th``, the hash of the document's text."""
     rows = docs.select(F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     words = word_hashes(F.col("_text")).alias("_h")
     items = write_once(
@@ -98,11 +97,22 @@ def leaks(
     return good.groupBy("_doc", "_th", "_item", "_wh").agg(
         F.max(F.struct(F.col("_best"), F.col("_span"), -F.col("_diag"))).alias("_m")).select(
         F.col("_doc").alias(id_col), F.col("_item").alias(item_col), F.col("_m._best").cast("long").alias("n_matched"),
-        F.col("_m._span").cast("long").alias("n_window"), (-F.col("_m.col3")).cast("long").alias("offset"))
+        F.col("_m._span").cast("long").alias("n_window"), (-F.col("_m.col3")).cast("long").alias("offset"), "_th")
+
+
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text: str = "text", window: int = WINDOW, share: float = SHARE,
+) -> DataFrame:
+    """One row per document and item that overlap: ids, best window's ``n_matched`` and ``n_window``, and the word at
+    which the item's first word would stand in the document (``offset``), for the best place."""
+    return _leaks(docs, benchmark, id_col, text_col, item_col, item_text, window, share).drop("_th")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that overlap with no item, with all their columns."""
+    """The rows of ``docs`` that overlap with no item, with all their columns. A row goes for its own text, not for that
+    of another row with the same id or, like it, without one."""
     docs, (id_col, text_col), old = numbered(docs, id_col, text_col)
-    gone = leaks(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_doc")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_doc")), "left_anti").toDF(*old)
+    gone = _leaks(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_doc"), "_th").distinct()
+    on = F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(text_col) == F.col("_th"))
+    return docs.join(gone, on, "left_anti").toDF(*old)

@@ -258,6 +258,13 @@ def test_spaced_seeds(spark, docs, texts):
     assert collect(left.select("doc_id")) == sorted(((i,) for i, _ in texts if i not in gone), key=repr)
 
 
+def test_leaks_go_by_id_and_text(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(None, item), (None, "clean text"), (1, "before " + item), (1, "other clean text"), (2, None)], "doc_id long, text string")
+    left = spaced_seeds.without_leaks(docs, spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert collect(left) == sorted([(None, "clean text"), (1, "other clean text"), (2, None)], key=repr)
+
+
 def test_every_fifth_word_replaced(spark):
     words = [f"w{k}" for k in range(40)]
     changed = [w if k % 5 else "zzz" for k, w in enumerate(words)]
