@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, count_tree, line_chunks, lm_bloom, quality, recipes, spaced_seeds, suffix_repeats, tool_calls, warc_fixity
+from placeloom.llm import bpe, count_tree, line_chunks, lm_bloom, quality, recipes, spaced_seeds, suffix_repeats, tool_calls, turn_repair, warc_fixity
 from placeloom.llm.registry import ORACLES, QUERIES, query, table
 from placeloom.session import write_once
 
@@ -133,6 +133,94 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "file_no", "offset", "page_id", "n_bytes", "status", "sha256_one", "sha256_two")
 
 
+@query("op11_turn_repair", r"""
+    WITH RECURSIVE steps AS (
+        SELECT i, 0 AS k, i AS c FROM range(256) r(i)
+        UNION ALL
+        SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM steps WHERE k < 8),
+    crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+    keyed AS (
+        SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+    coded AS (
+        SELECT keyed.*, xor(list_reduce(
+            list_prepend(4294967295::BIGINT, list_transform(str_split(k, ''), lambda x: ord(x)::BIGINT)),
+            lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)), 4294967295) % 20 AS code
+        FROM keyed, crc),
+    rows_left AS (
+        SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+            CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text
+        FROM coded, range(CASE WHEN code = 0 THEN 0 WHEN code = 3 THEN 2 ELSE 1 END)),
+    ordered AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS rn,
+            rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+        FROM rows_left),
+    faults AS (
+        SELECT *, body = '' AS blank,
+            body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 AS again,
+            body <> '' AND right(body, 1) NOT IN ('.', '!', '?') AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) = 1 AS cut,
+            lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) || left(role, 1) AS pair
+        FROM ordered),
+    counts AS (
+        SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+            count_if(blank) AS blank, count_if(again) AS duplicate, count_if(cut) AS truncated,
+            count_if(pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM faults GROUP BY conv_id),
+    walk AS (
+        SELECT conv_id, n + 1 AS rn, {'c': 0, 'l': '', 'r': ''} AS a0,
+            {'c': 4, 'l': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'} AS a1,
+            {'c': 2, 'l': 'I', 'r': chr(10) || 'assistant:'} AS a2, {'c': 0, 'l': '', 'r': ''} AS a3
+        FROM counts
+        UNION ALL
+        SELECT conv_id, rn,
+            list_min([e0, {'c': o2.c + 2, 'l': 'I' || o2.l, 'r': chr(10) || 'user:' || o2.r}]),
+            list_min([e1, {'c': o2.c + 2, 'l': 'I' || o2.l, 'r': chr(10) || 'user:' || o2.r}]),
+            list_min([e2, {'c': o3.c + 2, 'l': 'I' || o3.l, 'r': chr(10) || 'assistant:' || o3.r}]),
+            list_min([e3, {'c': o2.c + 2, 'l': 'I' || o2.l, 'r': chr(10) || 'user:' || o2.r}])
+        FROM (
+            SELECT *,
+                list_min([e2, {'c': e3.c + 2, 'l': 'I' || e3.l, 'r': chr(10) || 'assistant:' || e3.r}]) AS o2,
+                list_min([e3, {'c': e2.c + 2, 'l': 'I' || e2.l, 'r': chr(10) || 'user:' || e2.r}]) AS o3
+            FROM (
+                SELECT w.conv_id, f.rn,
+                    list_min([{'c': a0.c + 3, 'l': 'D' || a0.l, 'r': a0.r},
+                        CASE WHEN stay THEN {'c': a2.c + 2 + add, 'l': 'R' || a2.l, 'r': chr(10) || 'user:' || text || a2.r} END,
+                        CASE WHEN stay AND i = 'u' THEN {'c': a2.c + add, 'l': 'K' || a2.l, 'r': chr(10) || role || ':' || text || a2.r}
+                            WHEN stay AND i = 's' THEN {'c': a1.c + add, 'l': 'K' || a1.l, 'r': chr(10) || role || ':' || text || a1.r} END]) AS e0,
+                    list_min([{'c': a1.c + 3, 'l': 'D' || a1.l, 'r': a1.r},
+                        CASE WHEN stay THEN {'c': a2.c + 2 + add, 'l': 'R' || a2.l, 'r': chr(10) || 'user:' || text || a2.r} END,
+                        CASE WHEN stay AND i = 'u' THEN {'c': a2.c + add, 'l': 'K' || a2.l, 'r': chr(10) || role || ':' || text || a2.r} END]) AS e1,
+                    list_min([{'c': a2.c + 3, 'l': 'D' || a2.l, 'r': a2.r},
+                        CASE WHEN stay THEN {'c': a3.c + 2 + add, 'l': 'R' || a3.l, 'r': chr(10) || 'assistant:' || text || a3.r} END,
+                        CASE WHEN stay AND i = 'a' THEN {'c': a3.c + add, 'l': 'K' || a3.l, 'r': chr(10) || role || ':' || text || a3.r} END]) AS e2,
+                    list_min([{'c': a3.c + 3, 'l': 'D' || a3.l, 'r': a3.r},
+                        CASE WHEN stay THEN {'c': a2.c + 2 + add, 'l': 'R' || a2.l, 'r': chr(10) || 'user:' || text || a2.r} END,
+                        CASE WHEN stay AND i = 'u' THEN {'c': a2.c + add, 'l': 'K' || a2.l, 'r': chr(10) || role || ':' || text || a2.r} END]) AS e3
+                FROM walk w JOIN (SELECT *, left(role, 1) AS i, NOT blank AND NOT again AS stay, cut::INT AS add FROM faults) f
+                    ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.rn = w.rn - 1))),
+    best AS (SELECT conv_id, a0 FROM walk WHERE rn = 1)
+    SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+        coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.a0.c, 0)::BIGINT AS cost,
+        coalesce(b.a0.l, '') AS audit, sha256(coalesce(substr(b.a0.r, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+        LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM e.conv_id
+""")
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turn_repair.report(turns, damaged_turns(turns))
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """The damage that the contract names, by the checksum of conversation and turn."""
+    id_, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    rows = turns.select(
+        "conv_id", "turn", (F.crc32(F.concat(id_, F.lit(":"), turn)) % 20).alias("_code"), role.alias("role"), text.alias("text"))
+    copies = F.when(F.col("_code") == 0, 0).when(F.col("_code") == 3, 2).otherwise(1)
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("_code") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("_code") == 1, "").when(F.col("_code") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).drop("_copy")
+
+
 def load():
     """All queries of the subpackage and their SQL."""
     return QUERIES, ORACLES
