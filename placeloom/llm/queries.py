@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, count_tree, line_chunks, lm_bloom, quality, recipes, spaced_seeds, suffix_repeats, tool_calls, turn_repair, warc_fixity
+from placeloom.llm import bpe, count_tree, html_region, line_chunks, lm_bloom, quality, recipes, spaced_seeds, suffix_repeats, tool_calls, turn_repair, warc_fixity
 from placeloom.llm.registry import ORACLES, QUERIES, query, table
 from placeloom.session import write_once
 
@@ -221,6 +221,23 @@ def damaged_turns(turns: DataFrame) -> DataFrame:
         F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).drop("_copy")
 
 
+@query("op12_html_region", r"""
+    WITH a AS (
+        SELECT page_id, url, row_number() OVER () AS r, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages),
+    b AS (SELECT page_id, url, r, unnest(str_split(regexp_replace(body, '</?(p|h1)>', chr(30), 'g'), chr(30))) AS raw,
+        generate_subscripts(str_split(regexp_replace(body, '</?(p|h1)>', chr(30), 'g'), chr(30)), 1) AS i FROM a),
+    c AS (
+        SELECT page_id, url, r, i, trim(regexp_replace(
+            replace(replace(regexp_replace(regexp_replace(regexp_replace(raw, '<br>', ' ', 'g'), '</?b>', '', 'g'), '&amp\b;?', chr(31), 'g'),
+                '&quot;', '"'), chr(31), '&'), '\s+', ' ', 'g')) AS line FROM b),
+    t AS (SELECT page_id, url, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (line <> ''), '') AS text FROM c GROUP BY page_id, url, r)
+    SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+""")
+def op12_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_region.extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def load():
     """All queries of the subpackage and their SQL."""
     return QUERIES, ORACLES
