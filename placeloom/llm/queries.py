@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, count_tree, html_region, line_chunks, lm_bloom, quality, recipes, spaced_seeds, suffix_repeats, tool_calls, turn_repair, warc_fixity
+from placeloom.llm import bpe, count_tree, html_region, line_chunks, lm_bloom, quality, recipes, spaced_seeds, suffix_repeats, tool_calls, turn_repair, warc_fixity, whitening
 from placeloom.llm.registry import ORACLES, QUERIES, query, table
 from placeloom.session import write_once
 
@@ -238,6 +238,11 @@ def op12_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_region.extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def load():
     """All queries of the subpackage and their SQL."""
     return QUERIES, ORACLES
