@@ -1,7 +1,7 @@
 """Fields of article markup as column expressions: coordinates, infobox, links, plain text.
 
-Markup nests. Patterns follow braces to a fixed depth and use possessive repeats, so they cannot backtrack. Texts that
-nest deeper first lose the templates below that depth (``shallow``), which no field needs.
+Braces are paired by one scan (``spans``), which hands back the parts that hold a field; the fields themselves are cut
+from these parts by expressions.
 """
 
 from __future__ import annotations
@@ -9,42 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEPTH = 5
-
-
-def _balanced(depth: int, open_: str = r"\{", close: str = r"\}", other: str = r"[^{}]") -> str:
-    body = f"{other}*+"
-    for _ in range(depth):
-        body = f"(?:{other}++|{open_}{body}{close})*+"
-    return body
-
-
-_INNER = _balanced(2 * DEPTH)
-
-_TOKENS = r"\{\{|\}\}|[^{}]+|[{}]"
-
-
-def _step(depth: Column, token: Column) -> Column:
-    return F.when(token == "{{", depth + 1).when(token == "}}", F.greatest(depth - 1, F.lit(0))).otherwise(depth)
-
-
-def shallow(article: Column, depth: int = DEPTH) -> Column:
-    """The text without templates nested deeper than ``depth``, whatever their depth; others pass unchanged.
-
-    A fold over the braces measures the depth; only texts that need it are put together anew. A text whose
-    braces do not pair is left as it is.
-    """
-    braces = F.regexp_extract_all(article, F.lit(r"\{\{|\}\}"), F.lit(0))
-    start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("most"))
-    measured = F.aggregate(braces, start, lambda a, t: F.struct(
-        _step(a["d"], t).alias("d"), F.greatest(a["most"], _step(a["d"], t)).alias("most")))
-    deep = (F.size(braces) > 2 * depth) & (measured["most"] > depth) & (measured["d"] == 0)
-    tokens = F.regexp_extract_all(article, F.lit(_TOKENS), F.lit(0))
-    kept = F.aggregate(tokens, F.struct(F.lit(0).alias("d"), F.lit("").alias("text")), lambda a, t: F.struct(
-        _step(a["d"], t).alias("d"),
-        F.when(F.greatest(a["d"], _step(a["d"], t)) <= depth, F.concat(a["text"], t)).otherwise(a["text"]).alias("text")))
-    return F.when(deep, kept["text"]).otherwise(article)
-
+from placeloom.functions.spans import box_and_rest_of, coordinate_tags_of
 
 # Entities and what they stand for, in the order they are replaced.
 ENTITIES = [("&quot;", '"'), ("&amp;", "&"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")]
@@ -122,12 +87,9 @@ def _coord_of(found: Column) -> Column:
     return F.when(pair["lat"].isNotNull() & pair["lon"].isNotNull(), pair)
 
 
-_COORD_TAG = rf"\{{\{{[cC]oord\|({_INNER})\}}"
-
-
 def first_usable_coord(article: Column) -> Column:
     """Coordinate of the first tag that can be read."""
-    bodies = F.regexp_extract_all(shallow(article), F.lit(_COORD_TAG), F.lit(1))
+    bodies = coordinate_tags_of(article)["bodies"]
     found = F.filter(F.transform(bodies, lambda b: parse_coord(coord_body(b))), lambda c: c.isNotNull())
     return F.try_element_at(found, F.lit(1))
 
@@ -139,8 +101,7 @@ def has_coord(article: Column) -> Column:
 
 def article_coord(article: Column) -> Column:
     """Coordinate of the first coordinate template; a tag with a blank before the pipe cannot be read."""
-    first = F.regexp_extract(shallow(article), rf"(?i)(\{{\{{\s*coord\s*\|{_INNER}\}}\}})", 1)
-    return parse_coord(coord_body(F.regexp_extract(first, rf"^{_COORD_TAG}", 1)))
+    return parse_coord(coord_body(coordinate_tags_of(article)["first"]))
 
 
 # ---- links ------------------------------------------------------------------------------------------
@@ -183,14 +144,18 @@ def _labels(text: Column) -> Column:
     return F.regexp_replace(text, r"\[https?://[^\s\]]+\s+([^\]]*)\]", "$1")
 
 
-def _without_templates(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\{{\{{{_INNER}\}}\}}", "")
+def parts(article: Column) -> Column:
+    """``struct(box, rest)`` for ``plain_part`` and ``box_part``; hold it where both are wanted, so that it is cut once."""
+    return box_and_rest_of(article)
 
 
 def plain_text(article: Column) -> Column:
     """Text without templates, comments, tags and quote marks; links and headings keep their label."""
-    text = F.regexp_replace(shallow(article), r"(?s)<!--.*?-->", "")
-    text = _labels(_without_templates(text))
+    return plain_part(parts(article))
+
+
+def plain_part(found: Column) -> Column:
+    text = _labels(found["rest"])
     text = F.regexp_replace(text, r"<[^<>]*>", "")
     text = F.regexp_replace(text, r"'{2,5}", "")
     text = F.regexp_replace(text, r"(?m)^=+\s*(.*?)\s*=+\s*$", "$1")
@@ -199,17 +164,17 @@ def plain_text(article: Column) -> Column:
 
 def infobox(article: Column) -> Column:
     """``map(name, value)`` of the first infobox, values as plain text, empty ones left out; NULL if none."""
-    body = F.regexp_extract(
-        shallow(article), rf"(?is)\{{\{{[^|{{}}]*infobox[^|{{}}]*\|({_INNER})\}}\}}", 1)
-    flat = _labels(_without_templates(F.regexp_replace(body, r"(?s)<!--.*?-->", "")))
-    fields = F.transform(F.split(flat, r"\|"), lambda f: F.split(f, "=", 2))
+    return box_part(parts(article))
+
+
+def box_part(found: Column) -> Column:
+    fields = F.transform(F.split(_labels(found["box"]), r"\|"), lambda f: F.split(f, "=", 2))
     named = F.transform(
         F.filter(fields, lambda f: F.size(f) == 2), lambda f: F.struct(_strip(f[0]).alias("k"), _strip(f[1]).alias("v")))
     full = F.filter(named, lambda f: f["v"] != "")
     empty = F.create_map().cast("map<string,string>")
-    last_wins = F.aggregate(full, empty, lambda seen, f: F.map_concat(
+    return F.aggregate(full, empty, lambda seen, f: F.map_concat(
         F.map_filter(seen, lambda k, v: k != f["k"]), F.create_map(f["k"], f["v"])))
-    return F.when(has_template(article, "infobox"), last_wins)
 
 
 def _strip(c: Column) -> Column:

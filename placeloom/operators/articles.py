@@ -33,17 +33,17 @@ def extract(pages: DataFrame, box=geo.COUNTY_BOX, name: str = "title", text: str
     body = F.col(text)
     found = located(pages, box, text)
     others = [c for c in pages.columns if c not in (name, text)]
-    plain = geo.pin(
-        found, [*others, name, text, "lat", "lon"], _plain=markup.plain_text(body))
+    cut = geo.pin(found, [*others, name, text, "lat", "lon"], _parts=markup.parts(body))
+    plain = geo.pin(cut, [*others, name, text, "lat", "lon", "_parts"], _plain=markup.plain_part(F.col("_parts")))
     return plain.select(
-        *others, F.col(name).alias("name"), "lat", "lon", markup.infobox(body).alias("templates"),
+        *others, F.col(name).alias("name"), "lat", "lon", markup.box_part(F.col("_parts")).alias("templates"),
         F.col("_plain").alias("text"), markup.wikilinks(body).alias("wikilinks"),
         markup.external_links(body).alias("ext_links"), F.length("_plain").alias("text_length"))
 
 
 def matched_counts(pages: DataFrame, box=geo.COUNTY_BOX, text: str = "text") -> DataFrame:
     """One row: pages read and pages whose coordinate lies inside ``box``."""
-    at = F.when(markup.has_coord(F.col(text)), markup.article_coord(F.col(text)))
+    at = markup.article_coord(F.when(markup.has_coord(F.col(text)), F.col(text)))
     seen = geo.pin(pages.select(text), [], _at=at)
     south, north, west, east = box
     return seen.agg(

@@ -20,7 +20,7 @@ from placeloom.session import write_once
 @query("article_coordinates", f"SELECT doc_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM ({PAGE_FACTS})")
 def article_coordinates(spark, sf_dir):
     pages = inputs.pages(spark, sf_dir)
-    at = geo.pin(pages, ["doc_id"], at=F.when(markup.has_coord(F.col("text")), markup.article_coord(F.col("text"))))
+    at = geo.pin(pages, ["doc_id"], at=markup.article_coord(F.when(markup.has_coord(F.col("text")), F.col("text"))))
     return at.select("doc_id", F.round("at.lat", 6).alias("lat"), F.round("at.lon", 6).alias("lon"))
 
 
@@ -85,24 +85,30 @@ def early_stop(spark, sf_dir):
 # ---- fields -----------------------------------------------------------------------------------------
 
 
+# what the documents' own text becomes as plain text, with what stands around it on its page
+_TIDY = ("replace(replace(replace(replace(replace(replace(regexp_replace({}, '''{{2,5}}', '', 'g'), '&quot;', '\"'), '&amp;', '&'), "
+         "'&apos;', '\'\''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' ')")
+_PLAIN = (f"regexp_replace({_TIDY.format('body')} || chr(10) || 'Category:' || category || chr(10) || 'the river site', "
+          "'^\\s+|\\s+$', '', 'g')")
+
+
 @query("article_records", f"""
 SELECT doc_id, title AS name, round(lat, 6) AS lat, round(lon, 6) AS lon,
   CASE WHEN doc_id % 3 > 0 THEN 'Place ' || doc_id END AS place, CASE WHEN doc_id % 3 > 0 THEN 'Town ' || (doc_id % 5) END AS kind,
   CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id % 9 AS VARCHAR) END AS area, CASE WHEN doc_id % 3 > 0 THEN 3 END AS fields,
-  'http://x.org/' || doc_id AS link, 'River ' || (doc_id % 4) AS river
-FROM ({PAGE_FACTS}) WHERE {IN_COUNTY} AND NOT regexp_matches(body, '[\\[\\]{{}}<>]') AND NOT contains(body, 'http')""")
+  'http://x.org/' || doc_id AS link, 'River ' || (doc_id % 4) AS river, length({_PLAIN}) AS text_length, md5({_PLAIN}) AS digest
+FROM ({PAGE_FACTS}) WHERE {IN_COUNTY}""")
 def article_records(spark, sf_dir):
-    clean_ids = table(spark, sf_dir, "documents").filter(
-        ~F.col("text").rlike(r"[\[\]{}<>]") & ~F.contains("text", F.lit("http"))).select("doc_id")
-    found = art.extract(inputs.pages(spark, sf_dir)).join(clean_ids, "doc_id", "left_semi")
+    found = art.extract(inputs.pages(spark, sf_dir))
     box = F.col("templates")
     return found.select(
         "doc_id", "name", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"),
         F.try_element_at(box, F.lit("name")).alias("place"), F.try_element_at(box, F.lit("kind")).alias("kind"),
         F.try_element_at(box, F.lit("area")).alias("area"), F.map_keys(box).alias("_k"), "ext_links", "wikilinks",
+        "text_length", F.md5("text").alias("digest"),
     ).select("doc_id", "name", "lat", "lon", "place", "kind", "area",
              F.when(F.col("_k").isNotNull(), F.size("_k")).alias("fields"),
-             F.col("ext_links")[0].alias("link"), F.try_element_at("wikilinks", F.lit(-1)).alias("river"))
+             F.col("ext_links")[0].alias("link"), F.try_element_at("wikilinks", F.lit(-1)).alias("river"), "text_length", "digest")
 
 
 @query("link_sets", """
@@ -141,19 +147,58 @@ def markup_counts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.inline(F.array(markup.item_counts(source))))
 
 
-@query("infobox_detection", "SELECT doc_id, doc_id % 3 > 0 AS has_infobox FROM documents WHERE text NOT LIKE '%nfobox%'")
+@query("infobox_detection", "SELECT doc_id, doc_id % 3 > 0 AS has_infobox FROM documents")
 def infobox_detection(spark, sf_dir):
-    pages = inputs.pages(spark, sf_dir)
-    plain = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit("nfobox"))).select("doc_id")
-    return pages.join(plain, "doc_id", "left_semi").select(
+    return inputs.pages(spark, sf_dir).select(
         "doc_id", markup.has_template(F.col("text"), "infobox").alias("has_infobox"))
 
 
 @query("json_lines", """
-SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}' AS line FROM documents""")
+SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"text":' || to_json(text)::VARCHAR || '}' AS line
+FROM documents""")
 def json_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.to_json(F.struct("doc_id", "lang", "n_chars")).alias("line"))
+        "doc_id", F.to_json(F.struct("doc_id", "lang", "n_chars", "text")).alias("line"))
+
+
+# Each page's coordinate and box inside 0 to 20 templates; an unclosed brace before them, a stray one before or after.
+_DEPTH = "CAST(doc_id % 21 AS INT)"
+
+
+def _nested(spark, sf_dir):
+    def inside(part):
+        return F.concat(F.repeat(F.lit("{{w|x="), F.expr(_DEPTH)), part, F.repeat(F.lit("}}"), F.expr(_DEPTH)))
+
+    k = F.col("doc_id")
+    i = k.cast("string")
+    tag = F.concat(F.lit("{{coord|40|"), (k % 60).cast("string"), F.lit("|N|79|"), (k % 50).cast("string"), F.lit("|W|n={{a|{{b}}}}}}"))
+    box = F.concat(F.lit("{{Infobox town|name=Place "), i, F.lit("|seat={{nowrap|{{x}}}} [[a|Seat "), i, F.lit("]]|none={{y}}}}"))
+    before = F.when(k % 3 == 0, "{{never closed ").when(k % 3 == 1, "}} ").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(
+        before, F.lit("Start "), inside(tag), F.lit(" middle "), inside(box), F.lit("{{{arg|1}}} end "), "text",
+        F.when(k % 3 == 2, " }}").otherwise("")).alias("text"))
+
+
+@query("nested_coordinates", """
+SELECT doc_id, round(40 + (doc_id % 60) / 60e0, 6) AS lat, round(-(79 + (doc_id % 50) / 60e0), 6) AS lon FROM documents""")
+def nested_coordinates(spark, sf_dir):
+    at = geo.pin(_nested(spark, sf_dir), ["doc_id"], at=markup.article_coord(F.col("text")))
+    return at.select("doc_id", F.round("at.lat", 6).alias("lat"), F.round("at.lon", 6).alias("lon"))
+
+
+@query("nested_boxes", "SELECT doc_id, 'Place ' || doc_id AS name, 'Seat ' || doc_id AS seat, 2 AS fields FROM documents")
+def nested_boxes(spark, sf_dir):
+    box = geo.pin(_nested(spark, sf_dir), ["doc_id"], box=markup.infobox(F.col("text")))
+    return box.select("doc_id", F.try_element_at("box", F.lit("name")).alias("name"), F.try_element_at("box", F.lit("seat")).alias("seat"),
+                      F.size("box").alias("fields"))
+
+
+@query("nested_plain_text", f"""
+SELECT doc_id, md5(regexp_replace(CASE doc_id % 3 WHEN 0 THEN '{{{{never closed ' WHEN 1 THEN '}}}} ' ELSE '' END
+   || 'Start  middle  end ' || {_TIDY.format("text")} || CASE doc_id % 3 WHEN 2 THEN ' }}}}' ELSE '' END, '^\\s+|\\s+$', '', 'g')) AS digest
+FROM documents""")
+def nested_plain_text(spark, sf_dir):
+    return _nested(spark, sf_dir).select("doc_id", F.md5(markup.plain_text(F.col("text"))).alias("digest"))
 
 
 # ---- categories -------------------------------------------------------------------------------------

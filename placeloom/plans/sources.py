@@ -71,10 +71,10 @@ def part_listing(spark, sf_dir):
     return found.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"))
 
 
-@query("json_lines_parts", "SELECT doc_id, lang, n_chars FROM documents")
+@query("json_lines_parts", "SELECT doc_id, lang, n_chars, text FROM documents")
 def json_lines_parts(spark, sf_dir):
     path = scratch_path(spark, "json")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
     for part in range(3):
         files.write_json_lines(docs.filter(F.col("doc_id") % 3 == part), path, "append")
     return files.read_json_lines(spark, path, docs.schema)

@@ -1,7 +1,10 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from placeloom.functions import geo, markup, text
+from placeloom.functions import geo, markup, spans, text
 from placeloom.operators import articles
 
 CASES = [
@@ -104,3 +107,42 @@ def test_tokens_and_bigrams(spark):
 def test_idf(spark):
     row = spark.range(1).select(text.smooth_idf(F.lit(3), F.lit(3)).alias("a"), text.smooth_idf(F.lit(3), F.lit(1)).alias("b")).first()
     assert row["a"] == pytest.approx(1.0) and row["b"] == pytest.approx(1.693147, abs=1e-6)
+
+
+@pytest.mark.parametrize("depth", range(0, 21))
+def test_fields_at_any_depth_with_stray_braces(depth):
+    def inside(part):
+        return "{{w|x=" * depth + part + "}}" * depth
+
+    for before, after in (("", ""), ("{{open ", ""), ("}} ", ""), ("", " }}"), ("{{{ ", ""), ("<!-- no end {{", "")):
+        article = before + inside("{{coord|40|N|80|W|n={{a|{{b}}}}}}") + " t " + inside("{{Infobox x|a={{b|{{c}}}}1|d=[[e|f]]}}") + after
+        assert spans.coordinate_tags(article) == ("40|N|80|W|n={{a|{{b}}}}", ["40|N|80|W|n={{a|{{b}}}}"])
+        assert spans.box_and_rest(article) == ("a=1|d=[[e|f]]", before + " t " + after)
+
+
+def test_braces_pair_as_in_the_source():
+    """Every span holds as many opening as closing braces; spans nest or lie apart."""
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["{{", "}}", "{{{", "}}}", "{", "}", "a", "|", "infobox", "{{{{"]) for _ in range(rng.randint(0, 25)))
+        found, _ = spans.paired(text)
+        for one in found:
+            assert text[one.start:one.start + one.braces] == "{" * one.braces and text[one.end - one.braces:one.end] == "}" * one.braces
+            assert one.start + one.braces <= one.pipe <= one.end - one.braces
+            for other in found:
+                assert one.end <= other.start or other.end <= one.start or one.start <= other.start and other.end <= one.end \
+                    or other.start <= one.start and one.end <= other.end
+
+
+def test_comments_and_nowiki_hold_no_braces():
+    text = "<!-- {{ --> <nowiki>{{</nowiki> {{coord|1|2}} <!-- }} {{coord|3|4}} -->"
+    assert spans.coordinate_tags(text)[1] == ["1|2"]
+    assert spans.box_and_rest(text)[1] == " <nowiki>{{</nowiki>  "
+
+
+def test_long_runs_are_read_in_linear_time():
+    for text in ("{{" * 200_000, "{{a|" * 100_000 + "}}" * 100_000, "}}{{" * 100_000, "<!--" * 200_000, "{{infobox" * 50_000 + "}}" * 50_000):
+        start = time.time()
+        spans.coordinate_tags(text)
+        spans.box_and_rest(text)
+        assert time.time() - start < 6
