@@ -15,54 +15,48 @@ import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-_MARKS = r"<!--|<nowiki>|\||\{{2,}|\}{2,}"
+_MARKS = re.compile(r"<!--|<[nN][oO][wW][iI][kK][iI]>|\{{2,}|\}{2,}")
 _ENDS = {"<!--": re.compile("-->"), "<nowiki>": re.compile("</nowiki>", re.I)}
-_COORD = re.compile(r"\s*coord\s*", re.I)
+_COORD = re.compile(r"\s*coord\s*(?=\||\}\})", re.I)
+# a name is read up to its first pipe or brace, so no part of the text is read for two templates
+_BOX = re.compile(r"[^|{}]*?infobox", re.I)
 
 
 class Span(NamedTuple):
     start: int
     end: int
     braces: int  # 2: template, 3: argument
-    pipe: int  # where the name ends
-    named: bool  # whether the wanted word stands in the name
 
 
-def paired(text: str, word: str = "infobox") -> tuple[list[Span], list[tuple[int, int]]]:
+def paired(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
     """Spans of templates and arguments in the order they open, and (start, end) of comments."""
     spans, comments, open_, missing = [], [], [], set()
-    marks = re.compile(f"{_MARKS}|{re.escape(word)}", re.I)
     at = 0
-    while match := marks.search(text, at):
+    while match := _MARKS.search(text, at):
         at = match.end()
-        mark = match[0].lower()
-        if mark in _ENDS:
-            # an opening without its end is text; the end is looked for only once
-            end = None if mark in missing else _ENDS[mark].search(text, at)
-            if end:
-                at = end.end()
-                if mark == "<!--":
-                    comments.append((match.start(), at))
-            else:
-                missing.add(mark)
-        elif mark[0] == "{":
-            open_.append([match.start(), len(mark), None, False])
+        mark = match[0]
+        if mark[0] == "{":
+            open_.append([match.start(), len(mark)])
         elif mark[0] == "}":
             here, left = match.start(), len(mark)
             while left >= 2 and open_:
-                start, width, pipe, named = open_[-1]
+                start, width = open_[-1]
                 size = 3 if left >= 3 and width >= 3 else 2
                 here, left = here + size, left - size
-                spans.append(Span(start + width - size, here, size, here - size if pipe is None else pipe, named))
+                spans.append(Span(start + width - size, here, size))
                 if width - size < 2:
                     open_.pop()
                 else:
-                    open_[-1] = [start, width - size, None, False]
-        elif open_ and open_[-1][2] is None:
-            if mark == "|":
-                open_[-1][2] = match.start()
-            else:
-                open_[-1][3] = True
+                    open_[-1][1] = width - size
+        elif (kind := mark.lower()) not in missing:
+            # an opening without its end is text; the end is looked for only once
+            end = _ENDS[kind].search(text, at)
+            if not end:
+                missing.add(kind)
+                continue
+            at = end.end()
+            if kind == "<!--":
+                comments.append((match.start(), at))
     spans.sort()
     return spans, comments
 
@@ -85,11 +79,11 @@ def coordinate_tags(text: str) -> tuple[str | None, list[str]]:
     """Body of the first template named ``coord`` (empty where its name rules out reading it), and bodies of all
     readable tags."""
     first, bodies = None, []
-    for start, end, braces, pipe, _ in paired(text)[0]:
-        if braces == 2 and _COORD.fullmatch(text, start + 2, pipe):
-            tag = pipe == start + 7 and text.startswith("oord|", start + 3)
+    for start, end, braces in paired(text)[0]:
+        if braces == 2 and (name := _COORD.match(text, start + 2)):
+            tag = name[0] in ("coord", "Coord") and name.end() < end - 2
             if tag:
-                bodies.append(text[pipe + 1:end - 2])
+                bodies.append(text[name.end() + 1:end - 2])
             if first is None:
                 first = bodies[-1] if tag else ""
     return first, bodies
@@ -100,8 +94,10 @@ def box_and_rest(text: str) -> tuple[str | None, str]:
     templates, arguments and comments."""
     spans, comments = paired(text)
     cuts = sorted([span[:2] for span in spans] + comments)
-    box = next((span for span in spans if span.braces == 2 and span.named), None)
-    body = box and without(text, cuts, box.pipe + 1, max(box.pipe + 1, box.end - 2))
+    box = next((span for span in spans if span.braces == 2 and _BOX.match(text, span.start + 2)), None)
+    if box is None:
+        return None, without(text, cuts, 0, len(text))
+    _, _, body = without(text, cuts, box.start + 2, box.end - 2).partition("|")
     return body, without(text, cuts, 0, len(text))
 
 

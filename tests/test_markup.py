@@ -128,7 +128,7 @@ def test_braces_pair_as_in_the_source():
         found, _ = spans.paired(text)
         for one in found:
             assert text[one.start:one.start + one.braces] == "{" * one.braces and text[one.end - one.braces:one.end] == "}" * one.braces
-            assert one.start + one.braces <= one.pipe <= one.end - one.braces
+            assert one.start + one.braces <= one.end - one.braces
             for other in found:
                 assert one.end <= other.start or other.end <= one.start or one.start <= other.start and other.end <= one.end \
                     or other.start <= one.start and one.end <= other.end
