@@ -6,11 +6,11 @@ from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.operators import metrics
+from placeloom.operators import gram, metrics
 from placeloom.operators.folds import k_folds
 from placeloom.operators.profiling import absent_levels
 from placeloom.session import write_once
@@ -35,25 +35,16 @@ def feature_columns(df: DataFrame, dummies: list[str] | None = None, drops: list
 
 
 def linear() -> Maker:
-    return lambda train: LinearRegression(labelCol="y", standardization=False)
+    return gram.Linear()
 
 
 def lasso(alpha: float = 1.0) -> Maker:
-    return lambda train: LinearRegression(
-        labelCol="y", regParam=alpha, elasticNetParam=1.0, standardization=False)
+    return gram.Linear(l1=alpha)
 
 
 def ridge(alpha: float = 1.0) -> Maker:
-    """Penalty ``alpha`` on the squared coefficients of the summed squared error.
-
-    The solver scales the label to unit deviation and averages the loss; the penalty is scaled to match.
-    """
-    def make(train: DataFrame):
-        row = train.agg(F.count("y").alias("n"), F.stddev_pop("y").alias("s")).first()
-        return LinearRegression(
-            labelCol="y", regParam=alpha / row["n"] * row["s"], elasticNetParam=0.0, standardization=False)
-
-    return make
+    """Penalty ``alpha`` on the squared coefficients of the summed squared error."""
+    return gram.Linear(l2=alpha)
 
 
 def boosted_trees(rounds: int = 20, depth: int = 5, seed: int = 42) -> Maker:
@@ -120,9 +111,12 @@ def leave_one_out(
     """Predict every fold from all the others.
 
     ``df`` has ``fold``, ``y``, the feature ``columns`` and the ``keep`` columns. Returns the predictions of
-    all rows (with ``error``) and ``(fold, feature, importance)``. The table is written once; folds are
+    all rows (with ``error``) and ``(fold, feature, importance)``. Linear models on plain columns are fitted from sums
+    that one scan gives for all folds. For other models, and features in vectors, the table is written once; folds are
     fitted a few at a time so that small ones do not leave the cluster idle.
     """
+    if isinstance(make, gram.Linear) and not vector_names:
+        return linear_folds(df, folds, make, columns, keep, standardize)
     table = write_once(df.select(*dict.fromkeys([*keep, "fold", "y", *columns])), "folds")
     with ThreadPool(FOLDS_AT_ONCE) as pool:
         fitted = pool.map(lambda f: fit_fold(table, f, make, columns, keep, standardize, vector_names), folds)
@@ -134,6 +128,38 @@ def leave_one_out(
     return metrics.residuals(predictions), importance
 
 
+def linear_folds(
+    df: DataFrame, folds: list, model: gram.Linear, columns: list[str], keep: list[str], standardize: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """``leave_one_out`` for linear models: one scan for all fits, one for the predictions."""
+    folds = [str(f) for f in folds]
+    flags = flag_columns(columns)
+    moments, sums = gram.moments_by_fold(df, folds, columns, flags)
+    weights, importance = [], []
+    for fold in folds:
+        absent = {c for c, total, squares in zip(flags, *sums[fold], strict=True) if total == 0 and squares == 0}
+        # values that cancel out need the count of distinct values too; never so for 0/1 flags
+        odd = [c for c, total, squares in zip(flags, *sums[fold], strict=True) if total == 0 and squares > 0]
+        if odd:
+            absent |= {r["column"] for r in absent_levels(df, F.col("fold") != fold, odd).collect()}
+        used = [i for i, c in enumerate(columns) if c not in absent]
+        train = moments[fold].part(used)
+        mean, std = gram.overall_scale(train) if standardize else (0.0, 1.0)
+        coefficients, intercept = model.solve(train.scaled(mean, std) if standardize else train)
+        importance += [(fold, columns[i], float(v)) for i, v in zip(used, coefficients, strict=True)]
+        row = [0.0] * len(columns)
+        for i, v in zip(used, coefficients, strict=True):
+            row[i] = float(v) / std
+        weights.append((fold, row, intercept - mean * sum(row)))
+    spark = df.sparkSession
+    fitted = spark.createDataFrame(weights, "_fold string, _weights array<double>, _intercept double")
+    rows = df.select(*dict.fromkeys([*keep, "fold", "y", *columns]))
+    # one row per fold
+    scored = rows.join(F.broadcast(fitted), F.col("fold").cast("string") == F.col("_fold")).select(
+        *keep, "fold", "y", gram.linear_prediction(columns).alias("prediction"))
+    return metrics.residuals(scored), spark.createDataFrame(importance, "fold string, feature string, importance double")
+
+
 def cross_validation(df: DataFrame, make: Maker, columns: list[str], k: int = 5, key: str = "_id", seed: int = 42):
     """Measures per random fold: ``(per_fold, summary)``."""
     pred, _ = leave_one_out(k_folds(df, key, k, seed), [str(i) for i in range(k)], make, columns, [key])
