@@ -60,14 +60,77 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return unit_to_m(haversine_unit(lat1, lon1, lat2, lon2))
 
 
-def vincenty_m(lat1, lon1, lat2, lon2, rounds: int = 20) -> np.ndarray:
-    """Vincenty's inverse formula (1975) on arrays of degrees; stops when every line has converged."""
+def geodesic_m(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """Geodesic distance in metres on arrays of degrees, for any two places on the ellipsoid.
+
+    Vincenty's inverse formula (1975) settles all pairs but those nearly opposite each other; what it has not settled
+    after ``ROUNDS`` rounds is solved by the azimuth (``azimuth_m``), which always converges. NaN stays NaN.
+    """
+    lat1, lon1, lat2, lon2 = np.broadcast_arrays(*(np.atleast_1d(np.asarray(x, dtype=float)) for x in (lat1, lon1, lat2, lon2)))
+    dist, settled = _vincenty(lat1, lon1, lat2, lon2)
+    left = ~settled & np.isfinite(lat1 + lon1 + lat2 + lon2)
+    if left.any():
+        dist = dist.copy()
+        dist[left] = azimuth_m(lat1[left], lon1[left], lat2[left], lon2[left])
+    return dist
+
+
+ROUNDS = 20
+_NODES, _SHARES = np.polynomial.legendre.leggauss(20)
+
+
+def azimuth_m(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """Geodesic distance by the azimuth at the first place: the longitude that a geodesic reaches grows with it, so a bracket
+    closes on the right one, by secant steps kept inside and by halving where they gain too little. Integrals along the
+    line are Gauss sums; their integrands are nearly constant."""
+    f = WGS84_F
+    span = np.abs(np.remainder(np.radians(lon2 - lon1) + np.pi, 2 * np.pi) - np.pi)
+    # the place farther from the equator first, in the south
+    swap = np.abs(lat1) < np.abs(lat2)
+    south, other = np.where(swap, lat2, lat1), np.where(swap, lat1, lat2)
+    flip = np.where(south > 0, -1.0, 1.0)
+    u1, u2 = (np.arctan((1 - f) * np.tan(np.radians(x * flip))) for x in (south, other))
+    sin1, sin2 = np.minimum(np.sin(u1), -1e-200), np.sin(u2)
+    cos1, cos2 = np.maximum(np.cos(u1), 1e-100), np.maximum(np.cos(u2), 1e-100)
+
+    def line(azimuth):
+        """Longitude reached, and distance."""
+        sin_a, cos_a = np.sin(azimuth), np.cos(azimuth)
+        sin0 = sin_a * cos1
+        cos_a2 = np.sqrt(np.maximum((cos_a * cos1) ** 2 + (cos2**2 - cos1**2), 0)) / cos2
+        s1, s2 = np.arctan2(sin1, cos_a * cos1), np.arctan2(sin2, cos_a2 * cos2)
+        w1, w2 = np.arctan2(sin0 * np.sin(s1), np.cos(s1)), np.arctan2(sin0 * np.sin(s2), np.cos(s2))
+        half = (s2 - s1) / 2
+        k2 = (WGS84_A**2 / WGS84_B**2 - 1) * (1 - sin0**2)
+        root = np.sqrt(1 + k2 * np.sin((s1 + s2) / 2 + half * _NODES[:, None]) ** 2)
+        longitude = w2 - w1 - f * sin0 * half * (_SHARES @ ((2 - f) / (1 + (1 - f) * root)))
+        return longitude, WGS84_B * half * (_SHARES @ root)
+
+    low, high = np.zeros_like(span), np.full_like(span, np.pi)
+    below, above = line(low)[0] - span, line(high)[0] - span
+    for step in range(200):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            secant = low - below * (high - low) / (above - below)
+        middle = (low + high) / 2
+        at = np.where((step % 3 < 2) & (secant > low) & (secant < high), secant, middle)
+        off = line(at)[0] - span
+        under = off < 0
+        low, below = np.where(under, at, low), np.where(under, off, below)
+        high, above = np.where(under, high, at), np.where(under, above, off)
+        if np.all((high - low < 1e-15) | (off == 0)):
+            break
+    best = np.where(np.abs(below) < np.abs(above), low, high)
+    return line(best)[1]
+
+
+def _vincenty(lat1, lon1, lat2, lon2) -> tuple[np.ndarray, np.ndarray]:
+    """Distances, and whether each has converged."""
     f = WGS84_F
     u1, u2 = (np.arctan((1 - f) * np.tan(np.radians(x))) for x in (lat1, lat2))
     sin1, cos1, sin2, cos2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
     start = np.radians(lon2 - lon1)
     lam = start
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         sin_lam, cos_lam = np.sin(lam), np.cos(lam)
         sin_sig = np.hypot(cos2 * sin_lam, cos1 * sin2 - sin1 * cos2 * cos_lam)
         cos_sig = sin1 * sin2 + cos1 * cos2 * cos_lam
@@ -79,6 +142,7 @@ def vincenty_m(lat1, lon1, lat2, lon2, rounds: int = 20) -> np.ndarray:
         mid = np.where(off_equator, cos_sig - 2 * sin1 * sin2 / np.where(off_equator, cos2_az, 1.0), 0.0)
         c = f / 16 * cos2_az * (4 + f * (4 - 3 * cos2_az))
         ahead = start + (1 - c) * f * sin_az * (sig + c * sin_sig * (mid + c * cos_sig * (2 * mid * mid - 1)))
+        settled = (np.abs(ahead - lam) <= 1e-12) & (np.abs(np.remainder(start + np.pi, 2 * np.pi) - np.pi + ahead - start) <= np.pi)
         done = not np.any(np.abs(ahead - lam) > 1e-13)
         lam = ahead
         if done:
@@ -87,12 +151,12 @@ def vincenty_m(lat1, lon1, lat2, lon2, rounds: int = 20) -> np.ndarray:
     big_a = 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q)))
     big_b = q / 1024 * (256 + q * (-128 + q * (74 - 47 * q)))
     turn = cos_sig * (2 * mid * mid - 1) - big_b / 6 * mid * (4 * sin_sig**2 - 3) * (4 * mid * mid - 3)
-    return WGS84_B * big_a * (sig - big_b * sin_sig * (mid + big_b / 4 * turn))
+    return WGS84_B * big_a * (sig - big_b * sin_sig * (mid + big_b / 4 * turn)), settled
 
 
 @F.pandas_udf(T.DoubleType())
 def _geodesic(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
-    return pd.Series(vincenty_m(*(x.to_numpy(dtype="float64") for x in (lat1, lon1, lat2, lon2))))
+    return pd.Series(geodesic_m(*(x.to_numpy(dtype="float64") for x in (lat1, lon1, lat2, lon2))))
 
 
 def with_geodesic(

@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.operators import gram, metrics
+from placeloom.operators import cleaning, gram, metrics
 from placeloom.operators.folds import k_folds
 from placeloom.operators.profiling import absent_levels
 from placeloom.session import write_once
@@ -167,6 +167,19 @@ def cross_validation(df: DataFrame, make: Maker, columns: list[str], k: int = 5,
     return per_fold, metrics.mean_and_spread(per_fold)
 
 
+def zone_sweep(
+    df: DataFrame, zones: list[str], make: Maker, columns: list[str], k: int = 5, key: str = "_id", seed: int = 42,
+) -> DataFrame:
+    """One row per measure, one column per zone key: each key in turn is encoded as 0/1 columns next to ``columns``, the
+    other keys are left out, and the model is cross-validated."""
+    summaries = {}
+    for zone in zones:
+        encoded = cleaning.one_hot(df.select(key, "y", *columns, zone), [zone])
+        features = [c for c in encoded.columns if c not in (key, "y")]
+        summaries[zone] = cross_validation(encoded, make, features, k, key, seed)[1]
+    return metrics.results_table(summaries)
+
+
 def district_validation(
     df: DataFrame, make: Maker, columns: list[str], districts: list[str], key: str = "_id",
     district: str = "DISTRICT", standardize: bool = False, keep: list[str] | None = None,

@@ -52,6 +52,34 @@ def zone_dummies(spark, sf_dir):
     return cleaning.one_hot(cleaning.drop_columns(table(spark, sf_dir, "customer"), others), [chosen])
 
 
+_ZONES = {"ZIP": "l_partkey % 19", "MUNI": "l_suppkey % 13", "SCHOOL": "l_linenumber", "NEIGH": "l_orderkey % 31"}
+
+
+def _zone_sql(zone: str) -> str:
+    """Predictions by a model of one zone's 0/1 columns: the zone's mean over the other folds."""
+    return f"""
+SELECT fold, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs((y - p) / y)) * 100 AS mape,
+  1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2
+FROM (SELECT l.fold, l.y, (t.s - f.s) / (t.n - f.n) AS p FROM l
+  JOIN (SELECT {zone}, sum(y) s, count(*) n FROM l GROUP BY 1) t USING ({zone})
+  JOIN (SELECT {zone}, fold, sum(y) s, count(*) n FROM l GROUP BY 1, 2) f USING ({zone}, fold)) GROUP BY 1"""
+
+
+@query("zone_sweep", f"""
+WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_extendedprice AS y, {", ".join(f"{e} AS {z}" for z, e in _ZONES.items())},
+  {_part('(l_orderkey * 10 + l_linenumber)', 3)} AS fold FROM lineitem),
+z AS ({" UNION ALL ".join(f"SELECT '{z}' AS zone, * FROM ({_zone_sql(z)})" for z in _ZONES)}),
+u AS ({" UNION ALL ".join(f"SELECT zone, '{m}' AS measure, {m} AS v FROM z" for m in metrics.MEASURES)})
+SELECT measure, {", ".join(f"round(avg(v) FILTER (WHERE zone = '{z}'), 3) + 0e0 AS {z}" for z in _ZONES)} FROM u GROUP BY measure""")
+def zone_sweep(spark, sf_dir):
+    """Which zone key predicts prices best on its own."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_id"), F.col("l_extendedprice").alias("y"),
+        *[F.expr(e).alias(z) for z, e in _ZONES.items()])
+    found = evaluation.zone_sweep(rows, list(_ZONES), evaluation.linear(), [], k=3)
+    return found.select("measure", *[(F.round(z, 3) + 0.0).alias(z) for z in _ZONES])
+
+
 # ---- scaling ----------------------------------------------------------------------------------------
 
 

@@ -153,6 +153,18 @@ def geodesic_distance(spark, sf_dir):
     return geo.with_geodesic(pairs, "lat", "lon", "lat2", "lon2").select("house_id", mm("dist_m").alias("dist_mm"))
 
 
+# half a meridian of the ellipsoid, in metres
+_HALF_MERIDIAN = "20003931"
+
+
+@query("antipodal_distance", f"SELECT house_id, {_HALF_MERIDIAN}::BIGINT AS dist_m FROM ({HOUSES})")
+def antipodal_distance(spark, sf_dir):
+    """Every house and the place opposite to it: all geodesics between them run along a meridian."""
+    pairs = inputs.houses(spark, sf_dir).select(
+        "house_id", "lat", "lon", (-F.col("lat")).alias("lat2"), (F.col("lon") + 180).alias("lon2"))
+    return geo.with_geodesic(pairs, "lat", "lon", "lat2", "lon2").select("house_id", F.round("dist_m").cast("long").alias("dist_m"))
+
+
 @query("haversine_distance", f"""
 SELECT house_id, round(2 * 6371008.8e0 * asin(sqrt(
   pow(sin(radians(40.44e0 - lat) / 2), 2)

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,32 @@ def test_a_third_of_the_houses_at_one_place(spark):
     sums = blocks.weighted_sums(h, places, 1, 2000.0, False, houses_per_block=10).collect()
     in_range = {i: sum(geodesic(*a, *q) < 2000 for q in set(points)) for i, a in enumerate(houses)}
     assert {r["house_id"]: r["vec"][0] for r in sums} == {i: n for i, n in in_range.items() if n}
+
+
+# computed from the direct problem with the published series of the geodesic
+FAR = [
+    ((0.0, 0.0, 0.5, 179.7), 19944127.421), ((0.0, 0.0, 0.0, 180.0), 20003931.459), ((0.0, 0.0, 0.5, 179.5), 19936288.579),
+    ((90.0, 0.0, -90.0, 0.0), 20003931.459), ((10.0, 0.0, -10.0, 180.0), 20003931.459), ((0.0, 170.0, 0.0, -170.0), 2226389.816),
+    ((0.0, 0.0, 0.0, 179.0), 19926188.852)]
+
+
+@pytest.mark.parametrize("pair,metres", FAR)
+def test_geodesic_between_opposite_places(pair, metres):
+    assert geo.geodesic_m(*([x] for x in pair))[0] == pytest.approx(metres, abs=0.01)
+    back = (*pair[2:], *pair[:2])
+    assert geo.geodesic_m(*([x] for x in back))[0] == pytest.approx(metres, abs=0.01)
+
+
+def test_azimuth_solver_agrees_with_the_series():
+    rng = np.random.default_rng(1)
+    lat1, lat2 = rng.uniform(-89, 89, (2, 3000))
+    lon1, lon2 = rng.uniform(-180, 180, (2, 3000))
+    assert np.abs(geo.geodesic_m(lat1, lon1, lat2, lon2) - geo.azimuth_m(lat1, lon1, lat2, lon2)).max() < 0.001
+    # opposite places: no farther than half a meridian, and no jump between neighbours
+    near = np.clip(-lat1 + rng.normal(size=3000) * 0.3, -90, 90)
+    away = lon1 + 180 + rng.normal(size=3000) * 0.3
+    far = geo.geodesic_m(lat1, lon1, near, away)
+    assert far.max() <= 20003931.46 and far.min() > 19.7e6
+    beside = geo.geodesic_m(lat1, lon1, np.clip(near + 1e-5, -90, 90), away)
+    assert np.abs(far - beside).max() < 1.2
+    assert np.isnan(geo.geodesic_m([np.nan, 0.0], [0.0, 0.0], [0.0, 0.0], [0.0, 180.0])).tolist() == [True, False]
