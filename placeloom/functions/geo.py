@@ -6,7 +6,7 @@ import math
 import sys
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,9 +154,10 @@ def _vincenty(lat1, lon1, lat2, lon2) -> tuple[np.ndarray, np.ndarray]:
     return WGS84_B * big_a * (sig - big_b * sin_sig * (mid + big_b / 4 * turn)), settled
 
 
-@F.pandas_udf(T.DoubleType())
-def _geodesic(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
-    return pd.Series(geodesic_m(*(x.to_numpy(dtype="float64") for x in (lat1, lon1, lat2, lon2))))
+@F.arrow_udf(T.DoubleType())
+def _geodesic(lat1: pa.Array, lon1: pa.Array, lat2: pa.Array, lon2: pa.Array) -> pa.Array:
+    places = [x.cast(pa.float64()).to_numpy(zero_copy_only=False) for x in (lat1, lon1, lat2, lon2)]
+    return pa.array(geodesic_m(*places), from_pandas=True)
 
 
 def with_geodesic(

@@ -8,13 +8,18 @@ neither depth nor a stray brace elsewhere matters. Comments and ``nowiki`` parts
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_left
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+# Executors get the scan by value and need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _MARKS = re.compile(r"<!--|<[nN][oO][wW][iI][kK][iI]>|\{{2,}|\}{2,}")
 _ENDS = {"<!--": re.compile("-->"), "<nowiki>": re.compile("</nowiki>", re.I)}
 _COORD = re.compile(r"\s*coord\s*(?=\||\}\})", re.I)

@@ -6,20 +6,14 @@ on their distance; only what the bounds leave open is tested with the exact geod
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeloom.functions import geo
+from placeloom.operators import tiles
 from placeloom.operators.skew import once_per_place, salted_join
 from placeloom.session import write_once
 
-LEAF_ROWS = 4
-# Levels from one comparison of cells to the next finer one.
-STEP = 2
-START_CELLS = 64
-
 
 def _cells(df: DataFrame, level: int, y: str = "_y", x: str = "_x") -> DataFrame:
     return df.withColumns({y: geo.lat_cell(F.col("lat"), level), x: geo.lon_cell(F.col("lon"), level)})
@@ -43,95 +37,38 @@ def _cover(boxes: DataFrame, radius_m: float, level: int, size: float = 0.0) ->
     return rows.filter(F.col("_low") < radius_m)
 
 
-def _inside_and_edge(reach: DataFrame, radius_m: float, category: str, edge_columns: dict[str, str]) -> DataFrame:
-    """Per cell: one summed row for what lies wholly in range, and single rows for what may not.
-
-    ``edge_columns`` renames the columns an edge row keeps; they are NULL in a summed row.
-    """
-    inside = reach.filter(F.col("_high") < radius_m).groupBy("_y", "_x", category).agg(F.sum("_n").alias("_n"))
-    types = dict(reach.dtypes)
-    blank = [F.lit(None).cast(types[old]).alias(new) for old, new in edge_columns.items()]
-    edge = reach.filter(F.col("_high") >= radius_m)
-    kept = [F.col(old).alias(new) for old, new in edge_columns.items()]
-    fixed = ["_y", "_x", category, "_n"]
-    return inside.select(*fixed, *blank).unionByName(edge.select(*fixed, *kept))
-
-
 def count_in_radius(
     houses: DataFrame, points: DataFrame, radius_m: float, key: str = "house_id",
-    category: str = "category", fan: int = 4, rows_per_task: int = 200_000, crowded: int = 10_000,
+    category: str = "category", rows_per_task: int = 200_000, crowded: int = tiles.BUDGET,
 ) -> DataFrame:
     """``(key, category, n_in_radius)``: points of each category nearer than ``radius_m`` (strict).
 
     ``houses`` has ``key, lat, lon``; ``points`` has ``category, lat, lon``. Pairs with no point in range
-    give no row (see :func:`distance_features`). Copies of a point are merged first. A cell of about
-    ``radius / fan`` that lies wholly in range contributes its count without looking at single points.
-    If some cell holds more than ``crowded`` places, points are first counted in much smaller cells, so
-    that a house meets single points only in the small cells its circle cuts.
+    give no row (see :func:`distance_features`). Copies of a point are merged first. A cell that lies wholly in range
+    contributes its count without looking at single points. ``crowded`` is the number of house-point pairs above which a
+    tile of houses is cut.
     """
-    level = geo.level_for(radius_m / fan)
-    places = points.select(category, "lat", "lon").na.drop().groupBy(category, "lat", "lon").agg(
-        F.count("*").alias("_n"))
-    fullest = _cells(places, level).groupBy(category, "_y", "_x").count().agg(F.max("count")).first()[0] or 0
-
-    def count(homes: DataFrame) -> DataFrame:
-        located = _cells(homes, level)
-        if fullest > crowded:
-            return _count_crowded(located, places, radius_m, key, category, level, rows_per_task)
-        cells = _inside_and_edge(
-            _cover(places, radius_m, level), radius_m, category, {"lat": "_plat", "lon": "_plon"})
-        met = salted_join(located, cells, ["_y", "_x"], [key], rows_per_task)
-        return _count_met(met, radius_m, key, category)
-
-    return once_per_place(houses.select(key, "lat", "lon").na.drop(), key, count, rows_per_task)
-
+    found = _features(houses, points, key, [category], [], 0, radius_m, rows_per_task, crowded)
+    return found.filter("n_in_radius > 0").select(key, category, "n_in_radius")
 
-def _count_met(met: DataFrame, radius_m: float, key: str, category: str) -> DataFrame:
-    """Sum ``_n`` per house and category over rows without a point and over points in range.
 
-    The sphere settles all but a thin ring around the radius. Settled pairs lose their point, so they fold
-    into one row per house and category, and only ring pairs reach the exact formula.
-    """
-    whole_cell = F.col("_plat").isNull()
-    sphere = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon"))
-    met = geo.pin(met, [key, category, "_n", "lat", "lon", "_plat", "_plon"], _hav=sphere)
-    met = met.filter(whole_cell | (F.col("_hav") * geo.SPHERE_LOW < radius_m))
-    ring = ~whole_cell & (F.col("_hav") * geo.SPHERE_HIGH >= radius_m)
-    folded = met.groupBy(
-        key, category, *[F.when(ring, F.col(c)).alias(c) for c in ("lat", "lon", "_plat", "_plon")]
-    ).agg(F.sum("_n").alias("_n"))
-    exact = geo.with_geodesic(folded, "lat", "lon", "_plat", "_plon", "_d")
-    return (
-        exact.filter(F.col("_d").isNull() | (F.col("_d") < radius_m))
-        .groupBy(key, category).agg(F.sum("_n").alias("n_in_radius"))
-    )
+def _features(
+    houses: DataFrame, points: DataFrame, key: str, group: list[str], ids: list[str], k: int, radius_m: float | None,
+    rows_per_task: int, budget: int,
+) -> DataFrame:
+    places = points.select(*group, *ids, "lat", "lon").na.drop()
+    if ids:
+        # no more than k copies of one place can be among the k nearest
+        same = Window.partitionBy(*group, "lat", "lon").orderBy(*ids)
+        places = places.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= k).drop("_copy").withColumn("_n", F.lit(1).cast("long"))
+    else:
+        places = places.groupBy(*group, "lat", "lon").agg(F.count("*").alias("_n"))
 
+    def work(homes: DataFrame) -> DataFrame:
+        found = tiles.house_point_features(homes, places, key, group, ids, k, radius_m, budget, rows_per_task)
+        return _no_rows(homes, places, key, group, ids) if found is None else found
 
-def _count_crowded(
-    located: DataFrame, places: DataFrame, radius_m: float, key: str, category: str, level: int, rows_per_task: int,
-) -> DataFrame:
-    fine = min(level + 4, geo.FINEST_LEVEL)
-    small = _cells(places, fine, "_py", "_px")
-    lat, lon = _corner(fine, "_py", "_px")
-    boxes = small.groupBy(category, "_py", "_px").agg(F.sum("_n").alias("_n")).withColumns({"lat": lat, "lon": lon})
-    reach = _cover(boxes, radius_m, level, geo.step_degrees(fine))
-    cells = _inside_and_edge(reach, radius_m, category, {"_py": "_py", "_px": "_px"})
-    met = salted_join(located, cells, ["_y", "_x"], [key], rows_per_task)
-    low, high = geo.box_bounds_m(
-        F.col("lat"), F.col("lon"), 0.0, *_corner(fine, "_py", "_px"), geo.step_degrees(fine))
-    met = geo.pin(met, [key, category, "_n", "lat", "lon", "_py", "_px"], _low=low, _high=high)
-    summed = F.col("_py").isNull()
-    met = met.filter(summed | (F.col("_low") < radius_m))
-    cut = ~summed & (F.col("_high") >= radius_m)
-    folded = write_once(met.groupBy(
-        key, category, *[F.when(cut, F.col(c)).alias(c) for c in ("lat", "lon", "_py", "_px")]
-    ).agg(F.sum("_n").alias("_n")), "cells")
-    no_point = [F.lit(None).cast("double").alias(c) for c in ("_plat", "_plon")]
-    whole = folded.filter(F.col("_py").isNull()).select(key, category, "_n", "lat", "lon", *no_point)
-    pieces = folded.filter(F.col("_py").isNotNull()).drop("_n")
-    singles = small.withColumnsRenamed({"lat": "_plat", "lon": "_plon"})
-    points = salted_join(pieces, singles, [category, "_py", "_px"], [key], rows_per_task)
-    return _count_met(whole.unionByName(points.select(whole.columns)), radius_m, key, category)
+    return once_per_place(houses.select(key, "lat", "lon").na.drop(), key, work, rows_per_task)
 
 
 def pairs_in_radius(
@@ -159,164 +96,32 @@ def pairs_in_radius(
 # ---- nearest ----------------------------------------------------------------------------------------
 
 
-def _frame(houses: DataFrame, points: DataFrame) -> tuple[int, tuple[int, int, int, int]] | None:
-    """Start level and its cell range: the finest level at which all data lies in a few cells."""
-    box = houses.select("lat", "lon").unionByName(points.select("lat", "lon")).agg(
-        F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"),
-    ).first()
-    if box is None or box["s"] is None:
-        return None
-    best = (0, (0, 0, 0, 1))
-    for level in range(0, geo.FINEST_LEVEL):
-        step = geo.step_degrees(level)
-        y0, y1 = (math.floor((box[c] + 90.0) / step) for c in ("s", "n"))
-        x0, x1 = (math.floor((box[c] + 180.0) / step) for c in ("w", "e"))
-        y1, x1 = min(y1, 2**level - 1), min(x1, 2 ** (level + 1) - 1)
-        if (y1 - y0 + 1) * (x1 - x0 + 1) > START_CELLS:
-            break
-        best = (level, (y0, y1, x0, x1))
-    return best
-
-
-def _leaf_level(points: DataFrame, group: list[str], start: int, leaf_rows: int) -> int:
-    """First level below ``start`` where no cell of one category holds more than ``leaf_rows`` places.
-
-    All levels are counted in one pass from the cells of the finest one.
-    """
-    finest = geo.FINEST_LEVEL
-    levels = list(range(start + STEP, finest, STEP))
-    shifts = F.explode(F.array(*[F.lit(finest - n) for n in levels], F.lit(0))).alias("_s")
-    cells = _cells(points, finest).select(*group, "_y", "_x", shifts)
-    full = (
-        cells.groupBy(*group, "_s", F.expr("shiftright(_y, _s)").alias("_y"), F.expr("shiftright(_x, _s)").alias("_x"))
-        .count().filter(F.col("count") > leaf_rows).agg(F.min("_s")).first()[0]
-    )
-    if full is None:
-        return levels[0] if levels else finest
-    return min(finest - full + STEP, finest)
-
-
-def _up(cell: str, levels: int):
-    return F.shiftright(F.col(cell), levels)
-
-
 def nearest(
     houses: DataFrame, points: DataFrame, k: int = 1, key: str = "house_id", point_key: str | None = None,
-    group: list[str] | None = None, leaf_rows: int = LEAF_ROWS, rows_per_task: int = 200_000,
+    group: list[str] | None = None, leaf_rows: int = tiles.BUDGET, rows_per_task: int = 200_000,
 ) -> DataFrame:
     """The ``k`` nearest points of every house per ``group``, however far away.
 
     Returns ``(key, *group, point_key, dist_m, rank)``; without ``point_key`` (``k`` must be 1) only the
     smallest distance, ``(key, *group, dist_m)``. Ties are broken by ``point_key``.
 
-    Houses and points are first compared as cells: from a few large cells down, a cell of points is
-    dropped when its lower bound exceeds the distance within which ``k`` points are certain. Only points
-    of the surviving leaf cells meet the houses of a cell, so nothing is unbounded or all-pairs.
+    Houses and points are first compared as cells: a cell of points is dropped when its lower bound exceeds the distance
+    within which ``k`` points are certain. Only points of the surviving cells meet the houses of a tile; ``leaf_rows`` is
+    the number of house-point pairs above which a tile is cut, so nothing is unbounded or all-pairs.
     """
-    group = group or []
     ids = [point_key] if point_key else []
     if not ids and k != 1:
         raise ValueError("k > 1 needs point_key")
-    return once_per_place(
-        houses.select(key, "lat", "lon").na.drop(), key,
-        lambda homes: _nearest(homes, points, k, key, group, ids, leaf_rows, rows_per_task), rows_per_task)
+    found = _features(houses, points, key, group or [], ids, k, None, rows_per_task, leaf_rows)
+    return found if ids else found.filter("dist_m is not null").drop("n_in_radius")
 
 
-def _nearest(
-    homes: DataFrame, points: DataFrame, k: int, key: str, group: list[str], ids: list[str], leaf_rows: int,
-    rows_per_task: int,
-) -> DataFrame:
-    places = points.select(*group, *ids, "lat", "lon").na.drop()
-    # no more than k copies of one place can be among the k nearest
+def _no_rows(homes: DataFrame, places: DataFrame, key: str, group: list[str], ids: list[str]) -> DataFrame:
     if ids:
-        same = Window.partitionBy(*group, "lat", "lon").orderBy(*ids)
-        places = places.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= k).drop("_copy")
+        ends = [F.lit(0.0).alias("dist_m"), F.lit(0).alias("rank")]
     else:
-        places = places.distinct()
-    frame = _frame(homes, places)
-    if frame is None:
-        return _no_rows(homes, places, key, group, ids)
-    start, (y0, y1, x0, x1) = frame
-    leaf = _leaf_level(places, group, start, max(leaf_rows, k))
-
-    home_leaf = _cells(homes, leaf, "_hy", "_hx")
-    place_leaf = _cells(places, leaf, "_py", "_px")
-    h_cells = home_leaf.select("_hy", "_hx").distinct()
-    p_cells = place_leaf.groupBy(*group, "_py", "_px").agg(F.count("*").alias("_n"))
-
-    level = start
-    grid = F.explode(F.sequence(F.lit(y0).cast("long"), F.lit(y1).cast("long")))
-    row = F.explode(F.sequence(F.lit(x0).cast("long"), F.lit(x1).cast("long")))
-    pairs = (
-        h_cells.select(_up("_hy", leaf - level).alias("_hy"), _up("_hx", leaf - level).alias("_hx")).distinct()
-        .withColumn("_py", grid).withColumn("_px", row)
-        .join(_p_at(p_cells, group, leaf, level), ["_py", "_px"])
-    )
-    pairs = _prune(pairs, group, level, k)
-    while level < leaf:
-        finer = min(level + STEP, leaf)
-        drop = finer - level
-        h_next = (
-            h_cells.select(_up("_hy", leaf - finer).alias("_hy2"), _up("_hx", leaf - finer).alias("_hx2"))
-            .distinct().withColumns({"_hy": _up("_hy2", drop), "_hx": _up("_hx2", drop)})
-        )
-        p_next = (
-            _p_at(p_cells, group, leaf, finer).withColumnsRenamed({"_py": "_py2", "_px": "_px2", "_n": "_n2"})
-            .withColumns({"_py": _up("_py2", drop), "_px": _up("_px2", drop)})
-        )
-        pairs = (
-            pairs.join(p_next, [*group, "_py", "_px"]).join(h_next, ["_hy", "_hx"])
-            .select(*group, F.col("_hy2").alias("_hy"), F.col("_hx2").alias("_hx"),
-                    F.col("_py2").alias("_py"), F.col("_px2").alias("_px"), F.col("_n2").alias("_n"))
-        )
-        level = finer
-        pairs = _prune(pairs, group, level, k)
-
-    met_points = pairs.select(*group, "_hy", "_hx", "_py", "_px").join(
-        place_leaf.withColumnsRenamed({"lat": "_plat", "lon": "_plon"}), [*group, "_py", "_px"])
-    met = salted_join(home_leaf, met_points.drop("_py", "_px"), ["_hy", "_hx"], [key], rows_per_task)
-    met = met.select(key, *group, *ids, "lat", "lon", "_plat", "_plon")
-    met = geo.with_geodesic(met, "lat", "lon", "_plat", "_plon", "dist_m")
-    if not ids:
-        return met.groupBy(key, *group).agg(F.min("dist_m").alias("dist_m"))
-    order = Window.partitionBy(key, *group).orderBy("dist_m", *ids)
-    ranked = met.select(key, *group, *ids, "dist_m", F.row_number().over(order).alias("rank"))
-    return ranked.filter(F.col("rank") <= k)
-
-
-def _p_at(p_cells: DataFrame, group: list[str], leaf: int, level: int) -> DataFrame:
-    if level == leaf:
-        return p_cells
-    return (
-        p_cells.groupBy(*group, _up("_py", leaf - level).alias("_py"), _up("_px", leaf - level).alias("_px"))
-        .agg(F.sum("_n").alias("_n"))
-    )
-
-
-def _prune(pairs: DataFrame, group: list[str], level: int, k: int) -> DataFrame:
-    """Keep the point cells that can hold one of the ``k`` nearest of some house in the house cell."""
-    step = geo.step_degrees(level)
-    low, high = geo.box_bounds_m(
-        geo.cell_low(F.col("_hy"), level, -90.0), geo.cell_low(F.col("_hx"), level, -180.0), step,
-        geo.cell_low(F.col("_py"), level, -90.0), geo.cell_low(F.col("_px"), level, -180.0), step,
-    )
-    pairs = geo.pin(pairs, pairs.columns, _low=low, _high=high)
-    cell = Window.partitionBy(*group, "_hy", "_hx")
-    if k == 1:
-        sure = F.min("_high").over(cell)
-    else:
-        so_far = cell.orderBy("_high").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        pairs = pairs.withColumn("_seen", F.sum("_n").over(so_far))
-        sure = F.min(F.when(F.col("_seen") >= k, F.col("_high"))).over(cell)
-    pairs = pairs.withColumn("_sure", sure)
-    keep = F.col("_sure").isNull() | (F.col("_low") <= F.col("_sure"))
-    return pairs.filter(keep).select(*group, "_hy", "_hx", "_py", "_px", "_n")
-
-
-def _no_rows(homes: DataFrame, places: DataFrame, key: str, group: list[str], ids: list[str]) -> DataFrame:
-    rank = [F.lit(0).alias("rank")] if ids else []
-    return homes.drop("lat", "lon").join(places.drop("lat", "lon"), F.lit(False)).select(
-        key, *group, *ids, F.lit(0.0).alias("dist_m"), *rank)
+        ends = [F.lit(0).cast("long").alias("n_in_radius"), F.lit(0.0).alias("dist_m")]
+    return homes.drop("lat", "lon").join(places.drop("lat", "lon", "_n"), F.lit(False)).select(key, *group, *ids, *ends)
 
 
 # ---- features ---------------------------------------------------------------------------------------
@@ -333,13 +138,12 @@ def distance_features(
 
     ``categories`` adds categories that may have no point at all: count 0, distance NULL.
     """
-    counts = count_in_radius(houses, points, radius_m, key, category, rows_per_task=rows_per_task)
-    near = nearest(houses, points, 1, key, None, [category], rows_per_task=rows_per_task)
-    near = near.withColumnRenamed("dist_m", "nearest_m")
-    if categories is not None:
-        names = F.explode(F.array(*[F.lit(c) for c in dict.fromkeys(categories)])).alias(category)
-        near = houses.select(key, names).join(near, [key, category], "left")
-    return near.join(counts, [key, category], "left").select(
+    found = _features(houses, points, key, [category], [], 1, radius_m, rows_per_task, tiles.BUDGET).select(
+        key, category, "n_in_radius", F.col("dist_m").alias("nearest_m"))
+    if categories is None:
+        return found
+    names = F.explode(F.array(*[F.lit(c) for c in dict.fromkeys(categories)])).alias(category)
+    return houses.select(key, names).join(found, [key, category], "left").select(
         key, category, F.coalesce("n_in_radius", F.lit(0).cast("long")).alias("n_in_radius"), "nearest_m")
 
 

@@ -76,7 +76,7 @@ def test_count_across_a_pole_when_crowded(spark):
     h, p = frames(spark, houses, points)
     want = Counter((i, category(j)) for i, a in enumerate(houses) for j, b in enumerate(points) if geodesic(*a, *b) < 900)
     for crowded in (1, 1000):
-        got = spatial.count_in_radius(h, p, 900.0, crowded=crowded, fan=1).collect()
+        got = spatial.count_in_radius(h, p, 900.0, crowded=crowded).collect()
         assert {(r["house_id"], r["category"]): r["n_in_radius"] for r in got} == dict(want)
 
 
