@@ -143,7 +143,7 @@ def _vincenty(lat1, lon1, lat2, lon2) -> tuple[np.ndarray, np.ndarray]:
         c = f / 16 * cos2_az * (4 + f * (4 - 3 * cos2_az))
         ahead = start + (1 - c) * f * sin_az * (sig + c * sin_sig * (mid + c * cos_sig * (2 * mid * mid - 1)))
         settled = (np.abs(ahead - lam) <= 1e-12) & (np.abs(np.remainder(start + np.pi, 2 * np.pi) - np.pi + ahead - start) <= np.pi)
-        done = not np.any(np.abs(ahead - lam) > 1e-13)
+        done = not np.any(np.abs(ahead - lam) > 1e-15)
         lam = ahead
         if done:
             break

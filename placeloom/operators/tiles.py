@@ -4,7 +4,8 @@ Houses and points are written once with their finest grid cell. A tile is a cell
 of points of its level by bounds on their distance. A cell wholly in range adds its count, one that is out of range and
 cannot hold a nearest point goes, and the rest are open. A tile whose houses times open points exceed the budget is cut
 into finer cells together with its open cells, so that each level works on what the one above has left. At last the
-houses of each tile meet the points of its open cells in one task, in blocks of bounded size.
+houses of each tile meet the points of its open cells in one task, in blocks of bounded size. Houses at one place count
+once in the budget and are compared once; a tile with many houses is dealt to several tasks by their key.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Levels from one comparison of cells to the next finer one.
 STEP = 2
-START_CELLS = 64
-# House-point pairs of a tile that one task compares, houses of a tile in one task, pairs held at a time.
+START_CELLS = 256
+# Pairs of house places and points that one task compares for a tile, houses of a tile in one task, pairs held at a time.
 BUDGET = 2_000_000
 HOUSES_PER_TASK = 200_000
 BLOCK_PAIRS = 500_000
@@ -94,20 +95,21 @@ def house_point_features(
         finer = min(level + STEP, finest)
         drop = finer - level
         heavy = scored.filter((F.col("_work") > budget) & (F.col("_near") | F.col("_open")))
-        h_next = _home_cells(homes, finer).withColumnsRenamed({"_hy": "_hy2", "_hx": "_hx2", "_h": "_h2"}).withColumns(
+        h_next = _home_cells(homes, finer).withColumnsRenamed({"_hy": "_hy2", "_hx": "_hx2", "_h": "_h2", "_d": "_d2"}).withColumns(
             {"_hy": _up("_hy2", drop), "_hx": _up("_hx2", drop)})
         p_next = _place_cells(places, group, finer).withColumnsRenamed({"_py": "_py2", "_px": "_px2", "_p": "_p2", "_n": "_n2"}).withColumns(
             {"_py": _up("_py2", drop), "_px": _up("_px2", drop)})
         pairs = heavy.join(p_next, [*group, "_py", "_px"]).join(h_next, ["_hy", "_hx"]).select(
             *group, "_near", "_open", F.col("_hy2").alias("_hy"), F.col("_hx2").alias("_hx"), F.col("_py2").alias("_py"),
-            F.col("_px2").alias("_px"), F.col("_h2").alias("_h"), F.col("_p2").alias("_p"), F.col("_n2").alias("_n"))
+            F.col("_px2").alias("_px"), F.col("_h2").alias("_h"), F.col("_d2").alias("_d"), F.col("_p2").alias("_p"), F.col("_n2").alias("_n"))
         level = finer
     return _answers(homes, met, levels, key, group, ids, k, radius_m, -(-most // houses_per_task))
 
 
 def _home_cells(homes: DataFrame, level: int) -> DataFrame:
     up = geo.FINEST_LEVEL - level
-    return homes.groupBy(_up("_hy", up).alias("_hy"), _up("_hx", up).alias("_hx")).agg(F.count("*").alias("_h"))
+    return homes.groupBy(_up("_hy", up).alias("_hy"), _up("_hx", up).alias("_hx")).agg(
+        F.count("*").alias("_h"), F.approx_count_distinct(F.struct("lat", "lon")).alias("_d"))
 
 
 def _place_cells(places: DataFrame, group: list[str], level: int) -> DataFrame:
@@ -118,7 +120,7 @@ def _place_cells(places: DataFrame, group: list[str], level: int) -> DataFrame:
 
 def _scored(pairs: DataFrame, group: list[str], level: int, k: int, radius_m: float | None) -> DataFrame:
     """Pairs that are still needed, with ``_near`` (may hold one of the k nearest), ``_open`` (cut by the circle), ``_whole``
-    (wholly inside it), and ``_work``, the house-point pairs of the whole tile and group."""
+    (wholly inside it), and ``_work``, the pairs of different house places and points of the whole tile and group."""
     step = geo.step_degrees(level)
     low, high = geo.box_bounds_m(
         geo.cell_low(F.col("_hy"), level, -90.0), geo.cell_low(F.col("_hx"), level, -180.0), step,
@@ -136,9 +138,9 @@ def _scored(pairs: DataFrame, group: list[str], level: int, k: int, radius_m: fl
     whole = F.col("_open") & (F.col("_high") < radius)
     open_ = F.col("_open") & (F.col("_low") < radius) & (F.col("_high") >= radius)
     flagged = pairs.withColumn("_sure", sure).withColumns({"_whole": whole, "_o": open_, "_near": near})
-    work = F.sum(F.when(F.col("_near") | F.col("_o"), F.col("_h") * F.col("_p")).otherwise(0)).over(tile)
+    work = F.sum(F.when(F.col("_near") | F.col("_o"), F.col("_d") * F.col("_p")).otherwise(0)).over(tile)
     return flagged.withColumn("_work", work).filter("_near or _o or _whole").select(
-        *group, "_hy", "_hx", "_py", "_px", "_h", "_p", "_n", "_near", F.col("_o").alias("_open"), "_whole", "_work")
+        *group, "_hy", "_hx", "_py", "_px", "_h", "_d", "_p", "_n", "_near", F.col("_o").alias("_open"), "_whole", "_work")
 
 
 def _met(met: DataFrame | None, done: DataFrame, sums: DataFrame, places: DataFrame, group: list[str], ids: list[str], level: int) -> DataFrame:
@@ -193,7 +195,9 @@ def tile_answers(left: pa.Table, right: pa.Table, key: str, group: list[str], id
     schema = pa.schema(list(zip(names, types, strict=True)))
     parts: list[pa.Table] = []
     if left.num_rows and right.num_rows:
-        homes = [left[c].to_numpy() for c in ("lat", "lon")]
+        spots, spot = np.unique(np.column_stack([left[c].to_numpy() for c in ("lat", "lon")]), axis=0, return_inverse=True)
+        spot = spot.reshape(-1)
+        by_spot, ends = np.argsort(spot, kind="stable"), np.r_[0, np.cumsum(np.bincount(spot, minlength=len(spots)))]
         codes = np.zeros(right.num_rows, dtype=np.int64)
         for c in group:
             each = right[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
@@ -210,18 +214,24 @@ def tile_answers(left: pa.Table, right: pa.Table, key: str, group: list[str], id
             single = rows[~np.isnan(lat[rows])]
             whole = int(copies[rows[np.isnan(lat[rows])]].sum())
             block = max(1, BLOCK_PAIRS // max(1, len(single)))
-            for start in range(0, left.num_rows, block):
-                at = np.arange(start, min(start + block, left.num_rows))
-                found = _block(homes[0][at], homes[1][at], lat[single], lon[single], copies[single], near[single], open_[single], by_id[single], k, radius_m)
-                house, point, dist, rank, count = found
+            for start in range(0, len(spots), block):
+                stop = min(start + block, len(spots))
+                house, point, dist, rank, count = _block(
+                    spots[start:stop, 0], spots[start:stop, 1], lat[single], lon[single], copies[single], near[single], open_[single], by_id[single], k, radius_m)
                 if ids:
-                    columns = [left[key].take(at[house]), *(right[c].take(np.full(len(house), rows[0])) for c in group),
-                               *(right[c].take(single[point]) for c in ids), pa.array(dist), pa.array(rank.astype(np.int32))]
+                    # one row for each house of the spot
+                    sizes = ends[start + house + 1] - ends[start + house]
+                    each = np.repeat(np.arange(len(house)), sizes)
+                    at = by_spot[ends[start + house][each] + np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+                    columns = [left[key].take(at), *(right[c].take(np.full(len(at), rows[0])) for c in group),
+                               *(right[c].take(single[point[each]]) for c in ids), pa.array(dist[each]), pa.array(rank[each].astype(np.int32))]
                 else:
-                    nearest = np.full(len(at), np.nan)
+                    nearest = np.full(stop - start, np.nan)
                     nearest[house] = dist
-                    columns = [left[key].take(at), *(right[c].take(np.full(len(at), rows[0])) for c in group), pa.array(count + whole),
-                               pa.array(nearest, from_pandas=True)]
+                    at = by_spot[ends[start]:ends[stop]]
+                    here = spot[at] - start
+                    columns = [left[key].take(at), *(right[c].take(np.full(len(at), rows[0])) for c in group), pa.array(count[here] + whole),
+                               pa.array(nearest[here], from_pandas=True)]
                 parts.append(pa.table(columns, schema=schema))
     return pa.concat_tables(parts) if parts else schema.empty_table()
 
