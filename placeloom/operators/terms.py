@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from placeloom.functions import geo, text
 from placeloom.operators import spatial
-from placeloom.operators.blocks import weighted_sums
+from placeloom.operators.blocks import COLUMNS_PER_BLOCK, weighted_sums
 from placeloom.operators.ordering import numbered
 from placeloom.session import write_once
 
@@ -83,9 +83,9 @@ def text_features(
     radius_m: float = TEXT_RADIUS_M, weighted: bool = True, mean: bool = False, key: str = "house_id",
     article_key: str = "article_id", min_articles: int = MIN_ARTICLES, **block_sizes: int,
 ) -> DataFrame:
-    """``(key, article_count, vec)``: term counts of the articles in range, each times its distance weight.
+    """``(key, article_count, part, vec)``: term counts of the articles in range, each times its distance weight.
 
-    ``vec`` has one entry per term, in the order of ``positions``. Houses with fewer than ``min_articles``
+    ``vec`` has one entry per term, in the order of ``positions``, from ``part * COLUMNS_PER_BLOCK`` on. Houses with fewer than ``min_articles``
     articles in range have no row. ``mean`` divides by the number of articles (not by the sum of weights).
     A column per term would not scale and could collide with the table's own columns.
     """
@@ -97,22 +97,28 @@ def text_features(
     return found
 
 
+def entries_of(features: DataFrame, *keep: str) -> DataFrame:
+    """``(*keep, position, weight)``: one row per entry of the vectors."""
+    return features.select(*keep, "part", F.posexplode("vec").alias("_at", "weight")).select(
+        *keep, (F.col("part") * COLUMNS_PER_BLOCK + F.col("_at")).cast("long").alias("position"), "weight")
+
+
 def long_weights(features: DataFrame, positions: DataFrame, key: str = "house_id") -> DataFrame:
     """``(key, term, weight)`` of the terms with a weight."""
-    entries = features.select(key, F.posexplode("vec").alias("position", "weight")).filter(F.col("weight") != 0)
+    entries = entries_of(features, key).filter(F.col("weight") != 0)
     return entries.join(positions, "position").select(key, "term", "weight")
 
 
 def scaled(features: DataFrame, words: DataFrame, positions: DataFrame) -> DataFrame:
     """Each entry of ``vec`` times the idf of its term (the vectors' form of :func:`tf_idf`).
 
-    The idf vector is one row as long as the vocabulary, which the document-frequency cut bounds.
+    The idf vector is cut like the features; all of it is as long as the vocabulary, which the document-frequency cut bounds.
     """
     cells = F.array_sort(F.collect_list(F.struct("position", "idf")))
-    idf = words.select("term", "idf").join(positions, "term").agg(
-        F.transform(cells, lambda c: c["idf"]).alias("_idf"))
+    idf = words.select("term", "idf").join(positions, "term").groupBy(
+        F.floor(F.col("position") / COLUMNS_PER_BLOCK).cast("int").alias("part")).agg(F.transform(cells, lambda c: c["idf"]).alias("_idf"))
     product = F.zip_with("vec", "_idf", lambda a, b: a * b)
-    return features.join(F.broadcast(idf)).withColumn("vec", product).drop("_idf")
+    return features.join(idf, "part").withColumn("vec", product).drop("_idf")
 
 
 def tf_idf(weights: DataFrame, words: DataFrame) -> DataFrame:
@@ -129,8 +135,10 @@ def ordered_vocabulary(words: DataFrame) -> DataFrame:
 
 
 def as_ml_vectors(features: DataFrame, key: str = "house_id") -> DataFrame:
-    """``(key, text_vec)`` for Spark ML."""
-    return features.select(key, array_to_vector("vec").alias("text_vec"))
+    """``(key, text_vec)`` for Spark ML, which wants the whole vector in one row."""
+    parts = F.array_sort(F.collect_list(F.struct("part", "vec")))
+    whole = features.groupBy(key).agg(F.flatten(F.transform(parts, lambda p: p["vec"])).alias("vec"))
+    return whole.select(key, array_to_vector("vec").alias("text_vec"))
 
 
 def article_importance(terms: DataFrame, importance: DataFrame, key: str = "article_id") -> DataFrame:

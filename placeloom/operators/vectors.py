@@ -31,7 +31,7 @@ def weighted_vectors(
     houses: DataFrame, articles: DataFrame, size: int, radius_m: float, key: str = "house_id", vec: str = "vec",
     min_articles: int = 3, **block_sizes: int,
 ) -> tuple[DataFrame, DataFrame]:
-    """Distance-weighted vector sum ``(key, article_count, vec)``, and the article count of every house.
+    """Distance-weighted vector sum ``(key, article_count, part, vec)``, and the article count of every house.
 
     Houses with fewer than ``min_articles`` articles in range have no vector row. Vectors of articles that
     share a place are added first.
@@ -44,7 +44,7 @@ def weighted_vectors(
     places = write_once(counts.join(cells, ["lat", "lon"]).select(
         "lat", "lon", "n_articles", F.col("c.p").alias("pos"), F.col("c.v").alias("val")), "places")
     found = weighted_sums(houses, places, size, radius_m, True, key, **block_sizes)
-    all_counts = houses.select(key).join(found.select(key, "article_count"), key, "left").select(
+    all_counts = houses.select(key).join(found.filter("part = 0").select(key, "article_count"), key, "left").select(
         key, F.coalesce("article_count", F.lit(0).cast("long")).alias("article_count"))
     return found.filter(F.col("article_count") >= min_articles), all_counts
 

@@ -288,13 +288,13 @@ FROM f GROUP BY 1"""
 def _by_house(features):
     some = F.filter("vec", lambda x: x != 0)
     total = F.aggregate("vec", F.lit(0.0), lambda t, x: t + x)
-    return features.select(
-        "house_id", F.size(some).cast("long").alias("rows"), F.round(total, 3).alias("total"),
-        F.round(F.array_max("vec"), 4).alias("largest"))
+    parts = features.select("house_id", F.size(some).alias("n"), total.alias("t"), F.array_max("vec").alias("m"))
+    return parts.groupBy("house_id").agg(
+        F.sum("n").alias("rows"), F.round(F.sum("t"), 3).alias("total"), F.round(F.max("m"), 4).alias("largest"))
 
 
 def _by_term(features, positions):
-    return features.select(F.posexplode("vec").alias("position", "weight")).filter("weight <> 0").groupBy("position").agg(
+    return terms.entries_of(features).filter("weight <> 0").groupBy("position").agg(
         F.count("*").alias("rows"), F.round(F.sum("weight"), 3).alias("total"), F.round(F.max("weight"), 4).alias("largest")
     ).join(positions, "position").select("term", "rows", "total", "largest")
 
