@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placeloom.functions import clean
-from placeloom.session import write_once
 
 # Columns of the assessment table that carry no information for the price.
 UNUSED_COLUMNS = [
@@ -40,9 +39,6 @@ DUMMY_COLUMNS = ["SALEYEAR_STR", "HEATINGCOOLINGDESC", "OWNERDESC", "STYLEDESC",
                  "BASEMENTDESC"]
 CODE_COLUMNS = ["OWNERCODE", "STYLE", "EXTERIORFINISH", "ROOF", "BASEMENT", "HEATINGCOOLING"]
 
-# One-hot columns are plan width; a column with more levels becomes one vector instead.
-MAX_LEVELS = 2000
-
 
 def drop_columns(df: DataFrame, columns: list[str], strict: bool = True) -> DataFrame:
     """Drop columns; with ``strict`` a missing one is an error, as a typo would be silent otherwise."""
@@ -102,45 +98,42 @@ def dictionary_table(json_text: DataFrame, column: str, key: str, value: str) ->
     return json_text.select(F.explode(parsed).alias(key, value))
 
 
-def levels_of(df: DataFrame, columns: list[str]) -> dict[str, list[str] | None]:
-    """Distinct levels of each column, sorted; None for a column with more than ``MAX_LEVELS``, which is not collected."""
+def levels_of(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Distinct levels of each column, sorted. They become column names, so the driver holds them all."""
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("level")) for c in columns
     ])).alias("p")).select("p.*").na.drop().distinct()
-    pairs = write_once(pairs, "levels")
-    sizes = {r["name"]: r["count"] for r in pairs.groupBy("name").count().collect()}
-    few = [c for c in columns if sizes.get(c, 0) <= MAX_LEVELS]
-    rows = pairs.filter(F.col("name").isin(few)).collect()
-    return {c: sorted(r["level"] for r in rows if r["name"] == c) if c in few else None for c in columns}
-
-
-def _level_vector(df: DataFrame, column: str) -> DataFrame:
-    as_text = df.withColumn("_level", F.col(f"`{column}`").cast("string"))
-    index = StringIndexer(inputCol="_level", outputCol="_at", handleInvalid="keep", stringOrderType="alphabetAsc")
-    # the place of NULL is the last one, which the encoder leaves out
-    placed = index.fit(as_text.filter("_level is not null")).transform(as_text)
-    encoder = OneHotEncoder(inputCol="_at", outputCol=f"{column}_levels", dropLast=True)
-    return encoder.fit(placed).transform(placed).drop("_level", "_at")
+    rows = pairs.collect()
+    return {c: sorted(r["level"] for r in rows if r["name"] == c) for c in columns}
 
 
 def one_hot(df: DataFrame, columns: list[str], levels: dict[str, list[str]] | None = None) -> DataFrame:
-    """Replace each column by one 0/1 column per level, all levels kept.
+    """Replace each column by one 0/1 column per level, all levels kept, whatever their number.
 
-    A column with more than ``MAX_LEVELS`` levels, wider than a plan bears, becomes one sparse vector ``<column>_levels``
-    with a place per level in alphabetical order (the levels are in its metadata); NULL is the zero vector there.
+    The plan gets as wide as there are levels; ``level_vectors`` is the form for keys with very many.
     """
     columns = list(dict.fromkeys(columns))
     levels = levels or levels_of(df, columns)
     flags = [
         F.coalesce((F.col(c).cast("string") == lv).cast("int"), F.lit(0)).alias(clean.one_hot_name(c, lv))
-        for c in columns for lv in levels[c] or []
+        for c in columns for lv in levels[c]
     ]
-    for c in columns:
-        if levels[c] is None:
-            df = _level_vector(df, c)
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], *flags)
 
 
+def level_vectors(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Replace each column by one sparse vector ``<column>_levels`` with a place per level in alphabetical order (the levels
+    are in its metadata); NULL is the zero vector."""
+    for column in dict.fromkeys(columns):
+        as_text = df.withColumn("_level", F.col(f"`{column}`").cast("string"))
+        index = StringIndexer(inputCol="_level", outputCol="_at", handleInvalid="keep", stringOrderType="alphabetAsc")
+        # the place of NULL is the last one, which the encoder leaves out
+        placed = index.fit(as_text.filter("_level is not null")).transform(as_text)
+        encoder = OneHotEncoder(inputCol="_at", outputCol=f"{column}_levels", dropLast=True)
+        df = encoder.fit(placed).transform(placed).drop("_level", "_at", column)
+    return df
+
+
 def clean_points(raw: DataFrame, box=None) -> DataFrame:
     """Point table: inside the county, five columns, no missing value."""
     from placeloom.functions import geo

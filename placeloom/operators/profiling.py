@@ -7,7 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeloom.session import write_once
+
 BINS = 256
+# Accuracy of the sketch: its ranks are off by at most one in so many.
+SKETCH = 10_000
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -36,49 +40,76 @@ def _long(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, dict[float, float]]:
-    """Exact, linearly interpolated quantiles without sorting and without gathering the values.
+    """Exact, linearly interpolated quantiles in two passes over the table, without sorting or gathering the values.
 
-    Each pass counts ``BINS`` bins between the bounds of every wanted order statistic and moves the bounds
-    to the smallest and largest value of the bin that holds it, until they meet. A pass shuffles and
-    returns at most ``BINS`` rows per statistic, whatever the size of the table.
+    The first pass makes a mergeable sketch whose ranks are off by at most 1 / ``SKETCH``, which brackets every order
+    statistic. The second counts what lies below each bracket and the values inside it, some 4 / ``SKETCH`` of all; only
+    these are written and narrowed further, ``BINS`` bins at a time, until the bounds meet.
     """
     long = _long(df, columns)
-    ends = long.groupBy("column").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    targets: dict[tuple[str, int], list] = {}
-    wanted: dict[str, dict[float, float]] = {}
-    for row in ends.collect():
-        wanted[row["column"]] = {p: p * (row["n"] - 1) for p in probs}
-        for place in wanted[row["column"]].values():
-            for rank in (math.floor(place), math.ceil(place)):
-                targets[(row["column"], rank)] = [row["lo"], row["hi"], 0]
-    schema = "column string, rank long, lo double, hi double"
-    while True:
-        unmet = [(c, r, lo, hi) for (c, r), (lo, hi, _) in targets.items() if lo < hi]
-        if not unmet:
-            break
-        bounds = F.broadcast(df.sparkSession.createDataFrame(unmet, schema))
+    margin = 2 / SKETCH
+    near = [min(max(p + side, 0.0), 1.0) for p in probs for side in (-margin, margin)]
+    ends = long.groupBy("column").agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.percentile_approx("v", F.array(*map(F.lit, near)), SKETCH).alias("near")).collect()
+    places = {r["column"]: {p: p * (r["n"] - 1) for p in probs} for r in ends}
+    brackets = [(r["column"], i, r["near"][2 * i] if near[2 * i] > 0 else r["lo"], r["near"][2 * i + 1] if near[2 * i + 1] < 1 else r["hi"])
+                for r in ends for i in range(len(probs))]
+    if not brackets:
+        return {}
+    values = _in_brackets(long, brackets)
+    below = {(r["column"], r["i"]): (r["below"], r["n"]) for r in values.groupBy("column", "i").agg(
+        F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("below"), F.sum("n").alias("n")).collect()}
+
+    def ranks(column: str, i: int) -> set[int]:
+        place = places[column][probs[i]]
+        return {math.floor(place), math.ceil(place)}
+
+    # the sketch keeps its promise; a bracket that did not would be opened to the ends
+    whole = {r["column"]: (r["lo"], r["hi"]) for r in ends}
+    missed = [(c, i, *whole[c]) for c, i, _, _ in brackets if not all(
+        below.get((c, i), (0, 0))[0] <= rank < below.get((c, i), (0, 0))[1] for rank in ranks(c, i))]
+    if missed:
+        lost = {(c, i) for c, i, _, _ in missed}
+        brackets = [b for b in brackets if b[:2] not in lost] + missed
+        below |= dict.fromkeys(lost, (0, 0))
+        values = _in_brackets(long, brackets)
+    targets = {(c, i, rank): [lo, hi, below[c, i][0]] for c, i, lo, hi in brackets for rank in ranks(c, i)}
+    values = values.filter("v is not null")
+    while unmet := [(c, i, rank, lo, hi) for (c, i, rank), (lo, hi, _) in targets.items() if lo < hi]:
+        # one row for each wanted order statistic
+        bounds = F.broadcast(df.sparkSession.createDataFrame(unmet, "column string, i int, rank long, lo double, hi double"))
         part = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS).cast("int")
         bins = (
-            long.join(bounds, "column").filter(F.col("v").between(F.col("lo"), F.col("hi")))
-            .groupBy("column", "rank", F.least(part, F.lit(BINS - 1)).alias("bin"))
-            .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-        )
+            values.join(bounds, ["column", "i"]).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+            .groupBy("column", "i", "rank", F.least(part, F.lit(BINS - 1)).alias("bin"))
+            .agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+        found = set()
         for row in sorted(bins, key=lambda r: r["bin"]):
-            target = targets[(row["column"], row["rank"])]
-            if len(target) == 4:  # its bin has been found
+            key = (row["column"], row["i"], row["rank"])
+            if key in found:
                 continue
+            target = targets[key]
             if target[2] + row["n"] > row["rank"]:
-                target[:] = [row["lo"], row["hi"], target[2], True]
+                target[:] = [row["lo"], row["hi"], target[2]]
+                found.add(key)
             else:
                 target[2] += row["n"]
-        for target in targets.values():
-            del target[3:]
 
-    def value(column: str, place: float) -> float:
-        low, high = targets[(column, math.floor(place))][0], targets[(column, math.ceil(place))][0]
+    def value(column: str, i: int) -> float:
+        place = places[column][probs[i]]
+        low, high = (targets[column, i, rank][0] for rank in (math.floor(place), math.ceil(place)))
         return low + (place - math.floor(place)) * (high - low)
 
-    return {c: {p: value(c, place) for p, place in places.items()} for c, places in wanted.items()}
+    return {c: {p: value(c, i) for i, p in enumerate(probs)} for c in places}
+
+
+def _in_brackets(long: DataFrame, brackets: list[tuple]) -> DataFrame:
+    """``(column, i, v, n)``: values inside each bracket with their counts, and the count below it as ``v`` NULL."""
+    rows = F.broadcast(long.sparkSession.createDataFrame(brackets, "column string, i int, lo double, hi double"))
+    kept = long.join(rows, "column").filter(F.col("v") <= F.col("hi"))
+    counted = kept.groupBy("column", "i", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    return write_once(counted, "brackets")
 
 
 def _quartiles(df: DataFrame, columns: list[str]) -> DataFrame:

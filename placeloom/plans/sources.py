@@ -9,7 +9,7 @@ from placeloom.plans import inputs
 from placeloom.plans.inputs import IN_COUNTY, PAGE_FACTS
 from placeloom.plans.registry import query, table
 from placeloom.session import scratch_path
-from placeloom.sources import files, pages
+from placeloom.sources import files, pages, ranges
 
 
 @query("csv_scan", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
@@ -64,11 +64,34 @@ def xml_articles(spark, sf_dir):
     return found.select("name", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query("part_listing", """
-SELECT 'customer.parquet' AS file, count(*) AS rows FROM customer""")
+@query("foreign_csv", "SELECT doc_id, md5(text) AS digest, lang FROM documents")
+def foreign_csv(spark, sf_dir):
+    """One CSV file whose texts hold line breaks and quotes, read in byte ranges."""
+    path = scratch_path(spark, "csv")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('"'), "lang", F.lit('",\n'), "text").alias("text"), "lang")
+    docs.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    back = files.read_csv(spark, path, "doc_id long, text string, lang string", range_bytes=1 << 20)
+    return back.select("doc_id", F.md5(F.expr("substr(text, length(lang) + 5)")).alias("digest"), "lang")
+
+
+# The documents as files named like dump parts, and some in a container that is left out.
+_PART = "'dump-' || lang || (doc_id % 3) || '.xml-p' || doc_id || 'p' || (doc_id + n_chars) || '.txt'"
+_FILES = f"(SELECT {_PART} AS file, strlen(text) AS bytes, n_chars AS pages FROM documents WHERE doc_id % 9 <> 0 AND strlen(text) > 0)"
+
+
+def _part_files(spark, sf_dir, which="true"):
+    """Folder that holds a file for each document."""
+    folder = scratch_path(spark, "parts")
+    kind = F.when(F.col("doc_id") % 9 == 0, "-multistream").otherwise("")
+    name = F.concat(F.lit("dump-"), "lang", (F.col("doc_id") % 3).cast("string"), kind, F.lit(".xml-p"), F.col("doc_id").cast("string"), F.lit("p"),
+                    (F.col("doc_id") + F.col("n_chars")).cast("string"), F.lit(".txt"))
+    ranges.write_files(table(spark, sf_dir, "documents").filter(which).select(name.alias("file"), F.col("text").alias("content")), folder)
+    return folder
+
+
+@query("part_listing", f"SELECT file, bytes FROM {_FILES}")
 def part_listing(spark, sf_dir):
-    found = spark.read.option("pathGlobFilter", "cust*.parquet").parquet(sf_dir)
-    return found.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"))
+    return files.list_parts(spark, _part_files(spark, sf_dir))
 
 
 @query("json_lines_parts", "SELECT doc_id, lang, n_chars, text FROM documents")
@@ -93,8 +116,8 @@ def positional_records(spark, sf_dir):
         (-80 - k / 10000.0).alias("lon"), F.when(k % 2 == 0, F.create_map(F.lit("kind"), F.col("lang"))).alias("templates"),
         "text", F.array("source").alias("wikilinks"), F.array(F.lit("http://x.org")).alias("ext_links"),
         F.col("n_chars").cast("int").alias("text_length"))
-    files.article_to_array(records).write.text(path)
-    back = files.article_from_array(spark.read.text(path))
+    ranges.write_json_array(files.article_to_array(records), path)
+    back = files.article_from_array(ranges.read_json_array(spark, path, 1 << 20))
     return back.select("name", "lat", "lon", F.try_element_at("templates", F.lit("kind")).alias("kind"),
                        F.md5("text").alias("digest"), F.col("wikilinks")[0].alias("link"), "text_length")
 
@@ -107,40 +130,31 @@ def skip_if_written(spark, sf_dir):
     return spark.read.parquet(path).agg(F.count("*").alias("rows"))
 
 
-_PARTS = "SELECT 'dump-pages-articles' || (o_orderkey % 27) || '.xml-p' || o_orderkey || 'p' || (o_orderkey + o_custkey) || '.bz2' AS file"
-
-
-@query("file_inventory", f"""
-{_PARTS}, round(o_totalprice / 1e6, 6) AS mb, o_custkey AS pages FROM orders""")
+@query("file_inventory", f"SELECT file, round(bytes / 1e6, 6) AS mb, pages FROM {_FILES}")
 def file_inventory(spark, sf_dir):
-    return files.with_page_counts(_parts(spark, sf_dir)).select("file", F.round("mb", 6).alias("mb"), "pages")
+    parts = files.list_parts(spark, _part_files(spark, sf_dir))
+    return files.with_page_counts(parts).select("file", F.round("mb", 6).alias("mb"), "pages")
 
 
-@query("file_inventory_totals", """
-SELECT count(*) AS files, round(sum(o_totalprice) / 1e6, 4) AS mb, CAST(sum(o_custkey) AS BIGINT) AS pages FROM orders""")
+@query("file_inventory_totals", f"""
+SELECT count(*) AS files, round(sum(bytes) / 1e6, 4) AS mb, CAST(sum(pages) AS BIGINT) AS pages FROM {_FILES}""")
 def file_inventory_totals(spark, sf_dir):
-    return files.folder_totals(_parts(spark, sf_dir)).select("files", F.round("mb", 4).alias("mb"), "pages")
+    parts = files.list_parts(spark, _part_files(spark, sf_dir))
+    return files.folder_totals(parts).select("files", F.round("mb", 4).alias("mb"), "pages")
 
 
-def _parts(spark, sf_dir):
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    name = F.concat(F.lit("dump-pages-articles"), (k % 27).cast("string"), F.lit(".xml-p"), k.cast("string"), F.lit("p"),
-                    (k + c).cast("string"), F.lit(".bz2"))
-    return table(spark, sf_dir, "orders").select(name.alias("file"), F.col("o_totalprice").alias("bytes"))
-
-
-@query("checksum_manifest", """
-SELECT 'doc-' || doc_id AS file, CASE doc_id % 7 WHEN 1 THEN 'differs' WHEN 2 THEN 'missing' WHEN 3 THEN 'unlisted' ELSE 'ok' END AS status
-FROM documents""")
+@query("checksum_manifest", f"""
+SELECT {_PART} AS file, CASE doc_id % 7 WHEN 1 THEN 'differs' WHEN 2 THEN 'missing' WHEN 3 THEN 'unlisted' ELSE 'ok' END AS status
+FROM documents WHERE doc_id % 9 <> 0 AND strlen(text) > 0""")
 def checksum_manifest(spark, sf_dir):
     path = scratch_path(spark, "sums")
     k = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").select(
-        k, F.concat(F.lit("doc-"), k.cast("string")).alias("file"), F.md5("text").alias("actual"))
-    listed = F.when(k % 7 == 1, F.reverse("actual")).otherwise(F.col("actual"))
-    docs.filter(k % 7 != 3).select(F.concat(listed, F.lit("  "), "file").alias("value")).write.text(path)
-    found = docs.filter(k % 7 != 2).select("file", "actual")
-    return files.compare_digests(found, files.read_manifest(spark, path))
+    folder = _part_files(spark, sf_dir, k % 7 != 2)
+    md5 = F.md5("text")
+    listed = F.when(k % 7 == 1, F.reverse(md5)).otherwise(md5)
+    docs = table(spark, sf_dir, "documents").filter((k % 7 != 3) & (k % 9 != 0) & (F.length("text") > 0))
+    docs.select(F.concat(listed, F.lit("  "), F.expr(_PART)).alias("value")).write.text(path)
+    return files.verify(spark, folder, files.read_manifest(spark, path))
 
 
 @query("html_links", """

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from placeloom.sources import ranges
+
 # Article record as one JSON array, by position.
 ARTICLE_FIELDS = ["name", "coords", "templates", "text", "wikilinks", "ext_links", "text_length"]
 
@@ -16,16 +18,26 @@ ARTICLE_SCHEMA = (
 
 
 NULL = "\\N"
+COMPRESSED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str, own: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, own: bool = False, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
     """CSV with a header; the schema is given, so no extra pass infers it. NaN is read as NULL.
 
-    A foreign file may hold line breaks inside quotes, so it is read by one task each. ``own`` files, written by
-    ``write_csv``, have none and are split like any text.
+    ``own`` files, written by ``write_csv``, hold no line breaks and are split like any text. A foreign file may hold some
+    inside quotes; it is cut into byte ranges that many tasks read (``ranges.read_csv_records``). Compressed foreign files
+    cannot be cut and are read by one task each.
     """
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", not own).option("escape", '"').option(
-        "nullValue", NULL if own else "").csv(path)
+    if own:
+        rows = spark.read.schema(schema).option("header", True).option("escape", '"').option("nullValue", NULL).csv(path)
+    elif not ranges.files_in(spark, path).filter(F.col("path").rlike(COMPRESSED)).isEmpty():
+        rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    else:
+        shape = schema if isinstance(schema, str) else schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+        records = ranges.read_csv_records(spark, path, range_bytes=range_bytes).filter("first = 0")
+        text = F.regexp_replace("value", r"\r?\n\z", "")
+        parsed = F.from_csv(text, shape, {"escape": '"', "nullValue": "", "mode": "PERMISSIVE"})
+        rows = records.filter(text != "").select(parsed.alias("r")).select("r.*")
     clean = {}
     for name, kind in rows.dtypes:
         column = F.col(f"`{name}`")
@@ -113,9 +125,8 @@ OTHER_CONTAINER = "multistream"
 
 def list_parts(spark: SparkSession, folder: str, pattern: str = PART_GLOB) -> DataFrame:
     """``(file, bytes)`` of the dump parts. Only metadata is read: the content column is pruned."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("file"), F.col("length").alias("bytes")).filter(
+    return ranges.files_in(spark, folder, pattern).select(name.alias("file"), "bytes").filter(
         ~F.contains("file", F.lit(OTHER_CONTAINER)))
 
 
@@ -138,9 +149,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify(spark: SparkSession, folder: str, manifest: DataFrame, pattern: str = PART_GLOB) -> DataFrame:
-    """``(file, status)`` per file of either side: ``ok``, ``differs``, ``missing`` or ``unlisted``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    found = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.md5("content").alias("actual"))
+    """``(file, status)`` per file of either side: ``ok``, ``differs``, ``missing`` or ``unlisted``. Files of any size are
+    streamed through the digest."""
+    listed = ranges.files_in(spark, folder, pattern).filter(~F.contains("path", F.lit(OTHER_CONTAINER)))
+    found = ranges.file_digests(listed).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("digest").alias("actual"))
     return compare_digests(found, manifest)
 
 

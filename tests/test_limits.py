@@ -1,7 +1,10 @@
 """Inputs beyond the sizes and ranges of the test tables."""
 
 import math
+import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from placeloom.operators import cleaning, profiling, skew, spatial, vectors
@@ -51,12 +54,29 @@ def test_all_wanted_vectors(spark):
 
 def test_one_hot_of_many_levels(spark):
     df = spark.range(2100).select("id", F.concat(F.lit("l"), F.col("id")).alias("c")).union(spark.sql("select 5000L, null"))
-    got = cleaning.one_hot(df, ["c"])
+    flags = cleaning.one_hot(df, ["c"])
+    assert len(flags.columns) == 2101 and flags.columns[:2] == ["id", "c_l0"]
+    got = cleaning.level_vectors(df, ["c"])
     assert got.columns == ["id", "c_levels"]
     assert {(r.c_levels.size, int(r.c_levels.numNonzeros())) for r in got.filter("id < 9").collect()} == {(2100, 1)}
     assert got.filter("id = 5000").first().c_levels.numNonzeros() == 0
 
 
+@pytest.mark.parametrize("kind", ["spread", "skewed", "constant", "two", "tiny"])
+def test_quantiles_are_exact(spark, kind):
+    rng = random.Random(1)
+    n = 3 if kind == "tiny" else 30_000
+    make = {"spread": lambda: rng.gauss(0, 1e6), "skewed": lambda: rng.choice([0.0, 0.0, rng.random() ** 9 * 1e12, -1.0]),
+            "constant": lambda: 7.0, "two": lambda: float(rng.random() < 0.5), "tiny": lambda: rng.random()}[kind]
+    values = [make() for _ in range(n)]
+    df = spark.createDataFrame([(v, None) for v in values] + [(None, None), (float("nan"), None)], "a double, b double")
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.9999, 1.0]
+    got = profiling.exact_quantiles(df, ["a", "b"], probs)
+    assert list(got) == ["a"]
+    for p, want in zip(probs, np.quantile(values, probs), strict=True):
+        assert got["a"][p] == pytest.approx(want, rel=1e-12, abs=1e-12)
+
+
 def test_templates_nested_to_any_depth(spark):
     from placeloom.functions import markup
 
