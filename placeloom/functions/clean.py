@@ -31,7 +31,7 @@ def differs(c: Column, value) -> Column:
 
 def none_of(c: Column, values: list) -> Column:
     """Keep rows outside ``values``; a missing value is kept."""
-    return F.coalesce(~c.isin(values), F.lit(True))
+    return c.isNull() | ~c.isin(values)
 
 
 def municipality(c: Column) -> Column:

@@ -29,6 +29,12 @@ RARE_LEVELS = {
     "ROOFDESC": ["METAL"],
     "BASEMENTDESC": ["Slab/Piers"],
 }
+# Which sales count as ordinary sales of houses.
+MOST_ROOMS, LEAST_BEDROOMS = 20, 1
+LEAST_PRICE, MOST_PRICE = 10_000, 1_000_000
+FIRST_YEAR, LAST_YEAR = 2015, 2020
+HEATINGS = ["Central Heat with AC", "Central Heat"]
+TAXABLE = "20 - Taxable"
 # Point categories left out of the features.
 SMALL_POINT_CATEGORIES = [
     "homeless_shelters", "wic_offices", "va_facilities", "acha_community_sites", "achd_clinics",
@@ -151,27 +157,23 @@ def clean_points(raw: DataFrame, box=None) -> DataFrame:
 def clean_houses(raw: DataFrame, districts: DataFrame) -> DataFrame:
     """The cleaned assessment table, up to (not including) the 0/1 columns.
 
-    ``districts`` is ``(municipality, district)``. All filters are one conjunction on scan columns, so
-    they reach the file scan together.
+    ``districts`` is ``(municipality, district)``; a municipality of a kept row that it lacks fails the job. The filters on
+    raw columns come first, so they reach the file scan together.
     """
     c = F.col
-    named = lookup(raw.withColumn("MUNIDESC", clean.municipality(c("MUNIDESC"))), districts,
+    sold = raw.filter(
+        (c("USEDESC") == "SINGLE FAMILY") & clean.differs(c("OWNERDESC"), "CORPORATION")
+        & (c("TOTALROOMS") <= MOST_ROOMS) & (c("BEDROOMS") >= LEAST_BEDROOMS) & (c("SALEDESC") == "VALID SALE")
+        & (c("SALEPRICE") < MOST_PRICE) & (c("FAIRMARKETTOTAL") < MOST_PRICE) & (c("SALEPRICE") > LEAST_PRICE)
+        & (c("TAXDESC") == TAXABLE) & (c("CARDNUMBER") == 1) & c("HEATINGCOOLINGDESC").isin(HEATINGS))
+    for column, rare in RARE_LEVELS.items():
+        sold = sold.filter(clean.none_of(c(column), rare))
+    named = lookup(sold.withColumn("MUNIDESC", clean.municipality(c("MUNIDESC"))), districts,
                    "MUNIDESC", "municipality", "district").withColumnRenamed("district", "DISTRICT")
     kept = blank_strings_to_null(named)
     kept = drop_columns(kept, list(dict.fromkeys(UNUSED_COLUMNS + EMPTY_COLUMNS)), strict=False)
-    kept = kept.filter(
-        (c("USEDESC") == "SINGLE FAMILY") & clean.differs(c("OWNERDESC"), "CORPORATION")
-        & (c("TOTALROOMS") <= 20) & (c("BEDROOMS") >= 1) & (c("SALEDESC") == "VALID SALE")
-        & (c("SALEPRICE") < 1_000_000) & (c("FAIRMARKETTOTAL") < 1_000_000) & (c("SALEPRICE") > 10_000)
-    )
     kept = drop_columns(kept, ["USECODE", "USEDESC", "SALECODE", "SALEDESC"], strict=False).na.drop("any")
-    kept = kept.withColumn("SALEYEAR", clean.sale_year(c("SALEDATE"))).filter(c("SALEYEAR").between(2015, 2020))
-    kept = kept.filter(
-        (c("TAXDESC") == "20 - Taxable") & (c("CARDNUMBER") == 1)
-        & c("HEATINGCOOLINGDESC").isin("Central Heat with AC", "Central Heat")
-    )
-    for column, rare in RARE_LEVELS.items():
-        kept = kept.filter(clean.none_of(c(column), rare))
+    kept = kept.withColumn("SALEYEAR", clean.sale_year(c("SALEDATE"))).filter(c("SALEYEAR").between(FIRST_YEAR, LAST_YEAR))
     kept = drop_columns(kept, ["TAXCODE", "TAXDESC", "CLASS", "CLASSDESC", "HOMESTEADFLAG", "CARDNUMBER",
                                *CODE_COLUMNS], strict=False)
     texts = [x for x in DUMMY_COLUMNS if x != "SALEYEAR_STR"]

@@ -252,11 +252,14 @@ SELECT c_custkey AS "_id", 'district_' || (c_nationkey % 13 + 1) AS "DISTRICT",
   CAST(CASE c_custkey % 7 WHEN 1 THEN 2 WHEN 3 THEN 7 WHEN 4 THEN 8
     ELSE CASE WHEN c_custkey % 8 + 1 BETWEEN 2 AND 6 THEN c_custkey % 8 + 2 ELSE c_custkey % 8 + 1 END END AS INTEGER) AS "CONDITION",
   CASE c_custkey % 3 WHEN 0 THEN '13' WHEN 1 THEN '14' ELSE '11' END AS "GRADE",
-  CASE WHEN c_custkey % 2 = 0 THEN 'CentralHeat' ELSE 'CentralHeatwithAC' END AS "HEATINGCOOLINGDESC"
+  CASE WHEN c_custkey % 2 = 0 THEN 'CentralHeat' ELSE 'CentralHeatwithAC' END AS "HEATINGCOOLINGDESC",
+  CASE c_custkey % 4 WHEN 0 THEN '1' WHEN 1 THEN '4' ELSE '8' END AS "CDU", CASE WHEN c_custkey % 3 = 0 THEN 'SPLITLEVEL' ELSE 'RANCH' END AS "STYLEDESC",
+  CASE WHEN c_custkey % 5 = 2 THEN 'Stone' ELSE 'Brick' END AS "EXTFINISH_DESC"
 FROM customer
 WHERE c_custkey % 10 <> 9 AND (c_custkey % 6 <> 5) AND (c_custkey % 25) BETWEEN 1 AND 20 AND c_custkey % 5 >= 1
   AND c_custkey % 4 <> 3 AND c_acctbal > 1000 AND c_acctbal < 9000 AND 2013 + c_custkey % 9 BETWEEN 2015 AND 2020
-  AND c_custkey % 12 <> 7 AND c_custkey % 23 <> 3""")
+  AND c_custkey % 12 <> 7 AND c_custkey % 23 <> 3 AND c_custkey % 31 <> 5 AND c_custkey % 29 <> 2 AND c_custkey % 37 <> 4 AND c_custkey % 41 <> 6
+  AND c_custkey % 43 <> 7""")
 def clean_houses(spark, sf_dir):
     k = F.col("c_custkey")
     raw = table(spark, sf_dir, "customer").select(
@@ -267,20 +270,21 @@ def clean_houses(spark, sf_dir):
         F.when(k % 4 == 3, "OTHER").otherwise("VALID SALE").alias("SALEDESC"),
         (F.col("c_acctbal") * 10).alias("SALEPRICE"), (F.col("c_acctbal") / 9000 * 1_000_000).alias("FAIRMARKETTOTAL"),
         F.concat(F.lit("01-05-"), (2013 + k % 9).cast("string")).alias("SALEDATE"),
-        F.lit("20 - Taxable").alias("TAXDESC"), F.lit(1.0).alias("CARDNUMBER"),
-        F.when(k % 2 == 0, "Central Heat").otherwise("Central Heat with AC").alias("HEATINGCOOLINGDESC"),
-        F.lit("RANCH").alias("STYLEDESC"), F.lit("Brick").alias("EXTFINISH_DESC"),
+        F.when(k % 31 == 5, "10 - Exempt").otherwise("20 - Taxable").alias("TAXDESC"), F.when(k % 29 == 2, 2.0).otherwise(1.0).alias("CARDNUMBER"),
+        F.when(k % 43 == 7, "None").when(k % 2 == 0, "Central Heat").otherwise("Central Heat with AC").alias("HEATINGCOOLINGDESC"),
+        F.when(k % 37 == 4, "LOG CABIN").when(k % 3 == 0, "SPLIT LEVEL").otherwise("RANCH").alias("STYLEDESC"),
+        F.when(k % 41 == 6, "Log").when(k % 5 == 2, "Stone").otherwise("Brick").alias("EXTFINISH_DESC"),
         F.when(k % 12 == 7, "METAL").otherwise("SHINGLE").alias("ROOFDESC"),
         F.when(k % 23 == 3, "  ").otherwise("Full").alias("BASEMENTDESC"),
         (k % 8 + 1).cast("double").alias("CONDITION"),
         F.element_at(F.array(*map(F.lit, _CONDITIONS)), (k % 7 + 1).cast("int")).alias("CONDITIONDESC"),
         F.element_at(F.array(*map(F.lit, ["C+", "C", "B"])), (k % 3 + 1).cast("int")).alias("GRADE"),
-        F.lit("x").alias("GRADEDESC"), F.lit("AV").alias("CDU"), F.lit("y").alias("CDUDESC"))
+        F.lit("x").alias("GRADEDESC"), F.when(k % 4 == 0, "EX").when(k % 4 == 1, "AV").otherwise("UN").alias("CDU"), F.lit("y").alias("CDUDESC"))
     towns = raw.select(F.regexp_extract("MUNIDESC", r"(\d+)", 1).alias("n")).distinct().select(
         F.concat(F.lit("Town "), "n").alias("municipality"), F.concat(F.lit("district_"), "n").alias("district"))
     kept = cleaning.clean_houses(raw, towns)
     return kept.select("_id", "DISTRICT", "SALEYEAR", F.col("CONDITION").cast("int").alias("CONDITION"), "GRADE",
-                       "HEATINGCOOLINGDESC")
+                       "HEATINGCOOLINGDESC", "CDU", "STYLEDESC", "EXTFINISH_DESC")
 
 
 @query("clean_points", f"""
@@ -483,7 +487,7 @@ def share_of_total(spark, sf_dir):
 
 
 @query("absent_levels", """
-SELECT 'p_type_PROMO' AS "column" FROM part LIMIT 1""")
+SELECT DISTINCT 'p_type_' || p_type AS "column" FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_type <> 'PROMO')""")
 def absent_levels(spark, sf_dir):
     flags = cleaning.one_hot(table(spark, sf_dir, "part").select("p_partkey", "p_type"), ["p_type"])
     in_train = F.col("p_type_PROMO") == 0

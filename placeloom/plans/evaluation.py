@@ -233,6 +233,21 @@ def boosted_trees(spark, sf_dir):
     return metrics.measures(model.transform(rows.filter(held)))
 
 
+@query("boosted_stump", f"""
+WITH l AS (SELECT l_linenumber AS x, l_extendedprice AS y FROM lineitem), v AS (SELECT DISTINCT x AS cut FROM l),
+s AS (SELECT cut, avg(y) FILTER (WHERE x <= cut) AS low, avg(y) FILTER (WHERE x > cut) AS high,
+  var_pop(y) FILTER (WHERE x <= cut) * count(*) FILTER (WHERE x <= cut) + var_pop(y) FILTER (WHERE x > cut) * count(*) FILTER (WHERE x > cut) AS loss
+  FROM l, v GROUP BY cut HAVING count(*) FILTER (WHERE x > cut) > 0),
+b AS (SELECT * FROM s ORDER BY loss LIMIT 1)
+SELECT x, round(CASE WHEN x <= cut THEN low ELSE high END, 3) AS prediction FROM (SELECT DISTINCT x FROM l), b""")
+def boosted_stump(spark, sf_dir):
+    """One round of boosting with trees of depth one: the best cut, and the mean label on either side."""
+    rows = evaluation.assembled(table(spark, sf_dir, "lineitem").select(
+        F.col("l_linenumber").alias("x"), F.col("l_extendedprice").alias("y")), ["x"])
+    model = evaluation.boosted_trees(rounds=1, depth=1)(rows).fit(rows)
+    return model.transform(rows.select("x", "features").distinct()).select("x", F.round("prediction", 3).alias("prediction"))
+
+
 @query("feature_sets")
 def feature_sets(spark, sf_dir):
     groups = {"S": ["l_quantity"], "D": ["l_discount"], "C": ["l_tax"], "T": ["flag_R", "flag_A"]}
