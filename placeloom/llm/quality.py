@@ -145,11 +145,15 @@ def keep_good(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     folds: int = 4, held: int = 2, max_labelled: int = MAX_LABELLED,
 ) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns; texts are not shuffled."""
+    """The rows of ``docs`` that the classifier accepts, with all their columns; texts are not shuffled. At most
+    ``max_labelled`` labelled ids, those with the smallest hash, are broadcast."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
     docs, (id_col, text_col), old = numbered(docs, id_col, text_col)
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    known = texts.join(marks.select(F.col("doc_id").alias("_doc")), "_doc", "left_semi")
+    # the labelled ids are cut to the bound before they meet the texts, so that they can be sent to every task
+    ids = marks.filter(F.col("label").isNotNull() & (remainder(F.col("doc_id"), folds) != held)).select(F.col("doc_id").alias("_doc")).distinct()
+    chosen = write_once(ids.orderBy(F.xxhash64("_doc"), "_doc").limit(max_labelled), "chosen")
+    known = texts.join(F.broadcast(chosen), "_doc", "left_semi")
     rows = write_once(with_features(known, "_text").drop("_text"), "features")
     model = _learn(rows, marks, "doc_id", "label", folds, held, max_labelled)
     return with_features(docs, text_col).filter(score(model) >= ACCEPT).select(docs.columns).toDF(*old)

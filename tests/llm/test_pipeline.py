@@ -75,14 +75,14 @@ def test_run(spark, tables):
 
 def test_every_operator_has_a_query():
     queries, sql = load()
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in queries} and set(sql) <= set(queries)
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in queries} and set(sql) <= set(queries)
 
 
 def test_queries_against_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     queries, sql = load()
     con = duckdb.connect()
-    for name in ("documents", "conversations", "pages"):
+    for name in ("documents", "conversations", "pages", "embeddings"):
         con.execute(f"create view {name} as select * from '{SMALL}/{name}.parquet'")
     for name, text in sql.items():
         got = queries[name](spark, SMALL).toPandas()
