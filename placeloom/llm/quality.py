@@ -156,4 +156,17 @@ def keep_good(
     known = texts.join(F.broadcast(chosen), "_doc", "left_semi")
     rows = write_once(with_features(known, "_text").drop("_text"), "features")
     model = _learn(rows, marks, "doc_id", "label", folds, held, max_labelled)
-    return with_features(docs, text_col).filter(score(model) >= ACCEPT).select(docs.columns).toDF(*old)
+    if not model:
+        return docs.toDF(*old)
+    weights, threshold = model
+    # only the text goes to Python, and one number comes back; rows stay where they are
+    return docs.filter(worth_of(weights)(F.col(text_col)) >= threshold).toDF(*old)
+
+
+def worth_of(weights: list[float]):
+    """A column function: the worth of a text."""
+    @F.arrow_udf(T.DoubleType())
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([float(np.dot(features(texts[i].as_py()), weights)) for i in range(len(texts))], pa.float64())
+
+    return run
