@@ -151,8 +151,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def verify(spark: SparkSession, folder: str, manifest: DataFrame, pattern: str = PART_GLOB) -> DataFrame:
     """``(file, status)`` per file of either side: ``ok``, ``differs``, ``missing`` or ``unlisted``. Files of any size are
     streamed through the digest."""
-    listed = ranges.files_in(spark, folder, pattern).filter(~F.contains("path", F.lit(OTHER_CONTAINER)))
-    found = ranges.file_digests(listed).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("digest").alias("actual"))
+    found = ranges.file_digests(ranges.files_in(spark, folder, pattern)).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("digest").alias("actual"))
     return compare_digests(found, manifest)
 
 
