@@ -12,7 +12,6 @@ from placeloom.plans import inputs
 from placeloom.plans.inputs import IN_COUNTY, PAGE_FACTS
 from placeloom.plans.registry import query, table
 from placeloom.plans.spatial import TERMS, VOCAB
-from placeloom.session import write_once
 
 # ---- coordinates ------------------------------------------------------------------------------------
 
@@ -271,6 +270,10 @@ def _terms(spark, sf_dir):
     return terms.term_counts(inputs.articles(spark, sf_dir))
 
 
+def _words(spark, sf_dir):
+    return terms.frequent_terms(inputs.articles(spark, sf_dir), table(spark, sf_dir, "documents").count())
+
+
 @query("category_prefix", """
 SELECT doc_id, regexp_replace('[[Category:' || lang || ', x]] category:a1 ' || source, '([cC]ategory:)([a-zA-z]+)', '\\1 \\2', 'g') AS text
 FROM documents""")
@@ -333,19 +336,19 @@ _WITH_VOCAB = f"WITH terms AS ({TERMS}), vocab AS ({VOCAB})"
 
 @query("vocabulary", f"{_WITH_VOCAB} SELECT term, df, total, round(idf, 6) AS idf FROM vocab")
 def vocabulary(spark, sf_dir):
-    words = terms.vocabulary(_terms(spark, sf_dir), table(spark, sf_dir, "documents").count())
+    words = _words(spark, sf_dir)
     return words.select("term", "df", "total", F.round("idf", 6).alias("idf"))
 
 
 @query("top_terms", f"{_WITH_VOCAB} SELECT term, total FROM vocab ORDER BY total DESC, term LIMIT 100")
 def top_terms(spark, sf_dir):
-    words = terms.vocabulary(_terms(spark, sf_dir), table(spark, sf_dir, "documents").count())
+    words = _words(spark, sf_dir)
     return top(words.select("term", "total"), "total", 100, "term")
 
 
 @query("ordered_vocabulary", f"{_WITH_VOCAB} SELECT row_number() OVER (ORDER BY term) - 1 AS position, term FROM vocab")
 def ordered_vocabulary(spark, sf_dir):
-    words = terms.vocabulary(_terms(spark, sf_dir), table(spark, sf_dir, "documents").count())
+    words = _words(spark, sf_dir)
     return terms.ordered_vocabulary(words).select("position", "term")
 
 
@@ -353,8 +356,8 @@ def ordered_vocabulary(spark, sf_dir):
 {_WITH_VOCAB} SELECT article_id, round(sum(tf * length(term) / df::DOUBLE), 6) AS article_importance
 FROM terms JOIN vocab USING (term) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
 def article_importance(spark, sf_dir):
-    counts = write_once(_terms(spark, sf_dir), "terms")
-    words = terms.vocabulary(counts, table(spark, sf_dir, "documents").count())
+    words = _words(spark, sf_dir)
+    counts = terms.term_counts(inputs.articles(spark, sf_dir), among=words)
     importance = words.select("term", (F.length("term") / F.col("df")).alias("importance"))
     scored = terms.article_importance(counts, importance)
     rounded = scored.select("article_id", F.round("article_importance", 6).alias("article_importance"))
