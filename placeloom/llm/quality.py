@@ -6,8 +6,8 @@ acceptance threshold is a quantile of the worths of the labelled documents (the
 score is the Bradley-Terry probability against a document at that threshold, shifted so that the threshold
 itself has score ``ACCEPT``.
 
-Features come from the whole text alone; labels, language, source and id never enter. Training uses at most
-``max_labelled`` labelled rows (those with the smallest hash of their id), the only bound in this module.
+Features come from the whole text alone; labels, language, source and id never enter. Training uses every labelled row
+outside the held-out fold; pairs, weights and the threshold are all worked out over tables, nothing is sampled.
 
 Rows: a null or empty text has all features 0 and is scored like any other; a null id is scored but never
 learned from; repeated rows each get the same score; ties share a score. Labels without both classes (an
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placeloom.llm.registry import numbered
+from placeloom.operators.profiling import exact_quantiles
 from placeloom.session import write_once
 
 ACCEPT = 0.7
-MAX_LABELLED = 50_000
 ROUNDS = 4  # partners that each good document meets on average
 
 UPPER, LOWER, DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"
@@ -81,18 +81,17 @@ def remainder(key: Column, by: int) -> Column:
     return F.crc32(key.cast("string")) % by
 
 
-def fit(known: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[list[float], float] | None:
-    """Weights and threshold from rows of ``_doc``, ``_x`` and ``_good`` (0 or 1); None without both classes."""
-    sample = write_once(
-        known.filter("_doc is not null and _good is not null")
-        .select("*", F.xxhash64("_doc").alias("_h")).orderBy("_h", "_doc", "_good").limit(max_labelled), "labelled")
-    found = sample.agg(F.count("*").alias("n"), F.sum("_good").alias("good")).first()
+def fit(known: DataFrame) -> tuple[list[float], float] | None:
+    """Weights and threshold from all rows of ``_doc``, ``_x`` and ``_good`` (0 or 1); None without both classes."""
+    labelled = write_once(
+        known.filter("_doc is not null and _good is not null").select("_x", "_good", F.xxhash64("_doc").alias("_h")), "labelled")
+    found = labelled.agg(F.count("*").alias("n"), F.sum("_good").alias("good")).first()
     n, bad = found.n, found.n - (found.good or 0)
     if bad in (0, n):
         return None
     rounds = F.explode(F.sequence(F.lit(1), F.lit(ROUNDS)))
     place = F.pmod(F.xxhash64("_h", "_round"), F.lit(min(bad, n - bad)))
-    seats = sample.select("*", rounds.alias("_round")).select("_x", "_h", "_good", "_round", place.alias("_seat"))
+    seats = labelled.select("*", rounds.alias("_round")).select("_x", "_h", "_good", "_round", place.alias("_seat"))
     good = seats.filter("_good = 1").select("_round", "_seat", F.col("_x").alias("_a"), "_h")
     poor = seats.filter("_good = 0").select("_round", "_seat", F.col("_x").alias("_b"))
     # either order of a pair, by hash: the first is preferred or not
@@ -104,8 +103,9 @@ def fit(known: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[list[float]
         pairs.select("label", array_to_vector("_d").alias("features")))
     weights = [float(w) for w in model.coefficients]
     # the border between the worst `bad` documents and the rest, halfway
-    at = F.percentile(worth(weights), F.lit((bad - 0.5) / (n - 1)))
-    return weights, float(sample.agg(at.alias("t")).first().t)
+    share = (bad - 0.5) / (n - 1)
+    worths = labelled.select(worth(weights).alias("worth"))
+    return weights, float(exact_quantiles(worths, ["worth"], [share])["worth"][share])
 
 
 def worth(weights: list[float]) -> Column:
@@ -120,20 +120,20 @@ def score(model: tuple[list[float], float] | None) -> Column:
     return 1 / (1 + F.exp(-(worth(weights) - threshold) - math.log(ACCEPT / (1 - ACCEPT))))
 
 
-def _learn(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, folds: int, held: int, max_labelled: int):
+def _learn(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, folds: int, held: int):
     marks = labels.select(F.col(id_col).alias("_doc"), F.col(label_col).cast("int").alias("_good")).filter(
         remainder(F.col("_doc"), folds) != held)
-    return fit(rows.join(marks, "_doc"), max_labelled)
+    return fit(rows.join(marks, "_doc"))
 
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    folds: int = 4, held: int = 2, max_labelled: int = MAX_LABELLED,
+    folds: int = 4, held: int = 2,
 ) -> DataFrame:
     """Per document: ``held_out``, ``score`` and ``predicted``; learns from labels outside the held-out fold."""
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     rows = write_once(with_features(texts, "_text").drop("_text"), "features")
-    model = _learn(rows, labels, id_col, label_col, folds, held, max_labelled)
+    model = _learn(rows, labels, id_col, label_col, folds, held)
     return rows.select(
         F.col("_doc").alias(id_col),
         F.coalesce(remainder(F.col("_doc"), folds) == held, F.lit(False)).alias("held_out"),
@@ -143,19 +143,16 @@ def quality_scores(
 
 def keep_good(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    folds: int = 4, held: int = 2, max_labelled: int = MAX_LABELLED,
+    folds: int = 4, held: int = 2,
 ) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns; texts are not shuffled. At most
-    ``max_labelled`` labelled ids, those with the smallest hash, are broadcast."""
+    """The rows of ``docs`` that the classifier accepts, with all their columns. Texts are not shuffled: ids and features
+    meet the labels."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
     docs, (id_col, text_col), old = numbered(docs, id_col, text_col)
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    # the labelled ids are cut to the bound before they meet the texts, so that they can be sent to every task
-    ids = marks.filter(F.col("label").isNotNull() & (remainder(F.col("doc_id"), folds) != held)).select(F.col("doc_id").alias("_doc")).distinct()
-    chosen = write_once(ids.orderBy(F.xxhash64("_doc"), "_doc").limit(max_labelled), "chosen")
-    known = texts.join(F.broadcast(chosen), "_doc", "left_semi")
-    rows = write_once(with_features(known, "_text").drop("_text"), "features")
-    model = _learn(rows, marks, "doc_id", "label", folds, held, max_labelled)
+    texts = texts.filter(remainder(F.col("_doc"), folds) != held)  # only these can be learnt from
+    rows = write_once(with_features(texts, "_text").drop("_text"), "features")
+    model = _learn(rows, marks, "doc_id", "label", folds, held)
     if not model:
         return docs.toDF(*old)
     weights, threshold = model
