@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,8 +43,8 @@ def test_distances_from_chords(base, radius):
 
 def test_frequent_terms_without_all_pairs(spark):
     rng = np.random.default_rng(2)
-    words = [f"q{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80)]
-    rows = [(i % 190, " ".join(rng.choice(words, 12, p=np.arange(80, 0, -1) / 3240))) for i in range(200)] + [(500, None), (None, "qaa qab")]
+    words = [f"q{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(30)]
+    rows = [(i % 190, " ".join(rng.choice(words, 12, p=np.arange(30, 0, -1) / 465))) for i in range(200)] + [(500, None), (None, "qaa qab")]
     docs = spark.createDataFrame(rows, "article_id long, text string")
     all_terms = Counter()
     for i, t in rows:
@@ -81,6 +82,27 @@ def test_nearest_vectors_are_summed_where_they_arrive(spark):
         line for line in plan.split("\n") if "hashpartitioning(house_id" in line)
 
 
+def test_similar_vectors_compare_a_bounded_number_at_once():
+    rng = np.random.default_rng(4)
+    rows, widths = rng.normal(size=(700, 8)), []
+
+    class Watched(np.ndarray):
+        def __matmul__(self, other):
+            widths.append(len(self) * other.shape[1])
+            return np.asarray(self) @ other
+
+    class Shared:
+        value = (list(range(600)), vectors._unit(rows[:600]).view(Watched))
+
+    out = pd.concat(vectors._best(Shared, 3, "id", iter([pd.DataFrame({"id": range(700), "_vec": list(rows)})])))
+    unit = vectors._unit(rows)
+    close = unit[:600] @ unit.T
+    close[range(600), range(600)] = -np.inf
+    want = np.argsort(-close, axis=1)[:, :3]
+    assert out["id"].tolist() == want.reshape(-1).tolist() and out["wanted_key"].tolist() == np.repeat(range(600), 3).tolist()
+    assert max(widths) <= vectors.WANTED_AT_ONCE * 700
+
+
 def test_linear_folds_with_a_vector_equal_plain_columns(spark):
     rng = np.random.default_rng(3)
     rows = [(i, str(i % 3), *map(float, rng.normal(size=4))) for i in range(90)]
