@@ -17,10 +17,12 @@ empty table too) teach nothing: every score is then ``ACCEPT`` and every documen
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -31,6 +33,8 @@ from placeloom.llm.registry import numbered
 from placeloom.operators.profiling import exact_quantiles
 from placeloom.session import write_once
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # so that a Python worker imports no Spark ML
+
 ACCEPT = 0.7
 ROUNDS = 4  # partners that each good document meets on average
 
