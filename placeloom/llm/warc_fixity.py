@@ -39,14 +39,16 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id``, ``file_no``, ``offset``, ``n_bytes``, ``copies``, ``record``; order within a file is by digest."""
     text = record(F.col(id_col), F.col(url_col), F.col(html_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), text.alias("record"))
-    once = rows.groupBy("page_id", "record").agg(F.count("*").alias("copies")).withColumn("_key", F.md5("record"))
+    rows = pages.select(F.col(id_col).alias("page_id"), text.alias("record")).withColumn("_key", F.md5("record"))
     distinct = rows.select("page_id", F.sha2("record", 256)).distinct().count()  # moves digests only
     files = max(1, -(-distinct // PER_FILE))
-    size = F.octet_length("record").cast("long")
     number = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") % files
+    # texts are moved once, to their file: both the grouping of equal records and the offsets follow from it
+    dealt = rows.withColumn("file_no", number).repartition("file_no")
+    once = dealt.groupBy("file_no", "_key", "page_id", "record").agg(F.count("*").alias("copies"))
+    size = F.octet_length("record").cast("long")
     before = Window.partitionBy("file_no").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = once.withColumn("file_no", number).withColumn("n_bytes", size)
+    placed = once.withColumn("n_bytes", size)
     return placed.withColumn("offset", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)).cast("long")).select(
         "page_id", "file_no", "offset", "n_bytes", "copies", "record")
 
