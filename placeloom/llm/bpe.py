@@ -17,8 +17,9 @@ import codecs
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ CHUNK_CHARS = 1 << 16  # texts are cut at a safe blank after so many characters
 SHORT_BYTES = 128  # pieces up to this size are merged whole and remembered
 CACHE_PIECES = 250_000
 CACHE_PAIRS = 300_000
+START_BYTES = 4  # by these first bytes the lengths that tokens may have are looked up
 YIELD_TOKENS = 1 << 20
 
 
@@ -76,8 +78,10 @@ class Merges:
         self.whole = {b: i for b, i in vocabulary.items() if self.merge(b) == [i]}  # tokens that merges reach
         found: dict[bytes, set[int]] = {}
         for b in self.whole:
-            found.setdefault(b[:2], {1}).add(len(b))
-        self.lengths = {start: sorted(sizes, reverse=True) for start, sizes in found.items()}
+            if len(b) >= START_BYTES:
+                found.setdefault(b[:START_BYTES], set()).add(len(b))
+        self.long = {start: sorted(sizes, reverse=True) for start, sizes in found.items()}
+        self.lengths: dict[bytes, list[int]] = {}
         self.side_by_side: dict[tuple[int, int], bool] = {}
 
     @staticmethod
@@ -158,19 +162,30 @@ class Merges:
             else:
                 bound, right = at_right + 1, self.pairs[at_right][0]
 
+    def sizes(self, start: bytes) -> list[int]:
+        """Lengths that a token with these first bytes may have, the longest first."""
+        if len(self.lengths) >= CACHE_PAIRS:
+            self.lengths.clear()
+        short = [k for k in range(min(START_BYTES - 1, len(start)), 0, -1) if start[:k] in self.whole]
+        found = self.lengths[start] = self.long.get(start, []) + short
+        return found
+
     def tokens(self, piece: bytes) -> list[int]:
         """The same tokens as ``merge``: a sequence is the encoding exactly if each token may follow the one
         before it, and there is only one such sequence; it is searched with the longest tokens first."""
         if piece in self.whole:
             return [self.whole[piece]]
         size, ids, lengths, pairs = len(piece), self.whole, self.lengths, self.side_by_side
-        out, ends, tries = [-1], [0], [iter(lengths.get(piece[:2], (1,)))]
+        first = piece[:START_BYTES]
+        out, ends, tries = [-1], [0], [iter(lengths.get(first) or self.sizes(first))]
         dead: set[tuple[int, int]] = set()
         while ends[-1] < size:
             start, before = ends[-1], out[-1]
             for length in tries[-1]:
+                if start + length > size:
+                    continue
                 token = ids.get(piece[start:start + length])
-                if token is None or start + length > size or dead and (start + length, token) in dead:
+                if token is None or dead and (start + length, token) in dead:
                     continue
                 ok = before < 0 or pairs.get((before, token))
                 if ok is None:
@@ -182,7 +197,8 @@ class Merges:
                     start += length
                     out.append(token)
                     ends.append(start)
-                    tries.append(iter(lengths.get(piece[start:start + 2], (1,))))
+                    first = piece[start:start + START_BYTES]
+                    tries.append(iter(lengths.get(first) or self.sizes(first)))
                     break
             else:
                 dead.add((ends.pop(), out.pop()))
@@ -200,8 +216,8 @@ class Transducer:
         self.ahead = merges.lookahead()
         self.block = block or max(512, 2 * self.ahead)
         self.pattern, self.settled = regex.compile(PATTERN), regex.compile(SETTLED)
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def long_piece(self, piece: bytes) -> Iterator[int]:
         """Tokens of a piece of any length, in blocks: emitted once ``ahead`` bytes behind them are known."""
@@ -218,13 +234,13 @@ class Transducer:
                 yield token
             start += end
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> Sequence[int]:
         tokens = self.older.get(piece)
         if tokens is None:
             raw = piece.encode()
             if len(raw) > SHORT_BYTES:
                 return list(self.long_piece(raw))
-            tokens = self.merges.tokens(raw)
+            tokens = tuple(self.merges.tokens(raw))
         if len(self.known) >= CACHE_PIECES:
             self.known, self.older = {}, self.known
         self.known[piece] = tokens
@@ -245,9 +261,10 @@ class Transducer:
                 pieces = self.pattern.findall(chunk)
             else:
                 pieces = [chunk[i:j] for _, (i, j) in self.splitter.pre_tokenize_str(chunk)]
-            for piece in pieces:
-                tokens = self.known.get(piece)
-                out.extend(self.piece(piece) if tokens is None else tokens)
+            found = list(map(self.known.get, pieces))
+            if None in found:
+                found = [(self.known.get(piece) or self.piece(piece)) if tokens is None else tokens for piece, tokens in zip(pieces, found)]
+            out.extend(chain.from_iterable(found))
             start = stop
 
     def encode(self, text: str | None) -> list[int]:
@@ -286,7 +303,9 @@ def loaded(path: str) -> Merges:
     return Merges.from_file(path)
 
 
+@lru_cache(maxsize=2)
 def _transducer(path: str) -> Transducer:
+    """One for all tasks of a worker: the tokens of pieces seen before stay known."""
     from tokenizers import pre_tokenizers
 
     return Transducer(loaded(path), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True))
@@ -326,7 +345,8 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", to: str = "
             ids = batch.column(batch.schema.get_field_index(ids_col))
             out = []
             for at in range(batch.num_rows):
-                out.append(machine.text(ids[at].as_py() or []))
+                row = ids[at].values
+                out.append("" if row is None else machine.text(row.to_numpy(zero_copy_only=False).tolist()))
             yield _with(batch, to, pa.array(out, pa.string()))
 
     schema = T.StructType([*tokens.schema.fields, T.StructField(to, T.StringType())])
