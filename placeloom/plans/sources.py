@@ -116,7 +116,7 @@ def positional_records(spark, sf_dir):
         (-80 - k / 10000.0).alias("lon"), F.when(k % 2 == 0, F.create_map(F.lit("kind"), F.col("lang"))).alias("templates"),
         "text", F.array("source").alias("wikilinks"), F.array(F.lit("http://x.org")).alias("ext_links"),
         F.col("n_chars").cast("int").alias("text_length"))
-    ranges.write_json_array(files.article_to_array(records), path)
+    ranges.write_json_array(files.article_to_array(records), path, single=False)
     back = files.article_from_array(ranges.read_json_array(spark, path, 1 << 20))
     return back.select("name", "lat", "lon", F.try_element_at("templates", F.lit("kind")).alias("kind"),
                        F.md5("text").alias("digest"), F.col("wikilinks")[0].alias("link"), "text_length")

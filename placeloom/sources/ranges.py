@@ -153,8 +153,9 @@ def read_json_array(spark: SparkSession, path: str, range_bytes: int = RANGE_BYT
     return _each(spread(ranges.join(known, ["path", "start"]), "path", "start"), _array_elements, "value string")
 
 
-def write_json_array(lines: DataFrame, path: str, column: str = "value") -> None:
-    """One file with one array of the JSON texts in ``column``. A file is written by one task, which streams the rows."""
+def write_json_array(lines: DataFrame, path: str, column: str = "value", single: bool = True) -> None:
+    """One file with one array of the JSON texts in ``column``, written by one task, which streams the rows; not ``single``: a
+    file with an array from each task, so that no task passes the whole table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = True
         for batch in batches:
@@ -164,7 +165,8 @@ def write_json_array(lines: DataFrame, path: str, column: str = "value") -> None
                 first = False
         yield pa.RecordBatch.from_pydict({"value": ["[]" if first else "]"]})
 
-    lines.select(column).coalesce(1).mapInArrow(run, "value string").write.text(path)
+    texts = lines.select(column)
+    (texts.coalesce(1) if single else texts).mapInArrow(run, "value string").write.text(path)
 
 
 # ---- CSV with line breaks in quotes -----------------------------------------------------------------
