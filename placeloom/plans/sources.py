@@ -66,10 +66,10 @@ def xml_articles(spark, sf_dir):
 
 @query("foreign_csv", "SELECT doc_id, md5(text) AS digest, lang FROM documents")
 def foreign_csv(spark, sf_dir):
-    """One CSV file whose texts hold line breaks and quotes, read in byte ranges."""
+    """CSV files whose texts hold line breaks and quotes, one from each task, read in byte ranges."""
     path = scratch_path(spark, "csv")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('"'), "lang", F.lit('",\n'), "text").alias("text"), "lang")
-    docs.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    docs.write.option("header", True).option("escape", '"').csv(path)
     back = files.read_csv(spark, path, "doc_id long, text string, lang string", range_bytes=1 << 20)
     return back.select("doc_id", F.md5(F.expr("substr(text, length(lang) + 5)")).alias("digest"), "lang")
 

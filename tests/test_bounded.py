@@ -18,7 +18,7 @@ def test_json_arrays_are_written_by_many_tasks(spark, tmp_path):
     assert sorted(r.value for r in back.collect()) == sorted(r.value for r in df.collect())
 
 
-@pytest.mark.parametrize("name", ["positional_records"])
+@pytest.mark.parametrize("name", ["foreign_csv", "positional_records"])
 def test_queries_write_a_file_from_each_task(spark, tmp_path, monkeypatch, name):
     docs = spark.range(90).selectExpr("id as doc_id", "concat('a\"b\nc ', id) as text", "'en' as lang", "'s' as source", "cast(9 as long) as n_chars")
     docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
