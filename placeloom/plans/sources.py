@@ -79,14 +79,19 @@ _PART = "'dump-' || lang || (doc_id % 3) || '.xml-p' || doc_id || 'p' || (doc_id
 _FILES = f"(SELECT {_PART} AS file, strlen(text) AS bytes, n_chars AS pages FROM documents WHERE doc_id % 9 <> 0 AND strlen(text) > 0)"
 
 
+FOLDERS = 512
+
+
 def _part_files(spark, sf_dir, which="true"):
-    """Folder that holds a file for each document."""
+    """Folders that hold a file for each document."""
     folder = scratch_path(spark, "parts")
     kind = F.when(F.col("doc_id") % 9 == 0, "-multistream").otherwise("")
     name = F.concat(F.lit("dump-"), "lang", (F.col("doc_id") % 3).cast("string"), kind, F.lit(".xml-p"), F.col("doc_id").cast("string"), F.lit("p"),
                     (F.col("doc_id") + F.col("n_chars")).cast("string"), F.lit(".txt"))
-    ranges.write_files(table(spark, sf_dir, "documents").filter(which).select(name.alias("file"), F.col("text").alias("content")), folder)
-    return folder
+    docs = table(spark, sf_dir, "documents").filter(which).select(
+        name.alias("file"), F.col("text").alias("content"), F.pmod(F.crc32(name), F.lit(FOLDERS)).alias("home"))
+    ranges.write_files(docs, folder, under="home")
+    return [f"{folder}/{home}" for home in range(FOLDERS)]
 
 
 @query("part_listing", f"SELECT file, bytes FROM {_FILES}")

@@ -123,13 +123,18 @@ PART_GLOB = "*.xml-p*"
 OTHER_CONTAINER = "multistream"
 
 
-def list_parts(spark: SparkSession, folder: str, pattern: str = PART_GLOB) -> DataFrame:
-    """``(file, bytes)`` of the dump parts. Only metadata is read: the content column is pruned."""
+def list_parts(spark: SparkSession, folder: str | list[str], pattern: str = PART_GLOB) -> DataFrame:
+    """``(file, bytes)`` of the dump parts in a folder, or in several folders that tasks list. Only metadata is read: the
+    content column is pruned."""
     name = F.element_at(F.split("path", "/"), -1)
-    return ranges.files_in(spark, folder, pattern).select(name.alias("file"), "bytes").filter(
+    return _parts(spark, folder, pattern).select(name.alias("file"), "bytes").filter(
         ~F.contains("file", F.lit(OTHER_CONTAINER)))
 
 
+def _parts(spark: SparkSession, folder: str | list[str], pattern: str) -> DataFrame:
+    return ranges.files_in(spark, folder, pattern) if isinstance(folder, str) else ranges.files_of_folders(spark, folder, pattern)
+
+
 def with_page_counts(parts: DataFrame) -> DataFrame:
     """Add ``mb`` and ``pages``: the last minus the first page number in a name like ``..p10p25.bz2``."""
     ends = [F.regexp_extract("file", r"p(\d+)p(\d+)\.[^.]*$", i).try_cast("long") for i in (1, 2)]
@@ -148,10 +153,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(parts[1].alias("file"), parts[0].alias("md5"))
 
 
-def verify(spark: SparkSession, folder: str, manifest: DataFrame, pattern: str = PART_GLOB) -> DataFrame:
+def verify(spark: SparkSession, folder: str | list[str], manifest: DataFrame, pattern: str = PART_GLOB) -> DataFrame:
     """``(file, status)`` per file of either side: ``ok``, ``differs``, ``missing`` or ``unlisted``. Files of any size are
     streamed through the digest."""
-    found = ranges.file_digests(ranges.files_in(spark, folder, pattern)).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("digest").alias("actual"))
+    found = ranges.file_digests(_parts(spark, folder, pattern)).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("digest").alias("actual"))
     return compare_digests(found, manifest)
 
 

@@ -42,6 +42,30 @@ def files_in(spark: SparkSession, path: str, pattern: str | None = None) -> Data
     return reader.load(path).select("path", F.col("length").alias("bytes"))
 
 
+def files_of_folders(spark: SparkSession, folders: list[str], pattern: str | None = None) -> DataFrame:
+    """``files_in`` of many folders that hold no further folders: each is listed in a task, so neither the driver nor a task
+    sees all files, and no file is a split of its own. Hidden and empty files are left out, as Spark does."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                local = re.sub("^file:/+", "/", folder)
+                system, inside = fs.FileSystem.from_uri(local) if "://" in local else (fs.LocalFileSystem(), local)
+                listed = [f for f in system.get_file_info(fs.FileSelector(inside, allow_not_found=True)) if f.is_file and f.size and f.base_name[0] not in "._"]
+                for at in range(0, len(listed), 10_000):
+                    part = listed[at:at + 10_000]
+                    yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{f.base_name}" for f in part], "bytes": [f.size for f in part]})
+
+    rows = spread(spark.createDataFrame([(f,) for f in folders], "folder string"), "folder", most=128).mapInArrow(run, "path string, bytes long")
+    if not pattern:
+        return rows
+    return rows.filter(F.element_at(F.split("path", "/"), -1).rlike(_as_regex(pattern)))
+
+
+def _as_regex(pattern: str) -> str:
+    """A file name pattern of ``*`` and ``?`` as a regular expression."""
+    return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$"
+
+
 def _ranges(files: DataFrame, size: int) -> DataFrame:
     """``(path, bytes, start, end)``, dealt evenly over tasks."""
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(size).cast("long"))
@@ -297,17 +321,23 @@ def file_digests(files: DataFrame, kind: str = "md5", chunk: int = 4 << 20) -> D
     return files.select("path").repartition(max(1, min(size["n"], tasks)), "path").mapInArrow(run, "path string, digest string")
 
 
-def write_files(rows: DataFrame, folder: str, name: str = "file", content: str = "content") -> None:
-    """A file for each row, in ``folder``; written again under the same name when a task is retried."""
+def write_files(rows: DataFrame, folder: str, name: str = "file", content: str = "content", under: str | None = None) -> None:
+    """A file for each row, in ``folder`` or in its subfolder named by the column ``under``; written again under the same name
+    when a task is retried."""
     target = re.sub("^file:/+", "/", folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inside = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
         system.create_dir(inside, recursive=True)
+        made = set()
         for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with system.open_output_stream(f"{inside}/{file}") as out:
+            homes = batch.column(2).to_pylist() if under else [None] * batch.num_rows
+            for file, data, home in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), homes, strict=True):
+                if under and home not in made:
+                    system.create_dir(f"{inside}/{home}", recursive=True)
+                    made.add(home)
+                with system.open_output_stream(f"{inside}/{home}/{file}" if under else f"{inside}/{file}") as out:
                     out.write(data.encode() if isinstance(data, str) else data)
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, pa.schema([("n", pa.int64())]))
 
-    rows.select(name, content).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    rows.select(name, content, *([under] if under else [])).mapInArrow(run, "n long").agg(F.sum("n")).collect()

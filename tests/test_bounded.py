@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placeloom.plans import sources
-from placeloom.sources import ranges
+from placeloom.sources import files, ranges
 
 
 def test_json_arrays_are_written_by_many_tasks(spark, tmp_path):
@@ -27,3 +27,14 @@ def test_queries_write_a_file_from_each_task(spark, tmp_path, monkeypatch, name)
     found = getattr(sources, name)(spark, str(tmp_path))
     assert len(list((tmp_path / "out").glob("part-*"))) == 3
     assert {r.digest for r in found.collect()} == {r.d for r in docs.select(F.md5("text").alias("d")).collect()} and found.count() == 90
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(f"dump-{i}.xml-p{i}p9.txt", "x" * i, i % 3) for i in range(40)] + [("other.txt", "x", 1), ("_a.xml-p1p2.txt", "x", 1)], "file string, content string, home int")
+    ranges.write_files(rows, str(tmp_path / "f"), under="home")
+    folders = [str(tmp_path / "f" / str(i)) for i in range(4)]  # one does not exist
+    found = files.list_parts(spark, folders)
+    want = {(f"dump-{i}.xml-p{i}p9.txt", i) for i in range(1, 40)}
+    assert {tuple(r) for r in found.collect()} == want
+    (tmp_path / "f" / "3").mkdir()
+    assert {tuple(r) for r in files.list_parts(spark, str(tmp_path / "f" / "*")).collect()} == want
