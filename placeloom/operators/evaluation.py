@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import accumulate
 from multiprocessing.pool import ThreadPool
 
@@ -23,6 +24,7 @@ NOT_FEATURES = ["_id", *ZONE_COLUMNS, "SALEDATE", "SALEPRICE", "FAIRMARKETTOTAL"
                 "SALEYEAR", "DISTRICT"]
 
 FOLDS_AT_ONCE = 4
+GROUP_ROWS = 1_000_000
 
 Maker = Callable[[DataFrame], object]
 
@@ -49,8 +51,43 @@ def ridge(alpha: float = 1.0) -> Maker:
     return gram.Linear(l2=alpha)
 
 
+@dataclass(frozen=True)
+class Trees:
+    """Gradient-boosted trees. Called with training rows, an unfitted Spark ML estimator."""
+
+    rounds: int
+    depth: int
+    seed: int
+
+    def __call__(self, train: DataFrame) -> GBTRegressor:
+        weight = {"weightCol": "_weight"} if "_weight" in train.columns else {}
+        return GBTRegressor(labelCol="y", maxIter=self.rounds, maxDepth=self.depth, seed=self.seed, **weight)
+
+    def merged(self, train: DataFrame) -> DataFrame:
+        """The training rows of a large table, ready for the many scans of a fit.
+
+        Rows with equal features are one row with their mean label and their number as weight: squared error differs
+        between splits only by sums over such rows, so they make the same trees. Where hardly any are equal, the rows
+        are dealt to tasks of ``GROUP_ROWS``."""
+        found = train.agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64(vector_to_array("features"))).alias("kinds")).first()
+        if found["n"] <= GROUP_ROWS:
+            return train
+        if found["kinds"] * 2 > found["n"]:
+            return train.select("y", "features").repartition(-(-found["n"] // GROUP_ROWS))
+        # a row without label stays an error
+        label = F.when(F.count("y") == F.count("*"), F.avg("y"))
+        return train.groupBy("features").agg(label.alias("y"), F.count("*").cast("double").alias("_weight"))
+
+
 def boosted_trees(rounds: int = 20, depth: int = 5, seed: int = 42) -> Maker:
-    return lambda train: GBTRegressor(labelCol="y", maxIter=rounds, maxDepth=depth, seed=seed)
+    return Trees(rounds, depth, seed)
+
+
+def fitted(make: Maker, train: DataFrame):
+    """The model that ``make`` fits to the training rows."""
+    if isinstance(make, Trees):
+        train = make.merged(train)
+    return make(train).fit(train)
 
 
 def assembled(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
@@ -99,7 +136,7 @@ def fit_fold(
         scaled = df.withColumns({c: (F.col(f"`{c}`") - mean) / std for c in used})
     rows = assembled(scaled.select(*keep, "fold", "y", *used), used).select(*keep, "fold", "y", "features")
     train = rows.filter(in_train)
-    model = make(train).fit(train)
+    model = fitted(make, train)
     scores = model.coefficients if hasattr(model, "coefficients") else model.featureImportances
     names = [n for c in used for n in vector_names.get(c, [c])]
     importance = [(str(fold), c, float(v)) for c, v in zip(names, scores.toArray(), strict=True)]
@@ -246,7 +283,7 @@ def eliminate_features(
         if len(left) <= at_least:
             break
         rows = assembled(df.select("y", *left), left)
-        model = make(rows).fit(rows)
+        model = fitted(make, rows)
         scores = model.coefficients if hasattr(model, "coefficients") else model.featureImportances
         ranked = sorted(zip(left, map(abs, scores.toArray())), key=lambda x: x[1], reverse=True)
         keep = max(at_least, len(left) - step)

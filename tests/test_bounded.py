@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from placeloom.operators import evaluation
 from placeloom.plans import sources
 from placeloom.sources import files, ranges
 
@@ -38,3 +39,22 @@ def test_folders_are_listed_by_tasks(spark, tmp_path):
     assert {tuple(r) for r in found.collect()} == want
     (tmp_path / "f" / "3").mkdir()
     assert {tuple(r) for r in files.list_parts(spark, str(tmp_path / "f" / "*")).collect()} == want
+
+
+@pytest.fixture
+def lines(spark):
+    return spark.range(6000, numPartitions=3).selectExpr(
+        "id as _id", "cast(id % 3 as string) as fold", "cast(id % 5 as double) as a", "cast(id % 4 = 0 as int) as b_1", "cast((id * 37) % 101 + id % 5 as double) as y")
+
+
+def test_trees_from_merged_rows_are_the_same(lines, monkeypatch):
+    rows = evaluation.assembled(lines, ["a", "b_1"])
+    maker = evaluation.boosted_trees(rounds=3, depth=2)
+    plain = {tuple(r.features): r.prediction for r in maker(rows).fit(rows).transform(rows).collect()}
+    monkeypatch.setattr(evaluation, "GROUP_ROWS", 1000)
+    merged = maker.merged(rows)
+    assert merged.count() == 10 and merged.agg(F.sum("_weight")).first()[0] == 6000
+    found = {tuple(r.features): r.prediction for r in evaluation.fitted(maker, rows).transform(rows).collect()}
+    assert found == pytest.approx(plain)
+    assert maker.merged(evaluation.assembled(lines, ["y", "_id"])).rdd.getNumPartitions() == 6
+    assert maker.merged(rows.withColumn("y", F.when(F.col("_id") > 0, F.col("y")))).filter("y is null").count() == 1
