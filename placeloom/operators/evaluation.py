@@ -145,17 +145,18 @@ def fit_fold(
 
 def leave_one_out(
     df: DataFrame, folds: list, make: Maker, columns: list[str], keep: list[str], standardize: bool = False,
-    vector_names: dict[str, list[str]] | None = None,
+    vector_names: dict[str, list[str]] | None = None, repeated: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Predict every fold from all the others.
 
     ``df`` has ``fold``, ``y``, the feature ``columns`` and the ``keep`` columns. Returns the predictions of
-    all rows (with ``error``) and ``(fold, feature, importance)``. Linear models are fitted from sums that one scan gives
+    all rows (with ``error``) and ``(fold, feature, importance)``. ``repeated``: the features take few different values
+    together (see :func:`gram.moments_by_fold`). Linear models are fitted from sums that one scan gives
     for all folds. For other models the table is written once; folds are fitted a few at a time so that small ones do not
     leave the cluster idle.
     """
     if isinstance(make, gram.Linear):
-        return linear_folds(df, folds, make, columns, keep, standardize, vector_names)
+        return linear_folds(df, folds, make, columns, keep, standardize, vector_names, repeated)
     table = write_once(df.select(*dict.fromkeys([*keep, "fold", "y", *columns])), "folds")
     with ThreadPool(FOLDS_AT_ONCE) as pool:
         fitted = pool.map(lambda f: fit_fold(table, f, make, columns, keep, standardize, vector_names), folds)
@@ -169,7 +170,7 @@ def leave_one_out(
 
 def linear_folds(
     df: DataFrame, folds: list, model: gram.Linear, columns: list[str], keep: list[str], standardize: bool = False,
-    vector_names: dict[str, list[str]] | None = None,
+    vector_names: dict[str, list[str]] | None = None, repeated: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """``leave_one_out`` for linear models: one scan for all fits, one for the predictions."""
     folds = [str(f) for f in folds]
@@ -178,7 +179,7 @@ def linear_folds(
         df = df.withColumns({c: vector_to_array(c) for c in wide})
     sources, columns = columns, [n for c in columns for n in (vector_names or {}).get(c, [c])]
     flags = flag_columns([c for c in sources if c not in wide])
-    moments, sums = gram.moments_by_fold(df, folds, sources, flags, wide)
+    moments, sums = gram.moments_by_fold(df, folds, sources, flags, wide, repeated)
     ends = list(accumulate((wide.get(c, 1) for c in sources), initial=0))
     plain = {i for i, c in zip(ends, sources) if c not in wide}  # a term may be called like a column
     weights, importance = [], []
@@ -206,9 +207,11 @@ def linear_folds(
     return metrics.residuals(scored), spark.createDataFrame(importance, "fold string, feature string, importance double")
 
 
-def cross_validation(df: DataFrame, make: Maker, columns: list[str], k: int = 5, key: str = "_id", seed: int = 42):
+def cross_validation(
+    df: DataFrame, make: Maker, columns: list[str], k: int = 5, key: str = "_id", seed: int = 42, repeated: bool = False,
+):
     """Measures per random fold: ``(per_fold, summary)``."""
-    pred, _ = leave_one_out(k_folds(df, key, k, seed), [str(i) for i in range(k)], make, columns, [key])
+    pred, _ = leave_one_out(k_folds(df, key, k, seed), [str(i) for i in range(k)], make, columns, [key], repeated=repeated)
     per_fold = metrics.measures(pred, ["fold"])
     return per_fold, metrics.mean_and_spread(per_fold)
 
@@ -222,7 +225,8 @@ def zone_sweep(
     for zone in zones:
         encoded = cleaning.one_hot(df.select(key, "y", *columns, zone), [zone])
         features = [c for c in encoded.columns if c not in (key, "y")]
-        summaries[zone] = cross_validation(encoded, make, features, k, key, seed)[1]
+        # a zone's 0/1 columns alone take as many values together as the zone
+        summaries[zone] = cross_validation(encoded, make, features, k, key, seed, repeated=not columns)[1]
     return metrics.results_table(summaries)
 
 

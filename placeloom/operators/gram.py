@@ -92,12 +92,15 @@ def lasso_path(q: np.ndarray, c: np.ndarray, label: float, l1: float, l2: float
 
 def moments_by_fold(
     df: DataFrame, folds: list[str], columns: list[str], exact: list[str] | None = None, wide: dict[str, int] | None = None,
+    repeated: bool = False,
 ) -> tuple[dict[str, Moments], dict[str, np.ndarray]]:
     """For each of ``folds``: moments of all rows outside it, and for each column of ``exact`` the sums of its values and of
     their squares outside it (2 x columns).
 
     ``df`` has ``fold``, ``y`` and the feature ``columns``. Rows of other folds train every fold; rows without a fold
     take no part. ``wide`` names the columns that hold arrays and their lengths; each entry is a feature, in place.
+    ``repeated`` (without ``wide``): rows of a fold with equal features are first summed up to one, which pays where the
+    features take few different values together.
     """
     exact, wide = exact or [], wide or {}
     names = [*columns, "y"]
@@ -129,14 +132,33 @@ def moments_by_fold(
         # each task hands over its sums, as large as the square of the width: no more of them than tasks at once
         rows = rows.coalesce(df.sparkSession.sparkContext.defaultParallelism)
 
+    if repeated:
+        label = f"c{len(names) - 1}"
+        off = F.col(label) - float(shift[-1])
+        known = F.count(label) == F.count("*")  # a row without label stays an error
+        rows = rows.groupBy("fold", *[f"c{i}" for i in range(len(names) - 1)]).agg(
+            F.when(known, F.sum(off)).alias(label), F.when(known, F.sum(off * off)).alias("_yy"), F.count("*").cast("double").alias("_n"))
+
+    def sums_of(batch: pa.RecordBatch, rows_of: np.ndarray) -> np.ndarray:
+        """Cross products of rows that stand for several: count, features, sum and squares of the label."""
+        *features, y, yy, n = (c.to_numpy(zero_copy_only=False)[rows_of] for c in batch.columns[1:])
+        x = np.column_stack([np.ones(len(n)), *features])
+        x[:, 1:] -= shift[:-1]
+        side = (x.T @ y)[:, None]
+        return np.block([[x.T @ (x * n[:, None]), side], [side.T, yy.sum()]])
+
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
+            at = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+            if repeated:
+                for fold in np.unique(at[at >= 0]):
+                    sums[fold] = sums.get(fold, 0) + sums_of(batch, at == fold)
+                continue
             values = np.column_stack([np.ones(batch.num_rows), *columns_of(batch)])
             values[:, 1:] -= shift
-            at = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             for fold in np.unique(at[at >= 0]):
                 part = values[at == fold]
                 sums[fold] = sums.get(fold, 0) + part.T @ part

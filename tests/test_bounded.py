@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from placeloom.operators import evaluation
+from placeloom.operators import evaluation, gram
 from placeloom.plans import sources
 from placeloom.sources import files, ranges
 
@@ -58,3 +58,15 @@ def test_trees_from_merged_rows_are_the_same(lines, monkeypatch):
     assert found == pytest.approx(plain)
     assert maker.merged(evaluation.assembled(lines, ["y", "_id"])).rdd.getNumPartitions() == 6
     assert maker.merged(rows.withColumn("y", F.when(F.col("_id") > 0, F.col("y")))).filter("y is null").count() == 1
+
+
+def test_moments_of_summed_rows(lines):
+    folds = ["0", "1"]
+    plain, sums = gram.moments_by_fold(lines, folds, ["a", "b_1"], ["b_1"])
+    found, found_sums = gram.moments_by_fold(lines, folds, ["a", "b_1"], ["b_1"], repeated=True)
+    for fold in folds:
+        assert found[fold].n == plain[fold].n
+        assert found[fold].mean == pytest.approx(plain[fold].mean) and found[fold].cross == pytest.approx(plain[fold].cross)
+        assert (found_sums[fold] == sums[fold]).all()
+    with pytest.raises(ValueError):
+        gram.moments_by_fold(lines.withColumn("y", F.when(F.col("_id") != 3, F.col("y"))), folds, ["a"], repeated=True)
