@@ -146,3 +146,23 @@ def test_long_runs_are_read_in_linear_time():
         spans.coordinate_tags(text)
         spans.box_and_rest(text)
         assert time.time() - start < 6
+
+
+def test_few_articles_are_held_as_python_strings():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from placeloom.functions import spans
+
+    page = "{{Infobox place|name=N}} {{coord|40.5|-80.25}} " + "words " * 2000
+    texts = pa.array([page, None, "", "{{coord |1|2}}"] + [page] * 2000)
+    tracemalloc.start()
+    found = [getattr(f, "func", f)(texts) for f in (spans.coordinate_tags_of, spans.box_and_rest_of)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8e6  # all strings at once take 24 MB and more
+    for column, cut in zip(found, (spans.coordinate_tags, spans.box_and_rest)):
+        assert [tuple(row.values()) for row in column[:5].to_pylist()] == [
+            (None, None) if t is None else cut(t) for t in texts[:5].to_pylist()]
+        assert len(column) == len(texts)
