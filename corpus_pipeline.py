@@ -41,7 +41,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    tokens = bpe.decode(bpe.encode(docs, path), path)
+    tokens = bpe.coded(docs, path)
     return tokens.select(
         "doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

@@ -353,11 +353,33 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", to: str = "
     return tokens.mapInArrow(run, schema)
 
 
+def coded(docs: DataFrame, path: str, text_col: str = "text", ids: str = "token_ids", to: str = "decoded") -> DataFrame:
+    """``docs`` with the columns that ``encode`` and ``decode`` add, in one pass: one Python worker a task holds the token
+    list and the known pieces, not two, and the ids need not be sent back."""
+    docs = docs.drop(ids, to)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, machine = _transducer(path), TextMachine(loaded(path).bytes_of)
+        for batch in batches:
+            texts, start, ends, flat, back = batch.column(batch.schema.get_field_index(text_col)), 0, [0], [], []
+            for at in range(batch.num_rows):
+                own = work.encode(texts[at].as_py())
+                flat.extend(own)
+                back.append(machine.text(own))
+                ends.append(len(flat))
+                if len(flat) >= YIELD_TOKENS or at == batch.num_rows - 1:
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+                    yield _with(_with(batch.slice(start, at + 1 - start), ids, lists), to, pa.array(back, pa.string()))
+                    start, ends, flat, back = at + 1, [0], [], []
+
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(to, T.StringType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: token count, digest of its ids and digest of the text that the ids decode to."""
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    tokens = encode(rows, path, "_text", "_ids").drop("_text")
-    return decode(tokens, path, "_ids", "_decoded").select(
+    return coded(rows, path, "_text", "_ids", "_decoded").select(
         id_col,
         F.size("_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("_ids").cast("array<string>")), 256).alias("ids_sha256"),
