@@ -12,8 +12,10 @@ the lower end of its class also gets the keys of the class below.
 Links. Sets that are equal are one class. In each key the class with the smallest hash is paired with the others, pairs
 that pass the count bound are verified on the sets, and components are formed. Then, only for keys that still
 hold several components, members are dealt to bounded blocks and each pair of blocks is searched with a tree over the
-points (R-tree: packed nodes with coordinate maxima, descended in pairs while the bound allows). Large families of
-near copies thus cost a line, not a square, and no pair across components is left untested.
+points (R-tree: packed nodes with coordinate maxima, descended in pairs while the bound allows). A task hands out
+no more pairs than it has members; where there are more, what they connect goes, as one family, to a task that verifies
+them on the sets and hands out a link only if it joins two components that no link of the family has joined. Large groups
+of near copies thus give a line of rows, not a square, and no pair across components is left untested.
 
 Rows: null, empty and wordless texts have no shingles and link with nothing; a text with fewer words than a
 shingle has its whole word sequence as one. Equal texts and repeated rows share a class. Null ids take part but
@@ -26,7 +28,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -43,6 +44,7 @@ FINE = 1 << 40  # finer groups, whose counts within a block make its key
 FACTOR = 1.5
 FAN = 16  # children of a tree node
 BLOCK = 512  # members of a key that are searched together
+BLOCK_SHINGLES = 1 << 21  # and their shingles in all
 ODD = 0x9E3779B97F4A7C15
 _ODD = np.uint64(ODD)
 
@@ -194,12 +196,11 @@ def _bounded(pairs: DataFrame, points: DataFrame, threshold: float) -> DataFrame
     return joined.mapInArrow(run, "_a long, _b long")
 
 
-def _sets(rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """``_class`` and ``_set`` for the classes in ``pairs``, from a scan of the texts.
+def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``_class`` and ``_set`` for the classes in ``wanted`` (``_class``), from a scan of the texts.
 
     The scan drops most other sets by a bitmap of fixed size; what it lets through too much only costs its way.
     """
-    wanted = pairs.select(F.explode(F.array("_a", "_b")).alias("_class"))
     shared = rows.sparkSession.sparkContext.broadcast(bitmaps.of(wanted, "_class"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,17 +218,18 @@ def _sets(rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     return write_once(found.groupBy("_class").agg(F.first("_set").alias("_set")), "sets")
 
 
+def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two sets, sorted and without repeats, link."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= round(threshold * 100) * (len(a) + len(b) - both)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose sets link."""
-    percent = round(threshold * 100)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column("_sa"), batch.column("_sb")):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * both >= percent * (len(a) + len(b) - both))
+            sides = zip(batch.column("_sa"), batch.column("_sb"))
+            good = [linked(*(np.frombuffer(side.as_buffer(), np.uint64) for side in pair), threshold) for pair in sides]
             yield batch.select(["_a", "_b"]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("_class").alias("_b"), F.col("_set").alias("_sb")), "_b").join(
@@ -254,21 +256,89 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """From ``_key``, ``_class``, ``_root``, ``_n``, ``_point``: pairs of different roots within a key that may link."""
-    sizes = members.groupBy("_key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    dealt = members.join(sizes, "_key").withColumn("_mine", F.pmod(F.xxhash64("_class"), F.col("_blocks")).cast("int"))
+class Parts:
+    """Disjoint sets of numbers."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def top(self, part: int) -> int:
+        above = self.above
+        while (up := above.get(part, part)) != part:
+            above[part] = part = above.get(up, up)
+        return part
+
+    def join(self, one: int, two: int) -> None:
+        self.above[self.top(one)] = self.top(two)
+
+
+def families(classes: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+    """Of the members that stand in a pair of indexes: digest of the family that pairs connect, and index."""
+    tied = Parts()
+    for i, j in zip(*(side.tolist() for side in pairs)):
+        tied.join(i, j)
+    held: dict[int, list[int]] = {}
+    for i in np.unique(np.concatenate(pairs)).tolist():
+        held.setdefault(tied.top(i), []).append(i)
+    names, at = [], []
+    for own in held.values():
+        names += [xxhash.xxh3_128_digest(np.sort(classes[own]).tobytes())] * len(own)
+        at += own
+    return names, np.array(at, np.int64)
+
+
+def joining_links(sets: list[np.ndarray], parts: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between the sets that join their parts as far as all links would, each joining two parts: a line, no square."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)) * GROUPS, sizes)
+    groups = (np.concatenate(sets) % np.uint64(GROUPS)).astype(np.int64)
+    points = np.bincount(owner + groups, minlength=len(sets) * GROUPS).astype(np.int32).reshape(-1, GROUPS)
+    joined, out = Parts(), []
+    for i, j in zip(*(side.tolist() for side in tree_pairs(points, sizes, parts, threshold))):
+        one, two = joined.top(int(parts[i])), joined.top(int(parts[j]))
+        if one != two and linked(sets[i], sets[j], threshold):
+            joined.join(one, two)
+            out.append((i, j))
+    return out
+
+
+def _families(members: DataFrame, threshold: float) -> DataFrame:
+    """From ``_key``, ``_class``, ``_root``, ``_n``, ``_point``: what may link, as ``_family``, ``_one``, ``_two``.
+
+    Where a pair of blocks has no more such pairs of different roots than members, they are the rows: null and two
+    classes. Elsewhere the pairs connect families, and a row is a family, a class and its root. Neither is more than a row
+    for each member, and what several keys hold is given once.
+    """
+    dealt = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("_n") / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("_key").agg(dealt.alias("_blocks"))
+    mine = members.join(sizes, "_key").withColumn("_mine", F.pmod(F.xxhash64("_class"), F.col("_blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    sides = dealt.withColumn("_with", others).select(
+    sides = mine.withColumn("_with", others).select(
         "_key", "_class", "_root", "_n", "_point", F.least("_mine", "_with").alias("_i"), F.greatest("_mine", "_with").alias("_j"))
 
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        points = np.frombuffer(b"".join(part["_point"]), np.int32).reshape(-1, GROUPS)
-        a, b = tree_pairs(points, part["_n"].to_numpy(), part["_root"].to_numpy(), threshold)
-        classes = part["_class"].to_numpy()
-        return pd.DataFrame({"_a": np.minimum(classes[a], classes[b]), "_b": np.maximum(classes[a], classes[b])})
+    def search(part: pa.Table) -> pa.Table:
+        points = np.frombuffer(b"".join(part["_point"].to_pylist()), np.int32).reshape(-1, GROUPS)
+        classes, roots = part["_class"].to_numpy(), part["_root"].to_numpy()
+        a, b = tree_pairs(points, part["_n"].to_numpy(), roots, threshold)
+        if len(a) <= len(classes):
+            names, one, two = [None] * len(a), np.minimum(classes[a], classes[b]), np.maximum(classes[a], classes[b])
+        else:
+            names, at = families(classes, (a, b))
+            one, two = classes[at], roots[at]
+        return pa.table({"_family": pa.array(names, pa.binary()), "_one": one, "_two": two})
+
+    return sides.groupBy("_key", "_i", "_j").applyInArrow(search, "_family binary, _one long, _two long").distinct()
+
+
+def _joining(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links ``_a``, ``_b`` that join different roots of a family, verified on the sets: fewer than it has members."""
+    def search(part: pa.Table) -> pa.Table:
+        held = [np.frombuffer(s.as_buffer(), np.uint64) for s in part["_set"]]
+        links = joining_links(held, part["_root"].to_numpy(), threshold)
+        ends = part["_class"].to_numpy()[np.array(links, np.int64).reshape(-1, 2)]
+        return pa.table({"_a": ends.min(1), "_b": ends.max(1)})
 
-    return sides.groupBy("_key", "_i", "_j").applyInPandas(search, "_a long, _b long").distinct()
+    return members.join(sets, "_class").groupBy("_family").applyInArrow(search, "_a long, _b long")
 
 
 def _keys_in(found: DataFrame, shared: DataFrame) -> DataFrame:
@@ -305,7 +375,8 @@ def near_duplicates(
     centres = members.groupBy("_key").agg(centre.alias("_m")).select("_key", F.col("_m.c").alias("_a"))
     stars = members.join(centres, "_key").filter("_class <> _a").select("_a", F.col("_class").alias("_b")).distinct()
     stars = write_once(_bounded(stars, points, threshold), "stars")
-    links = write_once(_verified(stars, _sets(texts, stars, n), threshold), "links")
+    ends = stars.select(F.explode(F.array("_a", "_b")).alias("_class"))
+    links = write_once(_verified(stars, _sets(texts, ends, n), threshold), "links")
     labels = components(links)
 
     own = F.coalesce("_root", "_class").alias("_root")
@@ -315,9 +386,13 @@ def near_duplicates(
     mixed_keys = placed.groupBy("_key").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"), *alike).filter("_low <> _high")
     once = mixed_keys.groupBy("_s1", "_s2").agg(F.min("_key").alias("_key")).select("_key")
     open_keys = placed.join(once, "_key").join(points, "_class")
-    rest = write_once(_cross_pairs(open_keys, threshold), "rest")
-    if not rest.isEmpty():
-        more = write_once(_verified(rest, _sets(texts, rest, n), threshold), "links")
+    related = write_once(_families(open_keys, threshold), "families")
+    if not related.isEmpty():
+        pairs = related.filter("_family is null").select(F.col("_one").alias("_a"), F.col("_two").alias("_b"))
+        crowds = related.filter("_family is not null").select("_family", F.col("_one").alias("_class"), F.col("_two").alias("_root"))
+        ends = pairs.select(F.explode(F.array("_a", "_b")).alias("_class")).union(crowds.select("_class"))
+        sets = _sets(texts, ends, n)
+        more = write_once(_verified(pairs, sets, threshold).union(_joining(crowds, sets, threshold)), "rest")
         if not more.isEmpty():
             labels = components(links.union(more))
 

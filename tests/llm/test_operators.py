@@ -376,6 +376,16 @@ def test_bpe(docs, texts):
     assert bpe.decode(bpe.encode(docs, path), path).columns == [*docs.columns, "token_ids", "decoded"]
 
 
+def test_bpe_in_one_pass(docs):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    rows = bpe.coded(docs, path)
+    assert rows.columns == [*docs.columns, "token_ids", "decoded"]
+    assert collect(rows) == collect(bpe.decode(bpe.encode(docs, path), path))
+    plan = bpe.round_trip(docs, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # each such node is a Python worker more in every task
+
+
 def test_bpe_in_small_blocks():
     P = pytest.importorskip("public_tokenizers")
     merges = bpe.loaded(P.path("byte_bpe_50k.json"))
@@ -458,3 +468,44 @@ def test_empty_tables(spark, no_docs):
     assert warc_fixity.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     P = pytest.importorskip("public_tokenizers")
     assert bpe.round_trip(no_docs, P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_links_of_a_hot_key_are_a_line(spark, monkeypatch):
+    # two families whose members nearly all link and share keys; one centre cannot settle them
+    rng = random.Random(2)
+    rows = []
+    for kin in range(2):
+        words = [f"w{rng.random()}" for _ in range(300)]
+        for i in range(60):
+            own = list(words)
+            for at in rng.sample(range(300), 2 if i % 2 else 4):
+                own[at] = f"v{i}"
+            rows.append((1000 * kin + i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    count_tree_once, sizes = count_tree.write_once, {}
+
+    def once(table, label):
+        out = count_tree_once(table, label)
+        sizes.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(count_tree, "write_once", once)
+    assert collect(count_tree.near_duplicates(df)) == brute_components(rows, 3, 90)
+    assert sum(sizes["families"]) <= 2 * sizes["members"][0]  # a row for a member, not one for each pair that may link
+
+
+def test_joining_links():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[8:], rng.integers(0, 1 << 62, 8).astype(np.uint64)))) for _ in range(100)]
+    sets += [np.unique(rng.integers(0, 1 << 62, 200).astype(np.uint64)) for _ in range(10)]
+    parts = np.arange(110)
+    assert len(count_tree.tree_pairs(np.ones((110, 1), np.int32) * 200, np.full(110, 200), parts, 0.9)[0]) == 110 * 109 // 2
+    links = count_tree.joining_links(sets, parts, 0.9)
+    assert len(links) == 99 and all(count_tree.linked(sets[i], sets[j], 0.9) for i, j in links)
+    assert {i for pair in links for i in pair} == set(range(100))
+    parts[50:100] = 7
+    links = count_tree.joining_links(sets, parts, 0.9)
+    assert len(links) == 49 and all(parts[i] != parts[j] for i, j in links)
