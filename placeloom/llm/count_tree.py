@@ -12,10 +12,11 @@ the lower end of its class also gets the keys of the class below.
 Links. Sets that are equal are one class. In each key the class with the smallest hash is paired with the others, pairs
 that pass the count bound are verified on the sets, and components are formed. Then, only for keys that still
 hold several components, members are dealt to bounded blocks and each pair of blocks is searched with a tree over the
-points (R-tree: packed nodes with coordinate maxima, descended in pairs while the bound allows). A task hands out
-no more pairs than it has members; where there are more, what they connect goes, as one family, to a task that verifies
-them on the sets and hands out a link only if it joins two components that no link of the family has joined. Large groups
-of near copies thus give a line of rows, not a square, and no pair across components is left untested.
+points (R-tree: packed nodes with coordinate maxima, descended in pairs while the bound allows). A task hands out what
+such pairs connect as stars, fewer rows than it has members. What the stars of all keys connect is one family, so a class
+is in one family only and its set moves once, not once for each key; families above a block are dealt to blocks again. A
+task verifies a family on the sets and hands out a link only if it joins two components that no link of the family has
+joined. Large groups of near copies thus give a line of rows, not a square, and no pair across components is left untested.
 
 Rows: null, empty and wordless texts have no shingles and link with nothing; a text with fewer words than a
 shingle has its whole word sequence as one. Equal texts and repeated rows share a class. Null ids take part but
@@ -45,6 +46,7 @@ FACTOR = 1.5
 FAN = 16  # children of a tree node
 BLOCK = 512  # members of a key that are searched together
 BLOCK_SHINGLES = 1 << 21  # and their shingles in all
+PAIRS_AT_ONCE = 1 << 13  # pairs of points or boxes that are compared in one step
 ODD = 0x9E3779B97F4A7C15
 _ODD = np.uint64(ODD)
 
@@ -66,6 +68,11 @@ def class_of(shingles: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63) if len(shingles) else None
 
 
+def point(shingles: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles by group."""
+    return np.bincount((shingles % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+
+
 def size_class(n: int) -> tuple[int, int]:
     """Class of a set size and the greatest size in it."""
     number, top = 0, 8
@@ -138,9 +145,9 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, thresho
     for depth in range(len(levels) - 1, -1, -1):
         top, low = levels[depth]
         keep = np.zeros(len(a), bool)
-        for start in range(0, len(a), 1 << 16):
-            i, j = a[start:start + (1 << 16)], b[start:start + (1 << 16)]
-            keep[start:start + (1 << 16)] = np.minimum(top[i], top[j]).sum(1) >= enough(low[i], low[j], threshold)
+        for start in range(0, len(a), PAIRS_AT_ONCE):
+            i, j = a[start:start + PAIRS_AT_ONCE], b[start:start + PAIRS_AT_ONCE]
+            keep[start:start + PAIRS_AT_ONCE] = np.minimum(top[i], top[j]).sum(1) >= enough(low[i], low[j], threshold)
         a, b = a[keep], b[keep]
         if depth:
             below = len(levels[depth - 1][1])
@@ -164,7 +171,7 @@ def _points(rows: DataFrame, n: int, threshold: float) -> DataFrame:
                 sizes.append(len(shingles))
                 classes.append(class_of(shingles))
                 if len(shingles):
-                    points.append(np.bincount((shingles % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
+                    points.append(point(shingles).tobytes())
                     keys.append(block_keys(shingles, threshold))
                 else:
                     points.append(None)
@@ -272,27 +279,25 @@ class Parts:
         self.above[self.top(one)] = self.top(two)
 
 
-def families(classes: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[list[bytes], np.ndarray]:
-    """Of the members that stand in a pair of indexes: digest of the family that pairs connect, and index."""
+def spanning(classes: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What pairs of indexes connect, as edges from the smallest class of each group to its others."""
     tied = Parts()
     for i, j in zip(*(side.tolist() for side in pairs)):
         tied.join(i, j)
-    held: dict[int, list[int]] = {}
-    for i in np.unique(np.concatenate(pairs)).tolist():
-        held.setdefault(tied.top(i), []).append(i)
-    names, at = [], []
-    for own in held.values():
-        names += [xxhash.xxh3_128_digest(np.sort(classes[own]).tobytes())] * len(own)
-        at += own
-    return names, np.array(at, np.int64)
+    least: dict[int, int] = {}
+    at = np.unique(np.concatenate(pairs)).tolist()
+    for i in at:
+        own = tied.top(i)
+        least[own] = min(least.get(own, int(classes[i])), int(classes[i]))
+    centre = np.array([least[tied.top(i)] for i in at], np.int64)
+    others = classes[at] if at else centre
+    return centre[centre != others], others[centre != others]
 
 
 def joining_links(sets: list[np.ndarray], parts: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Links between the sets that join their parts as far as all links would, each joining two parts: a line, no square."""
     sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)) * GROUPS, sizes)
-    groups = (np.concatenate(sets) % np.uint64(GROUPS)).astype(np.int64)
-    points = np.bincount(owner + groups, minlength=len(sets) * GROUPS).astype(np.int32).reshape(-1, GROUPS)
+    points = np.array([point(s) for s in sets])
     joined, out = Parts(), []
     for i, j in zip(*(side.tolist() for side in tree_pairs(points, sizes, parts, threshold))):
         one, two = joined.top(int(parts[i])), joined.top(int(parts[j]))
@@ -302,43 +307,39 @@ def joining_links(sets: list[np.ndarray], parts: np.ndarray, threshold: float) -
     return out
 
 
-def _families(members: DataFrame, threshold: float) -> DataFrame:
-    """From ``_key``, ``_class``, ``_root``, ``_n``, ``_point``: what may link, as ``_family``, ``_one``, ``_two``.
-
-    Where a pair of blocks has no more such pairs of different roots than members, they are the rows: null and two
-    classes. Elsewhere the pairs connect families, and a row is a family, a class and its root. Neither is more than a row
-    for each member, and what several keys hold is given once.
-    """
+def _in_blocks(members: DataFrame, group: str) -> DataFrame:
+    """The rows of each pair of blocks ``_i``, ``_j`` of a group, the members dealt to blocks of bounded size."""
     dealt = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("_n") / BLOCK_SHINGLES)).cast("int")
-    sizes = members.groupBy("_key").agg(dealt.alias("_blocks"))
-    mine = members.join(sizes, "_key").withColumn("_mine", F.pmod(F.xxhash64("_class"), F.col("_blocks")).cast("int"))
+    sizes = members.groupBy(group).agg(dealt.alias("_blocks"))
+    mine = members.join(sizes, group).withColumn("_mine", F.pmod(F.xxhash64("_class"), F.col("_blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    sides = mine.withColumn("_with", others).select(
-        "_key", "_class", "_root", "_n", "_point", F.least("_mine", "_with").alias("_i"), F.greatest("_mine", "_with").alias("_j"))
+    return mine.withColumn("_with", others).select(
+        *members.columns, F.least("_mine", "_with").alias("_i"), F.greatest("_mine", "_with").alias("_j"))
+
 
+def _near(members: DataFrame, threshold: float) -> DataFrame:
+    """From ``_key``, ``_class``, ``_root``, ``_n``, ``_point``: edges ``_a``, ``_b`` that connect what may link. A pair of
+    blocks gives fewer than it has members, and what several keys hold is given once."""
     def search(part: pa.Table) -> pa.Table:
         points = np.frombuffer(b"".join(part["_point"].to_pylist()), np.int32).reshape(-1, GROUPS)
-        classes, roots = part["_class"].to_numpy(), part["_root"].to_numpy()
-        a, b = tree_pairs(points, part["_n"].to_numpy(), roots, threshold)
-        if len(a) <= len(classes):
-            names, one, two = [None] * len(a), np.minimum(classes[a], classes[b]), np.maximum(classes[a], classes[b])
-        else:
-            names, at = families(classes, (a, b))
-            one, two = classes[at], roots[at]
-        return pa.table({"_family": pa.array(names, pa.binary()), "_one": one, "_two": two})
+        pairs = tree_pairs(points, part["_n"].to_numpy(), part["_root"].to_numpy(), threshold)
+        one, two = spanning(part["_class"].to_numpy(), pairs)
+        return pa.table({"_a": one, "_b": two})
 
-    return sides.groupBy("_key", "_i", "_j").applyInArrow(search, "_family binary, _one long, _two long").distinct()
+    return _in_blocks(members, "_key").groupBy("_key", "_i", "_j").applyInArrow(search, "_a long, _b long").distinct()
 
 
 def _joining(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links ``_a``, ``_b`` that join different roots of a family, verified on the sets: fewer than it has members."""
+    """From ``_family``, ``_class``, ``_root``, ``_n``: links ``_a``, ``_b`` that join different roots of a family, verified
+    on the sets: fewer than a pair of blocks has members."""
     def search(part: pa.Table) -> pa.Table:
         held = [np.frombuffer(s.as_buffer(), np.uint64) for s in part["_set"]]
         links = joining_links(held, part["_root"].to_numpy(), threshold)
         ends = part["_class"].to_numpy()[np.array(links, np.int64).reshape(-1, 2)]
         return pa.table({"_a": ends.min(1), "_b": ends.max(1)})
 
-    return members.join(sets, "_class").groupBy("_family").applyInArrow(search, "_a long, _b long")
+    sides = _in_blocks(members, "_family").join(sets, "_class")
+    return sides.groupBy("_family", "_i", "_j").applyInArrow(search, "_a long, _b long").distinct()
 
 
 def _keys_in(found: DataFrame, shared: DataFrame) -> DataFrame:
@@ -386,13 +387,11 @@ def near_duplicates(
     mixed_keys = placed.groupBy("_key").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"), *alike).filter("_low <> _high")
     once = mixed_keys.groupBy("_s1", "_s2").agg(F.min("_key").alias("_key")).select("_key")
     open_keys = placed.join(once, "_key").join(points, "_class")
-    related = write_once(_families(open_keys, threshold), "families")
-    if not related.isEmpty():
-        pairs = related.filter("_family is null").select(F.col("_one").alias("_a"), F.col("_two").alias("_b"))
-        crowds = related.filter("_family is not null").select("_family", F.col("_one").alias("_class"), F.col("_two").alias("_root"))
-        ends = pairs.select(F.explode(F.array("_a", "_b")).alias("_class")).union(crowds.select("_class"))
-        sets = _sets(texts, ends, n)
-        more = write_once(_verified(pairs, sets, threshold).union(_joining(crowds, sets, threshold)), "rest")
+    near = write_once(_near(open_keys, threshold), "families")
+    if not near.isEmpty():
+        whole = components(near).select("_class", F.col("_root").alias("_family"))
+        related = whole.join(labels, "_class", "left").join(points, "_class").select("_family", "_class", own, "_n")
+        more = write_once(_joining(related, _sets(texts, whole, n), threshold), "rest")
         if not more.isEmpty():
             labels = components(links.union(more))
 

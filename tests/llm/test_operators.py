@@ -494,6 +494,30 @@ def test_links_of_a_hot_key_are_a_line(spark, monkeypatch):
     assert sum(sizes["families"]) <= 2 * sizes["members"][0]  # a row for a member, not one for each pair that may link
 
 
+def test_a_class_is_in_one_family(spark, monkeypatch):
+    # keys that hold different parts of a family: its sets meet once, not once for each key
+    rng = random.Random(3)
+    words = [f"w{rng.random()}" for _ in range(300)]
+    rows = []
+    for i in range(90):
+        own = list(words)
+        for at in rng.sample(range(300), 2 + i % 4):
+            own[at] = f"v{i}"
+        rows.append((i, " ".join(own)))
+    met, joining = [], count_tree._joining
+
+    def counted(members, *rest):
+        met.append((members.count(), members.select("_class").distinct().count()))
+        return joining(members, *rest)
+
+    monkeypatch.setattr(count_tree, "_joining", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collect(count_tree.near_duplicates(df)) == brute_components(rows, 3, 90)
+    assert met and all(n == classes for n, classes in met)
+    monkeypatch.setattr(count_tree, "BLOCK", 7)  # families in blocks
+    assert collect(count_tree.near_duplicates(df)) == brute_components(rows, 3, 90)
+
+
 def test_joining_links():
     import numpy as np
 
