@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placeloom.llm import workers
+
 # The pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Characters whose letter, number and space classes are the same in all recent Unicode versions. A text with
@@ -311,6 +313,15 @@ def _transducer(path: str) -> Transducer:
     return Transducer(loaded(path), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True))
 
 
+def forget() -> None:
+    """Free the token list and the known pieces of this worker."""
+    _transducer.cache_clear()
+    loaded.cache_clear()
+
+
+workers.KEPT.append(forget)
+
+
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placeloom.llm import bitmaps
+from placeloom.llm import bitmaps, workers
 from placeloom.llm.lm_bloom import mixed, words
 from placeloom.llm.registry import numbered
 from placeloom.session import write_once
@@ -164,7 +164,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, thresho
 def _points(rows: DataFrame, n: int, threshold: float) -> DataFrame:
     """Per row of ``_doc``, ``_text``: ``_class`` (hash of the set), ``_n``, ``_point`` (counts as bytes), ``_keys``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in workers.sliced(batches):
             texts, classes, sizes, points, keys = batch.column(1), [], [], [], []
             for row in range(batch.num_rows):
                 shingles = shingle_set(texts[row].as_py(), n)
@@ -211,7 +211,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bitmaps.of(wanted, "_class"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in workers.sliced(batches):
             classes, sets = [], []
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py(), n)

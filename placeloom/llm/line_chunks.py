@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placeloom.llm import bitmaps
+from placeloom.llm import bitmaps, workers
 from placeloom.llm.registry import numbered
 from placeloom.session import write_once
 
@@ -62,7 +62,7 @@ def _chunk_rows(rows: DataFrame, one_in: int, with_text: bool) -> DataFrame:
     doc = rows.schema["_doc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in workers.sliced(batches):
             texts, of, at, one, two, chunks = batch.column(2), [], [], [], [], []
             for row in range(batch.num_rows):
                 text = texts[row].as_py() or ""
@@ -117,7 +117,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in workers.sliced(batches):
             texts, lists = batch.column(place).to_pylist(), batch.column(batch.num_columns - 1)
             counts = np.zeros(batch.num_rows, np.int64)
             for row in range(batch.num_rows):

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placeloom.llm import workers
 from placeloom.llm.registry import numbered
 from placeloom.operators.profiling import exact_quantiles
 from placeloom.session import write_once
@@ -70,7 +71,7 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in workers.sliced(batches):
             texts = batch.column(place)
             flat = np.array([features(texts[i].as_py()) for i in range(batch.num_rows)], float).reshape(-1)
             ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES))
@@ -168,6 +169,7 @@ def worth_of(weights: list[float]):
     """A column function: the worth of a text."""
     @F.arrow_udf(T.DoubleType())
     def run(texts: pa.Array) -> pa.Array:
+        workers.let_go()
         return pa.array([float(np.dot(features(texts[i].as_py()), weights)) for i in range(len(texts))], pa.float64())
 
     return run

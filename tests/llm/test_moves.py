@@ -1,8 +1,10 @@
 """What operators move between tasks, and what they keep for the next one."""
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
-from placeloom.llm import bpe, warc_fixity
+from placeloom.llm import bpe, line_chunks, warc_fixity
 
 
 def plan(df):
@@ -23,3 +25,25 @@ def test_pieces_stay_known_for_the_next_task():
     second = bpe._transducer(path)
     assert "ofthoratan" in second.known
     assert second.encode("ofthoratan ofthoratan x") == ids
+
+
+class Rows:
+    """Stands for a table: hands back the function of the Python workers."""
+
+    schema = T.StructType([T.StructField("_doc", T.LongType())])
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_workers_hold_a_part_of_a_batch_and_nothing_of_other_stages(spark):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    bpe._transducer(path)
+    n = 3000
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(n)), pa.array(range(n)), pa.array([f"a{i}\nb{i}\n" for i in range(n)])], names=["_doc", "_th", "_text"])
+    parts = list(line_chunks._chunk_rows(Rows(), 2, True)(iter([batch])))
+    assert sum(p.num_rows for p in parts) == n and max(p.num_rows for p in parts) <= 512
+    places = pa.concat_arrays([p.column(0) for p in line_chunks._chunk_rows(Rows(), 2, False)(iter([batch]))])
+    assert places.to_pylist() == list(range(n))
+    assert bpe._transducer.cache_info().currsize == 0 and bpe.loaded.cache_info().currsize == 0
