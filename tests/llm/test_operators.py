@@ -518,6 +518,17 @@ def test_a_class_is_in_one_family(spark, monkeypatch):
     assert collect(count_tree.near_duplicates(df)) == brute_components(rows, 3, 90)
 
 
+def test_spanning_edges_name_the_smallest_class():
+    # two keys that hold different parts of a family give edges that meet
+    import numpy as np
+
+    edges = []
+    for classes in ([5, 9, 7, 2], [9, 4, 8]):
+        pairs = np.array([(i, j) for i in range(len(classes)) for j in range(i)]).T
+        edges += zip(*(side.tolist() for side in count_tree.spanning(np.array(classes), tuple(pairs))))
+    assert sorted(edges) == [(2, 5), (2, 7), (2, 9), (4, 8), (4, 9)]
+
+
 def test_joining_links():
     import numpy as np
 
