@@ -166,3 +166,14 @@ def test_few_articles_are_held_as_python_strings():
         assert [tuple(row.values()) for row in column[:5].to_pylist()] == [
             (None, None) if t is None else cut(t) for t in texts[:5].to_pylist()]
         assert len(column) == len(texts)
+
+
+def test_words_of_bytes_equal_the_column_functions(spark):
+    texts = [f"ab{chr(c)}cd {chr(c)}the{chr(c)}" for c in range(0x2500)] + [
+        "Category:River category:the_x xCategory:[a", "Don't STOP the\u0130x \u212aELVIN \U0001f600abc ref name", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    words = text.without_stop_words(text.tokens(text.split_category_prefix(F.col("t"))))
+    for r in df.select("t", words.alias("w")).collect():
+        assert text.words_of(r["t"].encode(), text.stop_set()) == r["w"], r
+    broken = spark.sql("select cast(unhex('616263ff646566c4616263e28441') as string) t")
+    assert text.words_of(bytes.fromhex("616263ff646566c4616263e28441"), text.stop_set()) == broken.select(words).first()[0]
