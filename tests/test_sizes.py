@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,44 @@ def test_linear_folds_with_a_vector_equal_plain_columns(spark):
         wide.withColumn("v", array_to_vector("v")), folds, evaluation.ridge(3.0), ["a", "v"], ["id"], vector_names={"v": ["b", "a"]})
     assert np.allclose([r["prediction"] for r in want.orderBy("id").collect()], [r["prediction"] for r in got.orderBy("id").collect()])
     assert [r["importance"] for r in weights.collect()] == pytest.approx([r["importance"] for r in importance.collect()])
+
+
+@pytest.mark.parametrize("spot, weighted, radius", [((40.4, 179.97), True, 6500.0), ((-89.6, 10.0), True, 6500.0), ((40.4, -80.0), False, 2500.0), ((40.4, -80.0), True, 30000.0)])
+def test_houses_share_what_is_far(monkeypatch, spot, weighted, radius):
+    rng = np.random.default_rng(6)
+    wide = 1 / np.cos(np.radians(spot[0]))
+    lat, lon = spot[0] + rng.uniform(0, 0.03, 4000), spot[1] + rng.uniform(0, 0.03 * wide, 4000)
+    lat[:300], lon[:300] = lat[0], lon[0]  # one house place with many houses
+    lon = np.where(lon > 180, lon - 360, lon)
+    p_lat, p_lon = (c + rng.uniform(-0.08 * w, 0.11 * w, 600) for c, w in zip(spot, (1, wide)))
+    p_lat[:5], p_lon[:5], n = lat[:5], lon[:5], rng.integers(1, 4, 600).astype(float)
+    values = rng.integers(0, 3, (600, 2)).astype(float)
+    values[:, 1] *= np.arange(600) == 0
+    w, inside = blocks._weights(lat, lon, p_lat, p_lon, radius, weighted)
+    compared, weights = [], blocks._weights
+    monkeypatch.setattr(blocks, "_weights", lambda a, b, c, *rest: compared.append(len(a) * len(c)) or weights(a, b, c, *rest))
+    block = blocks._Block((0, 0, 0, 0), 2, radius, weighted, 100)
+    block.house(pa.array(range(4000)), lat, lon)
+    lists = pa.array([[0, 1]] * 600, pa.list_(pa.int32())), pa.array(list(values), pa.list_(pa.float64()))
+    block.add(p_lat, p_lon, n, *lists)
+    found = pa.Table.from_batches(block.rows(["key", "n", "part", "vec"]))
+    got = {k: (m, v) for k, m, v in zip(*(found[c].to_pylist() for c in ("key", "n", "vec")))}
+    count, sums = inside @ n, w @ values
+    assert set(got) == set(np.nonzero(count)[0])
+    at = sorted(got)
+    assert [got[i][0] for i in at] == count[at].tolist()
+    assert np.allclose([got[i][1] for i in at], sums[at], rtol=1e-8, atol=1e-9)
+    assert (np.array([got[i][1] for i in at]) == 0).tolist() == (sums[at] == 0).tolist()
+    if radius < blocks.CHORD_M:
+        assert sum(compared) < 0.7 * inside.sum()  # once every house met every place in range
+
+
+def test_document_counts_are_added_up_in_workers(spark, monkeypatch):
+    monkeypatch.setattr(terms, "TERMS_AT_ONCE", 3)
+    docs = spark.createDataFrame([(i, "river bridge river" if i % 2 else "bridge road Road") for i in range(40)], "article_id long, text string")
+    found = terms.frequent_terms(docs, 40, 0.1)
+    assert {(r["term"], r["df"], r["total"]) for r in found.collect()} == {
+        ("river", 20, 40), ("bridge", 40, 40), ("road", 20, 40), ("river bridge", 20, 20), ("bridge river", 20, 20),
+        ("bridge road", 20, 20), ("road road", 20, 20)}
+    counted = terms._found_in(docs, "article_id", "text", terms._counting(True, False, None, None))
+    assert "MapInArrow" in counted._jdf.queryExecution().optimizedPlan().toString()
